@@ -201,12 +201,12 @@ def mask_color(px: Column, colour: tuple[int, ...], threshold: int, w: int, h: i
 
 def masks_and(a: Column, b: Column) -> Column:
     """Pixelwise minimum; a missing mask is opaque, masks of two sizes give the first."""
-    return F.when(b.isNull() | (F.size(a) != F.size(b)), a).when(a.isNull(), b).otherwise(F.zip_with(a, b, F.least))
+    return F.when(b.isNull() | (F.size(a) != F.size(b)), a).when(a.isNull(), b).otherwise(F.zip_with(a, b, lambda x, y: F.least(x, y)))
 
 
 def masks_or(a: Column, b: Column) -> Column:
     ones = lambda m: F.transform(m, lambda v: F.lit(1).cast("int"))
-    return F.when(b.isNull(), ones(a)).when(a.isNull(), ones(b)).when(F.size(a) != F.size(b), a).otherwise(F.zip_with(a, b, F.greatest))
+    return F.when(b.isNull(), ones(a)).when(a.isNull(), ones(b)).when(F.size(a) != F.size(b), a).otherwise(F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
 
 
 def premultiply(px: Column, w: int, h: int) -> Column:

@@ -14,12 +14,12 @@ from ..functions.sound import clip1
 from .intervals import interval_join
 
 
-def running_ends(clips: DataFrame, order: str, duration: str, group: Sequence[str] = ()) -> DataFrame:
+def running_ends(clips: DataFrame, order: Sequence[str], duration: str, group: Sequence[str] = ()) -> DataFrame:
     """clips with ``start_us`` and ``end_us`` on a common timeline, one after the other.
 
     The running sum is made per group; without one, of what should be few rows.
     """
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = clips.withColumn("end_us", F.sum(duration).over(w).cast("bigint"))
     return out.withColumn("start_us", (F.col("end_us") - F.col(duration)).cast("bigint"))
 

@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..errors import MediaError
 from ..kernels.masks import Region, redact
-from ..kernels.pictures import Kernel, Times
+from ..kernels.pictures import Crop, Kernel, Times
 
 #: Pictures are handed over in batches of about so many bytes, small ones stacked.
 STACK_BYTES = 8 << 20
@@ -124,15 +125,16 @@ def to_arrays(frames: DataFrame, px: str = "px") -> DataFrame:
             lists = pa.array([np.frombuffer(d, np.uint8).astype(np.int32) for d in b.column("data").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], lists], names=[*names, px])
 
-    return frames.mapInArrow(run, frames.select(*names).schema.add(px, "array<int>"))
+    return frames.mapInArrow(run, frames.select(*names).schema.add(px, ArrayType(IntegerType())))
 
 
 def freeze_region(frames: DataFrame, at_us: int, x: int, y: int, w: int, h: int) -> DataFrame:
-    """The patch that is at (x, y) at a time, pasted onto every frame of its clip."""
-    from ..kernels.pictures import Crop
+    """The patch that is at (x, y) at a time, pasted onto every frame of its clip.
 
+    A clip without a frame at that time stays as it is.
+    """
     patch = apply(frames.where((F.col("t_us") <= at_us) & (F.lit(at_us) < F.col("e_us"))).select("clip_id", "t_us", "dur_us", "w", "h", "channels", "data"), [Crop(x, y, w, h)])
-    both = frames.join(patch.select("clip_id", F.col("data").alias("patch_")), "clip_id")
+    both = frames.join(patch.select("clip_id", F.col("data").alias("patch_")), "clip_id", "left")
     names = frames.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,8 @@ def freeze_region(frames: DataFrame, at_us: int, x: int, y: int, w: int, h: int)
                 b = whole.slice(i, j - i)
                 px = pictures(b).copy()
                 for k, d in enumerate(b.column("patch_").to_pylist()):
-                    px[k, y : y + h, x : x + w] = np.frombuffer(d, np.uint8).reshape(h, w, px.shape[-1])
+                    if d is not None:
+                        px[k, y : y + h, x : x + w] = np.frombuffer(d, np.uint8).reshape(h, w, px.shape[-1])
                 yield pa.RecordBatch.from_arrays([_binary(px) if c == "data" else b.column(c) for c in names], names=names)
 
     return both.select(*names, "patch_").mapInArrow(run, frames.schema)
