@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from ..errors import MediaError
 from ..kernels.masks import Region, redact
@@ -112,7 +112,7 @@ def from_arrays(df: DataFrame, px: str, w: int, h: int, channels: int = 1) -> Da
             flat = b.column(px).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], _binary(flat)], names=[*keep, "data"])
 
-    schema = df.select(*keep).schema.add("data", "binary")
+    schema = df.select(*keep).schema.add("data", BinaryType())
     size = F.lit(w).alias("w"), F.lit(h).alias("h"), F.lit(channels).alias("channels")
     return df.select(*keep, F.col(px).cast("array<int>").alias(px)).mapInArrow(run, schema).select("*", *size)
 
@@ -162,4 +162,4 @@ def surfaces_to_rgb(surfaces: DataFrame) -> DataFrame:
             data = pa.array([to_rgb(f, w, h, p, None, s, r).tobytes() for f, w, h, p, s, r in zip(*cols)], pa.binary())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(np.full(b.num_rows, 3, np.int32)), data], names=[*keep, "channels", "data"])
 
-    return surfaces.mapInArrow(run, surfaces.select(*keep).schema.add("channels", "int").add("data", "binary"))
+    return surfaces.mapInArrow(run, surfaces.select(*keep).schema.add("channels", IntegerType()).add("data", BinaryType()))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import MediaError
@@ -73,9 +73,9 @@ def mask_packages(spark: SparkSession, folders: str | Sequence[str], verify: boo
     norm = lambda c: F.regexp_replace(c, "^file:/+", "/")
     items = items.withColumn("file", norm(F.concat_ws("/", "folder", "path")))
     got = items.join(blobs.withColumn("file", norm(F.col("file"))), "file", "left")
-    n = F.count("*").over(_by("package_id", "mask_ref"))
+    got = got.withColumn("n_", F.count("*").over(Window.partitionBy("package_id", "mask_ref")))
     digest = parsing.normalised_hash(F.col("sha256"))
-    checks = [(~confined(F.col("path")), "path leaves the package: "), (F.coalesce("version", F.lit(1)) > 1, "newer package: "), (n > 1, "repeated mask_ref: "), (F.col("data").isNull(), "blob is missing: "), (F.length("data") != F.col("width") * F.col("height"), "blob has another size: ")]
+    checks = [(~confined(F.col("path")), "path leaves the package: "), (F.coalesce("version", F.lit(1)) > 1, "newer package: "), (F.col("n_") > 1, "repeated mask_ref: "), (F.col("data").isNull(), "blob is missing: "), (F.length("data") != F.col("width") * F.col("height"), "blob has another size: ")]
     if verify:
         checks.append((digest.isNotNull() & (digest != F.sha2("data", 256)), "blob has another hash: "))
     state = F.lit(True)
@@ -85,12 +85,6 @@ def mask_packages(spark: SparkSession, folders: str | Sequence[str], verify: boo
     return got.where(state).select("package_id", "mask_ref", kind.alias("kind"), F.col("width").alias("w"), F.col("height").alias("h"), F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"), "path", "data")
 
 
-def _by(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
-
-
 PROBE = "streams array<struct<codec_type: string, width: bigint, height: bigint, avg_frame_rate: string, r_frame_rate: string, time_base: string, duration: string, duration_ts: bigint, nb_frames: string, sample_rate: string, channels: bigint, pix_fmt: string, color_range: string, color_space: string>>, format struct<duration: string>"
 
 

@@ -27,10 +27,11 @@ def deduplicated(stream: DataFrame, keys: list[str], late: str = "10 minutes") -
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def held(stream: DataFrame, key: str = "user_id", value: str = "value", timeout_ms: int = 600_000) -> DataFrame:
+def held(stream: DataFrame, key: str = "user_id", value: str = "value", late: str = "10 minutes", forget_ms: int = 86_400_000) -> DataFrame:
     """Each row with the value held of its key before it, as a mask is held over a gap.
 
-    Rows that come in one batch are taken in event-time order; a key that is silent for the timeout is forgotten.
+    Rows that come in one batch are taken in event-time order.  A key is forgotten once the watermark
+    is ``forget_ms`` past its last row, which bounds the state.
     """
     key_type = stream.schema[key].dataType.simpleString()
 
@@ -42,8 +43,9 @@ def held(stream: DataFrame, key: str = "user_id", value: str = "value", timeout_
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         before = [last, *rows[value].tolist()[:-1]]
         state.update((float(rows[value].iloc[-1]),))
-        state.setTimeoutDuration(timeout_ms)
+        newest = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest + forget_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: k[0], "ts": rows["ts"].to_numpy(), value: rows[value].to_numpy(), "held": pd.array(before, "Float64").to_numpy(float, na_value=float("nan"))})
 
     schema = f"{key} {key_type}, ts timestamp, {value} double, held double"
-    return stream.select(key, "ts", value).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", "ProcessingTimeTimeout")
+    return stream.select(key, "ts", value).withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", "EventTimeTimeout")
