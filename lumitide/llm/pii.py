@@ -43,6 +43,8 @@ STREET_HEAD = re.compile(r"(?<![\w.])\d{1,5} (?:[A-Z][a-z]+ ){1,3}$")
 
 #: Longest stretch before an anchor in which the item that it belongs to can begin: formats above end within it.
 REACH = 64
+#: Longest part of a web address in which its host is looked for: names and ports end within it.
+HOST = 512
 
 
 def luhn(digits: str) -> bool:
@@ -84,23 +86,28 @@ def _email(t: str, at: int) -> tuple[str, int, int] | None:
     return "EMAIL", b, m.end()
 
 
-def _url(t: str, at: int, kind: str) -> tuple[str, int, int] | None:
+def _url(t: str, at: int, kind: str, ends: list[int]) -> tuple[str, int, int] | None:
+    """ends: where the last run of characters of web addresses ended, and where it did without its last punctuation."""
     b = at
     if kind == "scheme":
-        while b and t[b - 1].isascii() and (t[b - 1].isalnum() or t[b - 1] in "+.-"):
+        while b and b > at - 8 and t[b - 1].isascii() and (t[b - 1].isalnum() or t[b - 1] in "+.-"):
             b -= 1
         if b == at or t[b:at].lower() not in ("http", "https", "ftp", "ftps", "ws", "wss", "ssh", "git", "s3"):
             return None
         at += 3
     elif b and t[b - 1].isalnum() or t[max(0, b - 3) : b] == "://":
         return None
-    m = URL_REST.match(t, at)
-    if not m:
+    if at >= ends[0]:
+        m = URL_REST.match(t, at)
+        if not m:
+            return None
+        ends[:] = m.end(), m.end()
+        while ends[1] > at and t[ends[1] - 1] in ".,;:!?)]*$%#&":
+            ends[1] -= 1
+    e = ends[1]
+    if e <= at:
         return None
-    e = m.end()
-    while e > at and t[e - 1] in ".,;:!?)]*$%#&":
-        e -= 1
-    host = t[at:e].split("/", 1)[0].rsplit("@", 1)[-1].split(":", 1)[0]
+    host = t[at : min(e, at + HOST)].split("/", 1)[0].rsplit("@", 1)[-1].split(":", 1)[0]
     return ("URL", b, e) if DOMAIN.match(host) or IPV4.fullmatch(host) or host == "localhost" else None
 
 
@@ -121,22 +128,25 @@ def _phone(t: str, at: int) -> tuple[str, int, int] | None:
     return None
 
 
-def _number(t: str, at: int) -> tuple[tuple[str, int, int] | None, int]:
-    """What the digits around ``at`` are, and the end of their run."""
+def _numbers(t: str, at: int) -> tuple[list[tuple[str, int, int]], int]:
+    """What is in the run of digits around ``at``, and the run's end; a run is looked at once."""
     b = at
     while b and (t[b - 1].isdigit() or t[b - 1] in " -" and b > 1 and t[b - 2].isdigit()):
         b -= 1
     m = DIGITS.match(t, b)
-    e = m.end() if m else at + 2
+    e = max(m.end() if m else 0, at + 2)
+    found = []
     for x in CARD.finditer(t, b, e):
-        if x.start() <= at:
-            digits = re.sub(r"\D", "", x.group())
-            if x.end() > at and luhn(digits) and digits.strip("0") and not (x.start() and t[x.start() - 1].isalnum()) and not t[x.end() : x.end() + 1].isalnum():
-                return ("CARD", x.start(), x.end()), x.end()
-    for x in SSN.finditer(t, b, e):
-        if x.start() <= at < x.end():
-            return ("SSN", x.start(), x.end()), x.end()
-    return None, at + 2
+        digits = re.sub(r"\D", "", x.group())
+        if luhn(digits) and digits.strip("0") and not (x.start() and t[x.start() - 1].isalnum()) and not t[x.end() : x.end() + 1].isalnum():
+            found.append(("CARD", x.start(), x.end()))
+    found += [("SSN", x.start(), x.end()) for x in SSN.finditer(t, b, e)]
+    x = IBAN.match(t, at - 2) if at > 1 else None  # the run may begin with the check digits of a bank account
+    if x:
+        value = x.group().replace(" ", "")
+        if 15 <= len(value) <= 34 and mod97(value):
+            found.append(("ACCOUNT", x.start(), x.end()))
+    return found, e
 
 
 def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
@@ -146,21 +156,15 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
     if len(low) != len(t):  # a few capitals grow when lowered: fold only ASCII then
         low = "".join(c.lower() if c.isascii() else c for c in t)
     found: list[tuple[str, int, int]] = []
-    passed = 0
+    passed = 0  # end of the last run of digits
+    ends, secret, tail = [0, 0], 0, 0  # of the last runs of other kinds: an anchor inside finds no more than they did
     for end, (kind, n) in automaton.iter(low):
         at = end - n + 1
         hit = None
         if kind == "digits":
-            if at < passed:
-                continue
-            hit, passed = _number(t, at)
-            if hit is None:  # the anchor may be the check digits of a bank account
-                for x in IBAN.finditer(t, max(0, at - 2), at + 44):
-                    if x.start() == at - 2:
-                        value = x.group().replace(" ", "")
-                        if 15 <= len(value) <= 34 and mod97(value):
-                            hit = ("ACCOUNT", x.start(), x.end())
-                    break
+            if at >= passed:
+                more, passed = _numbers(t, at)
+                found += more
         elif kind == "dot":
             b = at
             while b and t[b - 1].isdigit() and at - b < 3:
@@ -171,17 +175,19 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
         elif kind == "at":
             hit = _email(t, at)
         elif kind in ("scheme", "www"):
-            hit = _url(t, at, kind)
+            hit = _url(t, at, kind, ends)
         elif kind == "plus":
             hit = _phone(t, at)
         elif kind == "secret":
-            m = SECRET.match(t, end + 1)
-            if m and any(c.isdigit() for c in m.group(1)) and not (at and t[at - 1].isalpha()):
-                hit = ("SECRET", m.start(1), m.end(1))
+            if end + 1 >= secret and not (at and t[at - 1].isalpha()) and (m := SECRET.match(t, end + 1)):
+                secret = m.end(1)
+                if any(c.isdigit() for c in m.group(1)):
+                    hit = ("SECRET", m.start(1), m.end(1))
         elif kind == "head":
-            m = SECRET_TAIL.match(t, end + 1)
-            if m and any(c.isdigit() for c in m.group()) and not (at and (t[at - 1].isalnum() or t[at - 1] in "-_")):
-                hit = ("SECRET", at, m.end())
+            if end + 1 >= tail and not (at and (t[at - 1].isalnum() or t[at - 1] in "-_")) and (m := SECRET_TAIL.match(t, end + 1)):
+                tail = m.end()
+                if any(c.isdigit() for c in m.group()):
+                    hit = ("SECRET", at, m.end())
         elif not t[end + 1 : end + 2].isalnum():
             m = STREET_HEAD.search(t, max(0, at + 1 - REACH), at + 1)
             if m and t[at + 1].isupper():
