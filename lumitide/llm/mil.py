@@ -1,7 +1,7 @@
 """Quality classifier by attention-based multiple-instance learning (operator 7).
 
 A document is a bag of passages of ``PASSAGE`` words, and every passage is encoded: the
-logarithms of the counts of a learnt vocabulary, and shape figures (capitals, symbols, digits,
+logarithms of the counts of a learnt vocabulary of words and of word beginnings, and shape figures (capitals, symbols, digits,
 spaces, word length, repeated words), through one tanh layer.  For each of two document labels,
 quality and toxicity, gated attention (Ilse et al., 2018) weighs the passages, and the weighted sum of their
 codes is scored.  Only document labels are used to train.  A document is rejected if its quality
@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import save, small
-from .tokens import _VAL, _borders, text_slices, utf8, word_hashes
+from .tokens import _VAL, _borders, mix, text_slices, utf8, word_hashes
 
-PASSAGE, TRAIN_DOCS, TRAIN_BYTES, VOCAB, HIDDEN, ATTENTION, EPOCHS, CUT, SEED = 64, 4000, 64 << 20, 384, 24, 16, 160, 0.5, 5
+#: Lengths in bytes of the word beginnings that are features, too: inflected and compound forms share them.
+STEMS = (5, 7)
+PASSAGE, TRAIN_DOCS, TRAIN_BYTES, VOCAB, HIDDEN, ATTENTION, EPOCHS, CUT, SEED = 64, 4000, 64 << 20, 128, 24, 16, 160, 0.5, 5
 
 _FOLD = _VAL.copy()
 _FOLD[65:91] = _VAL[97:123]
@@ -44,7 +46,7 @@ _LABEL = np.select([_KINDS[:, k] > 0 for k in range(5)], np.arange(5, dtype=np.u
 
 @dataclasses.dataclass
 class Passages:
-    """Words (hash, passage), shape figures of each passage, and each document's first passage."""
+    """Words and word beginnings (hash, passage), shape figures of each passage, and each document's first passage."""
 
     hash: np.ndarray
     of: np.ndarray
@@ -87,7 +89,12 @@ def passages(col: pa.Array) -> Passages:
     shape = np.stack(
         [kinds[:, 0] / letters, kinds[:, 4] / size, kinds[:, 2] / size, kinds[:, 3] / size, kinds[:, 4] / count, length / count / 8, np.bincount(of, again, minlength=total) / count, count / PASSAGE, np.ones(total, np.float32)], 1
     )
-    return Passages(h, of, shape.astype(np.float32), first)
+    every, places = [h], [of]
+    for k in STEMS:
+        at = np.flatnonzero(ends - starts > k)
+        every.append(mix(word_hashes(buf, starts[at], starts[at] + k, _FOLD) + np.uint64(k)))
+        places.append(of[at])
+    return Passages(np.concatenate(every), np.concatenate(places), shape.astype(np.float32), first)
 
 
 @dataclasses.dataclass
@@ -152,10 +159,14 @@ def train(texts: pa.Array, labels: np.ndarray, vocab: int = VOCAB, hidden: int =
     bag_of = np.repeat(np.arange(len(p.first) - 1), np.diff(p.first))
     chosen = [np.empty(0, np.uint64)]
     if len(some):
-        pair = np.unique(np.stack([p.hash, bag_of[p.of].astype(np.uint64)], 1), axis=0)
-        words, inverse, n = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
+        bag = bag_of[p.of]
+        order = np.lexsort((bag, p.hash))
+        f, bag = p.hash[order], bag[order]
+        new = np.append(True, (f[1:] != f[:-1]) | (bag[1:] != bag[:-1]))
+        f, bag = f[new], bag[new]
+        words, inverse, n = np.unique(f, return_inverse=True, return_counts=True)
         for t in range(2):  # the words whose presence in a document goes with a label
-            pos = np.bincount(inverse, labels[pair[:, 1].astype(np.int64), t], minlength=len(words))
+            pos = np.bincount(inverse, labels[bag, t], minlength=len(words))
             rate = np.clip(y[:, t].mean(), 1e-3, 1 - 1e-3)
             z = np.abs(pos - n * rate) / np.sqrt(n * rate * (1 - rate))
             z[n < 5] = 0
