@@ -106,12 +106,14 @@ def text_nodes(page: str) -> list[tuple[str, str]]:
         if name in LIKE:
             like, scope = LIKE[name]
             like = like.split()
+            outer = None  # a row ends the open cell and the row around it
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i] in scope:
                     break
                 if stack[i] in like:
-                    pop(i)
-                    break
+                    outer = i
+            if outer is not None:
+                pop(outer)
         if name in VOID or m[0].endswith("/>"):
             continue
         if name == "body" and skipping and "head" in stack:
