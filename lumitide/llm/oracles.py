@@ -1,5 +1,13 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+Operator 10 is approximate; its SQL compares all pairs and follows them to their groups.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_pstable_embeddings": """WITH RECURSIVE u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95e0),
+r AS (SELECT x, x AS y FROM p UNION SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+SELECT x AS vec_id, min(y) AS group_id, count(*) AS group_size, x = min(y) AS keep FROM r GROUP BY x""",
+}

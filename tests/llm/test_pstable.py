@@ -40,3 +40,19 @@ def test_odd_rows(spark):
     assert got == [(1, 1, 3, True), (2, 1, 3, False), (8, 1, 3, False)]
     assert pstable.near_vectors(df.where("false")).count() == 0
     assert pstable.near_vectors(df.where("vec_id in (4, 3)")).count() == 0
+
+
+def test_the_sql_groups_all_pairs(spark, tmp_path):
+    import duckdb
+
+    from lumitide.llm.oracles import ORACLES
+
+    base = spark.read.parquet(f"{SF}/embeddings.parquet").limit(60).collect()
+    rows = [(r.vec_id, r.embedding) for r in base] + [(1000 + r.vec_id, [2 * x for x in r.embedding]) for r in base[:20]] + [(2000 + r.vec_id, r.embedding) for r in base[:5]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/e/*.parquet')")
+    want = sorted(con.sql(ORACLES["op10_pstable_embeddings"]).fetchall())
+    got = sorted((r.vec_id, r.group_id, r.group_size, r.keep) for r in pstable.near_vectors(df).collect())
+    assert got == want and len(got) == 45
