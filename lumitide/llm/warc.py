@@ -33,6 +33,8 @@ HEADER_BYTES = 1 << 16
 GZIP = b"\x1f\x8b\x08"
 START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 VERSION = re.compile(rb"WARC/\d\.\d\r\n")
+#: A header's name is a token: without this check a stray version line could take in what stands before another record's headers.
+NAME = re.compile(r"[!#$%&'*+\-.^_`|~0-9A-Za-z]+")
 
 
 class Failed(Exception):
@@ -89,7 +91,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], int]:
             headers[last] += " " + text.strip()
             continue
         name, colon, value = text.partition(":")
-        if not colon or not name.strip():
+        if not colon or not NAME.fullmatch(name.strip()):
             raise Failed("malformed header")
         last = name.strip().lower()
         headers[last] = value.strip()
