@@ -6,6 +6,11 @@ streets.  From each anchor a deterministic local parser expands left and right t
 of an email, web address, IPv4 address, telephone number, card, bank account, social security
 number, secret or street address, and validates what it found (Luhn, mod 97, octets, lengths).
 
+Limits: a password after its cue has 6 characters or more, in quotes any number; other secrets have
+16 or more with a digit, a token of an Authorization header 8 or more.  Telephone numbers without a
+plus are found if their groups are parted: ddd ddd dddd (the first group from 200 on, or in
+brackets), and groups after a trunk 0 with 10 or 11 digits in all.
+
 Defined results: a null or empty text has no findings; overlapping findings are resolved to the
 earliest, then the longest, then by kind; rows with a null id are scanned and redacted, their
 findings carry the null.
@@ -23,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .tokens import text_slices
 
-SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "private_key", "bearer ")
+SECRET_CUES = ("token", "secret", "api_key", "apikey", "api-key", "access_key", "private_key")
+PASSWORD_CUES = ("password", "passwd")
 SECRET_HEADS = ("akia", "ghp_", "xoxb-", "sk-", "glpat-")
 STREETS = ("street", "avenue", "boulevard", "road", "lane", "drive")
 
@@ -37,7 +43,19 @@ DIGITS = re.compile(r"\d(?:[ -]?\d)*")
 CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|3\d{3}([ -])\d{6}\2\d{5})(?!\d)")
 SSN = re.compile(r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-SECRET = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9_\-./+=]{16,})[\"']?")
+#: National numbers: with the area in brackets, in three groups, after a trunk 0 in pairs and in longer groups.
+NATIONAL = re.compile(
+    r"(?<![\w.+-])(?:1[ .-]?)?\([2-9]\d{2}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-]|\.\d)"
+    r"|(?<![\w.+-])(?:1([.-]))?[2-9]\d{2}([.-])\d{3}\2\d{4}(?![\w-]|\.\d)"
+    r"|(?<![\w.+-])(?<!\d )(?:1 )?[2-9]\d{2} \d{3}[ -]\d{4}(?![\w-]|[ .]\d)"
+    r"|(?<![\w.+-])(?<!\d )0\d([ .-])\d{2}(?:\3\d{2}){3}(?![\w-]|[ .]\d)"
+    r"|(?<![\w.+-])(?<!\d )(?=(?:[() -]*\d){10,11}(?![() -]*\d))(?:\(0\d{1,4}\) ?|0\d{1,4}[ -])\d{3,4}[ -]?\d{3,4}(?![\w-]|[ .]\d)"
+)
+SECRET = re.compile(r"[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_\-./+=]{16,})[\"']?")
+#: A password in quotes, or up to a space; what was replaced before isn't one.
+PASSWORD = re.compile(r"[\"']?\s*[:=]\s*(?!<[A-Z]+>)(?:\"(?!<[A-Z]+>)((?:[^\"\\\n]|\\.)+)\"|'(?!<[A-Z]+>)((?:[^'\\\n]|\\.)+)'|[\"']?(?!<[A-Z]+>)([^\s\"']{6,}))")
+BEARER = re.compile(r"(?:[\"']?\s*[:=]\s*|\s+)[\"']?([A-Za-z0-9_\-.~/+=]{8,})")
+HEADER = re.compile(r"authorization[\"']?\s{0,8}[:=]\s{0,8}[\"']?$", re.I)
 SECRET_TAIL = re.compile(r"[A-Za-z0-9_\-]{16,}")
 STREET_HEAD = re.compile(r"(?<![\w.])\d{1,5} (?:[A-Z][a-z]+ ){1,3}$")
 
@@ -63,7 +81,7 @@ def mod97(iban: str) -> bool:
 
 def build() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for word, kind in [("@", "at"), ("://", "scheme"), ("www.", "www"), *((w, "secret") for w in SECRET_CUES), *((w, "head") for w in SECRET_HEADS), *((f" {w}", "street") for w in STREETS)]:
+    for word, kind in [("@", "at"), ("://", "scheme"), ("www.", "www"), ("bearer", "bearer"), *((w, "secret") for w in SECRET_CUES), *((w, "password") for w in PASSWORD_CUES), *((w, "head") for w in SECRET_HEADS), *((f" {w}", "street") for w in STREETS)]:
         a.add_word(word, (kind, len(word)))
     for x in range(10):
         a.add_word(f"+{x}", ("plus", 2))
@@ -141,6 +159,12 @@ def _numbers(t: str, at: int) -> tuple[list[tuple[str, int, int]], int]:
         if luhn(digits) and digits.strip("0") and not (x.start() and t[x.start() - 1].isalnum()) and not t[x.end() : x.end() + 1].isalnum():
             found.append(("CARD", x.start(), x.end()))
     found += [("SSN", x.start(), x.end()) for x in SSN.finditer(t, b, e)]
+    s = b - 1 if b and t[b - 1] == "(" else b
+    if s < b and s > 1 and t[s - 1] in " .-" and t[s - 2] == "1":
+        s -= 2
+    elif s < b and s and t[s - 1] == "1":
+        s -= 1
+    found += [("PHONE", x.start(), x.end()) for x in NATIONAL.finditer(t, s, e + REACH) if x.start() < e]
     x = IBAN.match(t, at - 2) if at > 1 else None  # the run may begin with the check digits of a bank account
     if x:
         value = x.group().replace(" ", "")
@@ -157,7 +181,7 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
         low = "".join(c.lower() if c.isascii() else c for c in t)
     found: list[tuple[str, int, int]] = []
     passed = 0  # end of the last run of digits
-    ends, secret, tail = [0, 0], 0, 0  # of the last runs of other kinds: an anchor inside finds no more than they did
+    ends, secret, password, bearer, tail = [0, 0], 0, 0, 0, 0  # of the last runs of other kinds: an anchor inside finds no more than they did
     for end, (kind, n) in automaton.iter(low):
         at = end - n + 1
         hit = None
@@ -183,6 +207,19 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
                 secret = m.end(1)
                 if any(c.isdigit() for c in m.group(1)):
                     hit = ("SECRET", m.start(1), m.end(1))
+        elif kind == "password":
+            if end + 1 >= password and not (at and t[at - 1].isalpha()) and (m := PASSWORD.match(t, end + 1)):
+                b, password = m.span(m.lastindex)
+                e = password
+                while m.lastindex == 3 and e > b and t[e - 1] in ".,;:)]}>":
+                    e -= 1
+                if m.lastindex < 3 or e - b >= 6:
+                    hit = ("SECRET", b, e)
+        elif kind == "bearer":
+            if end + 1 >= bearer and not (at and t[at - 1].isalpha()) and (m := BEARER.match(t, end + 1)):
+                bearer = m.end(1)
+                if HEADER.search(t, max(0, at - REACH), at) or len(m.group(1)) >= 16 and any(c.isdigit() for c in m.group(1)):
+                    hit = ("SECRET", m.start(1), m.end(1))
         elif kind == "head":
             if end + 1 >= tail and not (at and (t[at - 1].isalnum() or t[at - 1] in "-_")) and (m := SECRET_TAIL.match(t, end + 1)):
                 tail = m.end()

@@ -81,3 +81,31 @@ def test_odd_rows(odd, empty):
     nine = out.where("doc_id = 9").first()
     assert nine.text == "mail me at <EMAIL> or <PHONE>" and nine.n_chars == len(nine.text)
     assert pii.find(empty).count() == 0 and pii.clean(empty).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('{"api_key": "0123456789abcdef0123", "n": 1}', [("SECRET", "0123456789abcdef0123")]),
+        ("Authorization: Bearer abc.def-ghi_jklmnop", [("SECRET", "abc.def-ghi_jklmnop")]),
+        ("curl with bearer 0123456789abcdef0123, the bearer of responsibilities", [("SECRET", "0123456789abcdef0123")]),
+        ("password: s3cr3t! and passwd=correcthorse.", [("SECRET", "s3cr3t!"), ("SECRET", "correcthorse")]),
+        ('{"password": "two words", \'passwd\': \'abc\'}', [("SECRET", "two words"), ("SECRET", "abc")]),
+        ('password = "<SECRET>" and password: <SECRET>', []),
+        ("call (555) 123-4567, 555-123-4567, 555.123.4567 or 1 (555) 123-4567", [("PHONE", "(555) 123-4567"), ("PHONE", "555-123-4567"), ("PHONE", "555.123.4567"), ("PHONE", "1 (555) 123-4567")]),
+        ("555 123 4567; 020 7946 0958; 01 23 45 67 89; (030) 1234 5678", [("PHONE", "555 123 4567"), ("PHONE", "020 7946 0958"), ("PHONE", "01 23 45 67 89"), ("PHONE", "(030) 1234 5678")]),
+        ("in 2023-01-15, 200 300 4000 500, 555-123-45678, 1.555.123.4567.8 and x555-123-4567", []),
+    ],
+)
+def test_cues_in_quotes_bearers_passwords_and_national_numbers(text, want):
+    assert kinds(text) == want
+    assert kinds(pii.redact(text, pii.scan(text, A))) == []
+
+
+def test_long_runs_of_cues_are_fast():
+    import time
+
+    t = time.time()
+    for x in ("password=", "password='", 'password="', "bearer ", "password: \\\"", "(555) 123-", "555-123-", "0123 "):
+        pii.scan(x * 50_000, A)
+    assert time.time() - t < 30
