@@ -8,7 +8,8 @@ word for word, within its stretch.
 
 Defined results: an empty or null text has no notice; rows with a null id are counted but have no
 results; a notice that occurs several times gives a row for each place; where notices of the same
-family overlap (a short one inside a long one) the one with more words found is reported.
+licence overlap (a short one inside a long one) the one with more words found is reported; notices of
+different licences are all reported, also on one line.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ class Notices:
         found.sort(key=lambda f: (-f[3] * f[4], f[1], f[0]))
         out = []
         for f in found:
-            if not any(f[1] < o[1] + o[4] and o[1] < f[1] + f[4] for o in out):
+            if not any(f[0] == o[0] and f[1] < o[1] + o[4] and o[1] < f[1] + f[4] for o in out):  # other licences stand beside it
                 out.append(f)
         return [f[:4] for f in sorted(out, key=lambda f: (f[1], f[0]))]
 

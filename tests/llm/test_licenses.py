@@ -48,3 +48,15 @@ def test_frequencies_are_of_all_documents(docs, texts):
     by = dict(zip(vocab.tolist(), df.tolist()))
     for x in ("mit", "license", "the"):
         assert by[licenses.hash_words(x)[0]] == sum(x in set(brute.words(t)) for t in texts.values())
+
+
+def licences(spark, *texts):
+    got = {k: set() for k in range(len(texts))}
+    for r in licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.license)
+    return [got[k] for k in range(len(texts))]
+
+
+def test_two_licences_on_a_line(spark):
+    got = licences(spark, "Licensed under either of Apache License, Version 2.0 or MIT license", "Released under the MIT license or licensed under CC BY 4.0.", "This program is licensed under the GNU General Public License, version 2.")
+    assert got == [{"Apache-2.0", "MIT"}, {"MIT", "CC-BY-4.0"}, {"GPL-2.0"}]
