@@ -4,7 +4,9 @@ The words of all notice templates are counted over all documents.  Each template
 its ``ANCHORS`` words of highest IDF, with their positions.  A file's indexed words are looked up
 from the rarest on; postings whose file position minus template position agrees (within ``SLACK``)
 intersect to candidate places, and a candidate holds if the template's mandatory phrases stand,
-word for word, within its stretch.
+word for word, within its stretch.  Headers in files (those of the FSF, ISC and others) are templates
+of their own, as long as the whole notice.  After the words of an SPDX line its expression is read:
+each identifier of ``SPDX`` in it is a notice at its place, unknown ones are passed over.
 
 Defined results: an empty or null text has no notice; rows with a null id are counted but have no
 results; a notice that occurs several times gives a row for each place; where notices of the same
@@ -26,6 +28,15 @@ from .tokens import hash_words, text_slices, words
 
 ANCHORS, SLACK, AGREE = 4, 3, 0.5
 
+_GPL, _LGPL, _AGPL = "gnu general public license", "gnu lesser general public license", "gnu affero general public license"
+_FSF = "is free software; you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation{}"
+_ONLY = "is free software; you can redistribute it and/or modify it under the terms of the {} version {} as published by the Free Software Foundation"
+_HEADERS = [
+    *((name, of, f" {how} {n} of the license") for name, of, n in (("GPL-2.0", _GPL, 2), ("GPL-3.0", _GPL, 3), ("AGPL-3.0", _AGPL, 3)) for how in ("either version", "version")),
+    ("LGPL", _LGPL, ""), ("LGPL", "gnu library general public license", ""),
+]
+_VERSIONS = [("GPL-2.0", _GPL, 2), ("GPL-3.0", _GPL, 3), *(("LGPL", _LGPL, v) for v in ("2.1", "3")), ("AGPL-3.0", _AGPL, 3)]
+
 #: (licence, notice, mandatory phrases)
 TEMPLATES: list[tuple[str, str, list[str]]] = [
     ("MIT", "Released under the MIT License.", ["mit license"]),
@@ -45,8 +56,25 @@ TEMPLATES: list[tuple[str, str, list[str]]] = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright under the CC0 Public Domain Dedication.", ["public domain dedication"]),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software"]),
     ("proprietary", "All rights reserved.", ["all rights reserved"]),
+    *((name, _FSF.format(of, version), [f"{of} as published by the free software foundation{version}"]) for name, of, version in _HEADERS),
+    *((name, _ONLY.format(of, n), [f"{of} version {n} as published by the free software foundation"]) for name, of, n in _VERSIONS),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"]),
+    ("Zlib", "In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose", ["permission is granted to anyone to use this software for any purpose"]),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", ["boost software license version 1 0"]),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ["eclipse public license 2 0"]),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0", ["eclipse public license v 2 0"]),
 ]
 
+#: (licence, identifier in SPDX expressions)
+SPDX: list[tuple[str, str]] = [
+    *((x, x) for x in ("MIT", "MIT-0", "Apache-2.0", "MPL-2.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-4.0", "CC0-1.0", "Unlicense", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "ISC", "0BSD", "Zlib", "BSL-1.0", "EPL-2.0")),
+    *(("LGPL", f"LGPL-{v}") for v in ("2.0", "2.1", "3.0")), ("BSD", "BSD-2-Clause"), ("BSD", "BSD-3-Clause"),
+]
+#: Words among which an unknown identifier or an exception of an SPDX expression and the next ``OR`` or ``AND`` are.
+SPDX_WORDS = 6
+SPDX_LINE = "SPDX-License-Identifier"
+_OR, _AND, _WITH, _ONLY_WORD, _LATER = (int(x) for x in hash_words("or and with only later"))
+
 
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -100,9 +128,30 @@ class Notices:
                 if x in rare:
                     self.postings[x].append((t, p))
         self.idf = idf
-        self.vocab = np.unique(np.array(list(self.postings), np.uint64))
+        self.spdx = {tuple(hash_words(x).tolist()): name for name, x in SPDX}
+        self.line = hash_words(SPDX_LINE).tolist()
+        self.vocab = np.unique(np.array([*self.postings, self.line[0]], np.uint64))
         self.maybe = _filter(self.vocab)
 
+    def expression(self, doc: list[int], begin: int) -> list[tuple[str, int, int, float, int]]:
+        """The notices of the SPDX line whose first word is at begin, if one is."""
+        n, out = len(self.line), []
+        if doc[begin : begin + n] != self.line:
+            return out
+        i = begin + n
+        while True:
+            size = next((k for k in range(min(5, len(doc) - i), 0, -1) if tuple(doc[i : i + k]) in self.spdx), 0)
+            if size:
+                out.append((self.spdx[tuple(doc[i : i + size])], i, n + size, 1.0, size))
+            i += size
+            if size:
+                i += 2 if doc[i : i + 2] == [_OR, _LATER] else doc[i : i + 1] == [_ONLY_WORD]
+            far = SPDX_WORDS if not size or doc[i : i + 1] == [_WITH] else 1
+            step = next((k for k, x in enumerate(doc[i : i + far]) if x in (_OR, _AND)), -1)
+            if step < 0:
+                return out
+            i += step + 1
+
     def find(self, doc: np.ndarray, at: list[int]) -> list[tuple[str, int, int, float]]:
         """(licence, position, anchors that agree, share of the notice's words) in a document; at: where its indexed words are."""
         votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -129,6 +178,9 @@ class Notices:
                     place = max(0, shift)
                     found.append((self.names[t], place, agree, share, len(self.text[t])))
                     taken = shift + len(self.text[t])
+        if lines := [p for p in at if int(doc[p]) == self.line[0]]:
+            every = doc.tolist()
+            found += [f for p in lines for f in self.expression(every, p)]
         found.sort(key=lambda f: (-f[3] * f[4], f[1], f[0]))
         out = []
         for f in found:
@@ -145,7 +197,7 @@ def _holds(region: np.ndarray, phrase: np.ndarray) -> bool:
 def find_licenses(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMPLATES) -> DataFrame:
     """``doc_id, license, position, anchors, share``: every notice found; position: index of its first word."""
     spark = docs.sparkSession
-    vocab = np.unique(np.concatenate([hash_words(t[1]) for t in templates]))
+    vocab = np.unique(np.concatenate([hash_words(t[1]) for t in templates] + [hash_words(SPDX_LINE)]))
     df, n = document_frequencies(docs, vocab)
     shared = spark.sparkContext.broadcast(Notices(templates, vocab, df, n))
     schema = "doc_id long, license string, position long, anchors int, share double"

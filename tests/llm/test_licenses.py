@@ -60,3 +60,30 @@ def licences(spark, *texts):
 def test_two_licences_on_a_line(spark):
     got = licences(spark, "Licensed under either of Apache License, Version 2.0 or MIT license", "Released under the MIT license or licensed under CC BY 4.0.", "This program is licensed under the GNU General Public License, version 2.")
     assert got == [{"Apache-2.0", "MIT"}, {"MIT", "CC-BY-4.0"}, {"GPL-2.0"}]
+
+
+FSF = """# This file is part of a tool.
+# A tool is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {}General Public License as published by
+# the Free Software Foundation, {}either version {} of the License, or
+# (at your option) any later version.
+#
+# It is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."""
+
+
+def test_headers_of_files(spark):
+    got = licences(
+        spark, FSF.format("", "", 3), FSF.format("", "", 2), FSF.format("Lesser ", "", "2.1"), FSF.format("Affero ", "", 3),
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "the GNU General Public License as published by someone, in version 3 of a text",
+    )
+    assert got == [{"GPL-3.0"}, {"GPL-2.0"}, {"LGPL"}, {"AGPL-3.0"}, {"GPL-2.0"}, {"ISC"}, set()]
+
+
+def test_spdx_lines(spark):
+    got = licences(
+        spark, "// SPDX-License-Identifier: MIT\nint x;", "SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) AND Apache-2.0 WITH LLVM-exception", "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR BSD-3-Clause",
+        "SPDX-License-Identifier: Foo-1.0 OR ISC", "SPDX-License-Identifier: MIT-0", "SPDX-License-Identifier: LGPL-2.1+\nimport mit or isc", "the identifier of a license: MIT", "SPDX-License-Identifier:",
+    )
+    assert got == [{"MIT"}, {"GPL-2.0", "MIT", "Apache-2.0"}, {"GPL-2.0", "BSD"}, {"ISC"}, {"MIT-0"}, {"LGPL"}, set(), set()]
