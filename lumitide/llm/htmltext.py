@@ -7,8 +7,8 @@ and scaled to the page's greatest, and fused as length * (1 + punctuation) / 2.
 content if the path's mean fused value reaches ``LAMBDA`` standard deviations of all nodes'.
 
 Markup needn't be well formed: an end tag closes up to its start tag or is ignored, block tags
-end an open paragraph, list items and cells end their like, unclosed comments and scripts run to
-the end.  Defined results: a null or empty page, and one without text nodes, gives no nodes and an
+end an open paragraph, list items and cells end their like, an open head ends at text or at the
+first start tag that can't stand in it, unclosed comments and scripts run to the end.  Defined results: a null or empty page, and one without text nodes, gives no nodes and an
 empty text; with a single path, or all values equal, everything is content.
 """
 
@@ -31,6 +31,7 @@ RADIUS, SIGMA, LAMBDA = 2, 1.0, 0.8
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)(?:(?:[^>\"'<]+|\"[^\"<]*\"|'[^'<]*')*+>|[^>]*>?)", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style noscript template svg math textarea select iframe object canvas head".split())
+HEAD = frozenset("html head title meta link base basefont bgsound style script noscript noframes template".split())
 RAW = frozenset(("script", "style", "textarea"))
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 LIKE = {"li": ("li", frozenset(("ul", "ol", "menu"))), "dt": ("dt dd", frozenset(("dl",))), "dd": ("dt dd", frozenset(("dl",))), "tr": ("tr td th", frozenset(("table",))), "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table"))), "option": ("option", frozenset(("select",)))}
@@ -54,6 +55,8 @@ def text_nodes(page: str) -> list[tuple[str, str]]:
             skipping = 0
 
     def add(text: str) -> None:
+        if skipping and stack[-1] == "head" and text.strip():
+            pop(stack.index("head"))
         if skipping or not text:
             return
         text = SPACE.sub(" ", html.unescape(text)).strip()
@@ -114,6 +117,8 @@ def text_nodes(page: str) -> list[tuple[str, str]]:
                     outer = i
             if outer is not None:
                 pop(outer)
+        if skipping and stack[-1] == "head" and name not in HEAD:
+            pop(stack.index("head"))
         if name in VOID or m[0].endswith("/>"):
             continue
         if name == "body" and skipping and "head" in stack:

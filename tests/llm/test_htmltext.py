@@ -76,3 +76,14 @@ def test_odd_rows(spark):
     assert out.count() == 7 and {r.text for r in out.where("page_id < 4").collect()} == {""}
     assert out.where("page_id = 4").count() == 2 and out.where("page_id is null").first().text == "x"
     assert H.extract_pages(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>x</title><p>text", [("/html/p", "text")]), ("<html><head><meta charset=utf-8><link rel=a><title>x</title><script>y</script><div>a</div>b", [("/html/div", "a"), ("/html", "b")]), ("<head><title>x</title>only text", [("", "only text")]),
+        ("<head><title>x</title><br>a<p>b", [("", "a"), ("/p", "b")]), ("<head><noscript><img src=x></noscript><title>x</title></head><body>a", [("/body", "a")]), ("<head><style>p</style>\n<template><p>x</p></template>\n</head>a", [("", "a")]), ("<head><title>x</title><body><p>a", [("/body/p", "a")]),
+    ],
+)
+def test_an_open_head_ends(page, want):
+    assert H.text_nodes(page) == want
