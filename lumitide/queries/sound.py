@@ -70,6 +70,13 @@ def mix_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.mix([(pcm.where("clip_id = 0"), 1.0, 0), (pcm.where("clip_id = 1"), 0.5, 200_000)], 10).select("i", "ch", F.round("v", 6).alias("v"))
 
 
+@query(f"WITH {PCM}, p AS (SELECT i + clip_id * 64 AS i, ch, v FROM pcm) SELECT i, ch, round(greatest(least(sum(v), 1e0), -1e0), 6) AS v FROM (SELECT i, ch, v FROM p UNION ALL SELECT i + 2, ch, v * 0.5e0 FROM p) GROUP BY ALL")
+def mix_two_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clips, one after the other with pauses, mixed with a later and softer copy."""
+    pcm = samples(spark, sf_dir).withColumn("i", F.col("i") + F.col("clip_id") * 64)
+    return compose.mix([(pcm, 1.0, 0), (pcm, 0.5, 200_000)], 10).select("i", "ch", F.round("v", 6).alias("v"))
+
+
 @query(f"WITH {PCM}, p AS (SELECT clip_id, i, max(abs(v)) AS peak FROM pcm GROUP BY ALL) SELECT clip_id, CAST(least(i * 10 // 32, 9) AS BIGINT) AS bucket, round(-max(peak), 6) AS lo, round(max(peak), 6) AS hi FROM p GROUP BY ALL")
 def waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = measures.waveform(samples(spark, sf_dir), F.lit(32), 10)
@@ -93,6 +100,14 @@ def concat_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(compose.concatenate_audio([pcm.where("clip_id = 0"), pcm.where("clip_id = 1")], [20, 20]))
 
 
+@query(f"WITH {PCM} SELECT clip_id AS source, i + 32 * part AS i, ch, round(v * CASE part WHEN 0 THEN 1e0 ELSE -0.5e0 END, 6) AS v FROM pcm, range(0, 2) AS r(part)")
+def concat_audio_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clip at its full length, followed by an inverted and softer copy."""
+    pcm = samples(spark, sf_dir).withColumn("source", F.col("clip_id"))
+    out = compose.concatenate_audio([pcm, pcm.withColumn("v", F.col("v") * -0.5)], [32, 32])
+    return out.select("source", "i", "ch", F.round("v", 6).alias("v"))
+
+
 @query(f"WITH {EV}, s AS (SELECT event_id, k + 1e0 AS v, k + 1e0 + (event_id % 5) * 0.03e0 AS a FROM ev) SELECT event_id, abs(v - a) <= 1e0 / 30e0 + 0.05e0 AS aligned FROM s")
 def av_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("k") + 1.0
