@@ -326,6 +326,33 @@ def union_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vision.union_roi(got, ["at_us"], 64, 64)
 
 
+# the same for all subjects at every hour
+_HOURLY = lambda sql: sql.replace("range(0, 720, 12)", "range(0, 720)")
+
+
+@query(_HOURLY(f"WITH {_LIN} SELECT at_us, subject, round(cx, 6) AS cx, round(cy, 6) AS cy, round(radius, 6) AS radius, lifecycle FROM re"))
+def mask_regions_linear_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir), width=8 * HOUR)
+    return got.select("at_us", "subject", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "radius")], "lifecycle")
+
+
+@query(_HOURLY(f"WITH {MASKS}, {_LIVE}, {_HR} SELECT at_us, subject, cx, cy, radius FROM hr JOIN lv ON (at_us >= t_us OR nth = 1) AND (tb IS NULL OR at_us < tb)"))
+def mask_regions_hold_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir), interpolation="hold", missing="hold_last", width=8 * HOUR)
+    return got.select("at_us", "subject", "cx", "cy", "radius")
+
+
+@query(_HOURLY(f"WITH {MASKS}, {_LIVE}, {_HR} SELECT at_us, subject, cx, radius FROM hr JOIN lv ON at_us >= t_us AND (tb IS NULL OR at_us < tb) UNION ALL SELECT at_us, subject, 0, 1000000 FROM hr JOIN lv ON nth = 1 AND at_us < t_us"))
+def mask_regions_opaque_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir), interpolation="hold", missing="opaque", width=8 * HOUR)
+    return got.select("at_us", "subject", "cx", "radius")
+
+
+@query(_HOURLY(f"WITH {_LIN}, bx AS (SELECT at_us, greatest(greatest(CAST(greatest(round(cx), 0) AS BIGINT) - (CAST(ceil(radius) AS BIGINT) + 1), 0) - 1, 0) AS x0, greatest(greatest(CAST(greatest(round(cy), 0) AS BIGINT) - (CAST(ceil(radius) AS BIGINT) + 1), 0) - 1, 0) AS y0, CAST(greatest(round(cx), 0) AS BIGINT) + CAST(ceil(radius) AS BIGINT) + 2 AS x1, CAST(greatest(round(cy), 0) AS BIGINT) + CAST(ceil(radius) AS BIGINT) + 2 AS y1 FROM re), g AS (SELECT at_us, min(x0) AS x0, min(y0) AS y0, least(max(x1), 64) AS x1, least(max(y1), 64) AS y1 FROM bx GROUP BY at_us) SELECT * FROM g WHERE x0 < x1 AND y0 < y1"))
+def union_roi_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vision.union_roi(vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir), width=8 * HOUR), ["at_us"], 64, 64)
+
+
 @query(f"WITH {MASKS} SELECT lifecycle, count(*) AS n, count(DISTINCT subject) AS subjects FROM ms WHERE NOT occluded GROUP BY lifecycle")
 def prune_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vision.prune(masks(spark, sf_dir)).groupBy("lifecycle").agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))

@@ -13,3 +13,10 @@ def test_all_samples_are_mixed_and_concatenated(spark):
     assert mixed.select("clip").distinct().count() == clips and mixed.agg({"at": "max"}).first()[0] == 33
     both = core.queries()["concat_audio_whole"](spark, SF)
     assert both.count() == 2 * n and both.select("source").distinct().count() == clips
+
+
+def test_regions_of_all_subjects_at_all_hours(spark):
+    users = views.masks(spark, SF).where("not occluded").select("subject").distinct().count()
+    got = core.queries()["mask_regions_hold_hourly"](spark, SF)
+    assert got.select("subject").distinct().count() == users and got.select("at_us").distinct().count() == 720
+    assert core.queries()["union_roi_hourly"](spark, SF).select("at_us").distinct().count() == 720
