@@ -293,6 +293,35 @@ def plan_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bytes(linear.execute(Context(spark), linear.Plan.from_json(doc), clip).pictures())
 
 
+def _extent(spark: SparkSession, sf_dir: str) -> int:
+    """Microseconds up to the end of the last frame."""
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    return 1_000_000 if last is None else (last + 1) * 1_000_000
+
+
+@query(f"WITH {PX} SELECT CAST(vec_id * 2 + j AS BIGINT) AS idx, array_to_string(list_transform(range(64), lambda i: 255 - px[(i // 8) * 8 + 7 - i % 8 + 1]), ',') AS px FROM fr, range(0, 2) AS r(j)")
+def graph_run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph document without a trim, run over all pictures as one clip, sampled at two frames a second."""
+    end = _extent(spark, sf_dir)
+    whole = _frames(spark, sf_dir).withColumns({"clip_id": F.lit("all"), "dur_us": F.lit(end).cast("bigint")})
+    op = lambda name, operation, source: {"id": name, "body": {"kind": "op", "operation": operation, "params": {}}, "inputs": [source]}
+    doc = {
+        "version": 1, "assets": [{"id": "a", "uri": "seed"}], "outputs": [{"name": "main", "node": "out"}],
+        "nodes": [{"id": "src", "body": {"kind": "source", "asset": "a"}, "inputs": []}, op("flip", "transform.hflip", "src"), op("inv", "color.invert", "flip"), {"id": "out", "body": {"kind": "output", "name": "main"}, "inputs": ["inv"]}],
+    }
+    clip = materialize(Context(spark, {"a": Clip(whole, end, 8, 8, 1.0)}), Graph.from_json(doc))["main"]
+    return FR.to_arrays(clip.sampled(2.0)).select("idx", joined("px"))
+
+
+@query(f"WITH {PX} SELECT vec_id, array_to_string(list_transform(range(16), lambda i: px[(5 - i % 4) * 8 + i // 4 + 3]), ',') AS px FROM fr")
+def plan_run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear plan without a trim, over all pictures: two crops that merge, two flips that cancel, a quarter turn."""
+    doc = {"version": 1, "source": {"type": "file", "path": "seed"}, "ops": [{"op": "identity"}, {"op": "crop", "x": 1, "y": 1, "w": 6, "h": 6}, {"op": "crop", "x": 1, "y": 1, "w": 4, "h": 4}, {"op": "h_flip"}, {"op": "h_flip"}, {"op": "transpose_cw"}]}
+    end = _extent(spark, sf_dir)
+    clip = Clip(_frames(spark, sf_dir).withColumn("dur_us", F.lit(end).cast("bigint")), end, 8, 8, 1.0)
+    return _bytes(linear.execute(Context(spark), linear.Plan.from_json(doc), clip).pictures())
+
+
 # tracks and masks
 
 

@@ -150,6 +150,13 @@ def concat_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.concatenate([fr, fr], [DAY, DAY]).select(*OUT)
 
 
+@query(f"WITH {FRAMES} SELECT 'concat' AS clip_id, event_id, t_us + part * {SPAN} AS t_us, e_us + part * {SPAN} AS e_us, {2 * SPAN}::BIGINT AS dur_us FROM fr, range(0, 2) AS r(part)")
+def concat_clips_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips at their own lengths, one after the other."""
+    fr = frames(spark, sf_dir)
+    return compose.concatenate([fr, fr], [SPAN, SPAN]).select(*OUT)
+
+
 @query(f"""WITH {FRAMES}, {USER_HOURS}, ly AS (SELECT clip_id, t_us AS s, {9 * HOUR} + k * {HOUR} AS d, event_id % 4 AS li, event_id AS seq, 0.5e0 + 0.1e0 * (event_id % 6) AS o, CAST(k AS DOUBLE) AS v FROM fr),
 st AS (SELECT uh.clip_id, at_us, list({{'v': v, 'o': o}} ORDER BY li, seq) AS st FROM uh JOIN ly ON uh.clip_id = ly.clip_id AND at_us >= s AND at_us < s + d GROUP BY uh.clip_id, at_us)
 SELECT uh.clip_id, uh.at_us, CAST(CASE WHEN st IS NULL THEN 16 ELSE list_reduce(list_prepend({{'v': 16e0, 'o': 1e0}}, st), lambda a, x: {{'v': round(x.v * least(x.o, 1e0) + a.v * (1e0 - least(x.o, 1e0))), 'o': 1e0}}).v END AS INTEGER) AS value, CAST(coalesce(len(st), 0) AS INTEGER) AS n_layers

@@ -20,3 +20,10 @@ def test_regions_of_all_subjects_at_all_hours(spark):
     got = core.queries()["mask_regions_hold_hourly"](spark, SF)
     assert got.select("subject").distinct().count() == users and got.select("at_us").distinct().count() == 720
     assert core.queries()["union_roi_hourly"](spark, SF).select("at_us").distinct().count() == 720
+
+
+def test_all_frames_are_concatenated_and_run(spark):
+    frames = views.frames(spark, SF).count()
+    assert core.queries()["concat_clips_whole"](spark, SF).count() == 2 * frames
+    vectors = views.table(spark, SF, "embeddings").count()
+    assert core.queries()["graph_run_whole"](spark, SF).count() == 2 * vectors and core.queries()["plan_run_whole"](spark, SF).count() == vectors
