@@ -222,8 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     sizes = sample.select("doc_id", F.octet_length("text").alias("size")).orderBy(order, "doc_id").collect()
     total, fits = 0, []
     for r in sizes:
-        total += r["size"]
-        if total <= train_bytes:
+        if total + r["size"] <= train_bytes:  # one that doesn't fit is passed over
+            total += r["size"]
             fits.append(r["doc_id"])
     rows = (sample if len(fits) == len(sizes) else sample.where(F.col("doc_id").isin(fits))).toArrow().sort_by("doc_id")
     y = np.stack([rows.column("quality").to_numpy(), rows.column("toxic").to_numpy()], 1) if rows.num_rows else np.empty((0, 2))

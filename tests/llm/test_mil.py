@@ -95,3 +95,14 @@ def test_the_bound_is_kept(spark, odd):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in (4, 5, 6, 7, 9, 10)], "doc_id long, quality int, toxic int")
     assert mil.fit(odd, labels, train_docs=1).constant == (1.0, 0.0)
     assert mil.fit(odd, labels, train_bytes=100).constant is not None
+
+
+def test_a_very_long_text_does_not_empty_the_sample(spark, monkeypatch):
+    ids = [r[0] for r in spark.range(1, 9).selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()]
+    rows = [(d, "long words " * 1000 if d == ids[0] else f"text {d} of few words") for d in ids]
+    labels = [(d, n % 2, n // 2 % 2) for n, d in enumerate(ids)]
+    seen = []
+    train = mil.train
+    monkeypatch.setattr(mil, "train", lambda texts, y, **k: seen.append((len(texts), int(sum(len(t.as_py()) for t in texts)))) or train(texts, y, **k))
+    m = mil.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), train_bytes=1000)
+    assert seen[0][0] == 7 and seen[0][1] <= 1000 and m.constant == (None, None)
