@@ -2,20 +2,25 @@
 
 The words of all notice templates are counted over all documents.  Each template is indexed under
 its ``ANCHORS`` words of highest IDF, with their positions.  A file's indexed words are looked up
-from the rarest on; postings whose file position minus template position agrees (within ``SLACK``)
-intersect to candidate places, and a candidate holds if the template's mandatory phrases stand,
-word for word, within its stretch.  Headers in files (those of the FSF, ISC and others) are templates
+from the rarest on, and postings are intersected by file position minus template position.  A notice
+stands where the template's first mandatory phrase stands word for word, at least ``AGREE`` of the
+anchors agree with that place (within ``SLACK`` words), and the other mandatory phrases stand within
+the template's stretch there.  Headers in files (those of the FSF, ISC and others) are templates
 of their own, as long as the whole notice.  After the words of an SPDX line its expression is read:
 each identifier of ``SPDX`` in it is a notice at its place, unknown ones are passed over.
 
-Defined results: an empty or null text has no notice; rows with a null id are counted but have no
-results; a notice that occurs several times gives a row for each place; where notices of the same
-licence overlap (a short one inside a long one) the one with more words found is reported; notices of
-different licences are all reported, also on one line.
+Defined results: an empty or null text has no notice, and an empty table no row; rows with a null id
+are counted but have no results; repeated rows are scanned each, so each has its notices, and rows
+that share an id give the notices of each; a text of any length is scanned whole, in time that grows
+with its length; a notice that occurs several times, also one right after the other, gives a row for
+each place.  Where the words that make notices of the same licence overlap (a short one inside a long
+one) the one with more words found is reported, of equals the first; notices of different licences are
+all reported, also on one line.  Words of equal IDF are ranked by their hashes.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -113,11 +118,20 @@ def lookup(h: np.ndarray, vocab: np.ndarray, maybe: np.ndarray) -> tuple[np.ndar
     return at[ok], k[ok]
 
 
+def _offset(text: np.ndarray, phrase: np.ndarray) -> int:
+    """Where a notice holds its first mandatory phrase."""
+    for i in range(len(text) - len(phrase) + 1):
+        if np.array_equal(text[i : i + len(phrase)], phrase):
+            return i
+    raise ValueError("a notice must hold its first mandatory phrase")
+
+
 class Notices:
     def __init__(self, templates: list[tuple[str, str, list[str]]], vocab: np.ndarray, df: np.ndarray, n: int):
         self.names = [t[0] for t in templates]
         self.text = [hash_words(t[1]) for t in templates]
         self.phrases = [[hash_words(p) for p in t[2]] for t in templates]
+        self.offset = [_offset(h, p[0]) for h, p in zip(self.text, self.phrases)]
         idf = dict(zip(vocab.tolist(), np.log((n + 1) / (df + 1)).tolist()))
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.anchors = []
@@ -154,39 +168,59 @@ class Notices:
 
     def find(self, doc: np.ndarray, at: list[int]) -> list[tuple[str, int, int, float]]:
         """(licence, position, anchors that agree, share of the notice's words) in a document; at: where its indexed words are."""
-        votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        votes: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for x, p in sorted(((int(doc[p]), p) for p in at), key=lambda v: (-self.idf[v[0]], v[1])):
             for t, q in self.postings[x]:
-                votes[t].append((p - q, x))
+                votes[t].append((p - q, x, p))
         found = []
         for t, seen in votes.items():
-            seen.sort()
             need = max(1, int(np.ceil(self.anchors[t] * AGREE)))
-            if len({x for _, x in seen}) < need:
+            if len({x for _, x, _ in seen}) < need:
                 continue
-            i, taken = 0, -(10**9)
-            for j, (shift, _) in enumerate(seen):  # a window of shifts that agree
-                while seen[i][0] < shift - SLACK:
+            seen.sort()
+            size, words_of = len(self.text[t]), np.unique(self.text[t])
+            first, off = self.phrases[t][0], self.offset[t]
+            i = j = 0
+            for place in _places(doc, first, [s + off for s, _, _ in seen]):
+                shift = place - off
+                while i < len(seen) and seen[i][0] < shift - SLACK:
                     i += 1
-                agree = len({x for _, x in seen[i : j + 1]})
-                begin = seen[i][0]
-                if agree < need or begin < taken:
+                j = max(i, j)
+                while j < len(seen) and seen[j][0] <= shift + SLACK:
+                    j += 1
+                near: dict[int, tuple[int, int]] = {}  # of each anchor the occurrence that agrees best
+                for s, x, p in seen[i:j]:
+                    if x not in near or abs(s - shift) < near[x][0]:
+                        near[x] = abs(s - shift), p
+                if len(near) < need:
                     continue
-                stretch = doc[max(0, begin - SLACK) : shift + len(self.text[t]) + SLACK]
-                if all(_holds(stretch, p) for p in self.phrases[t]):
-                    share = float(np.isin(np.unique(self.text[t]), stretch).mean())
-                    place = max(0, shift)
-                    found.append((self.names[t], place, agree, share, len(self.text[t])))
-                    taken = shift + len(self.text[t])
+                stretch = doc[max(0, shift - SLACK) : shift + size + SLACK]
+                if all(_holds(stretch, p) for p in self.phrases[t][1:]):
+                    share = float(np.isin(words_of, stretch).mean())
+                    held = [p for _, p in near.values()]
+                    found.append((self.names[t], max(0, shift), len(near), share, size, min(place, *held), max(place + len(first), *(p + 1 for p in held))))
         if lines := [p for p in at if int(doc[p]) == self.line[0]]:
             every = doc.tolist()
-            found += [f for p in lines for f in self.expression(every, p)]
+            found += [(*f, f[1], f[1] + f[4]) for p in lines for f in self.expression(every, p)]
         found.sort(key=lambda f: (-f[3] * f[4], f[1], f[0]))
+        taken: dict[str, list[tuple[int, int]]] = defaultdict(list)  # spans of each licence, in order
         out = []
         for f in found:
-            if not any(f[0] == o[0] and f[1] < o[1] + o[4] and o[1] < f[1] + f[4] for o in out):  # other licences stand beside it
-                out.append(f)
-        return [f[:4] for f in sorted(out, key=lambda f: (f[1], f[0]))]
+            spans, k = taken[f[0]], bisect_left(taken[f[0]], f[5:])
+            if (k and spans[k - 1][1] > f[5]) or (k < len(spans) and spans[k][0] < f[6]):
+                continue
+            spans.insert(k, f[5:])
+            out.append(f[:4])
+        return sorted(out, key=lambda f: (f[1], f[0]))
+
+
+def _places(doc: np.ndarray, phrase: np.ndarray, near: list[int]) -> list[int]:
+    """Where the phrase stands, word for word, within SLACK of one of the places."""
+    at = np.unique((np.array(near)[:, None] + np.arange(-SLACK, SLACK + 1)).reshape(-1))
+    at = at[(at >= 0) & (at + len(phrase) <= len(doc))]
+    for k, x in enumerate(phrase):
+        at = at[doc[at + k] == x]
+    return at.tolist()
 
 
 def _holds(region: np.ndarray, phrase: np.ndarray) -> bool:

@@ -87,3 +87,61 @@ def test_spdx_lines(spark):
         "SPDX-License-Identifier: Foo-1.0 OR ISC", "SPDX-License-Identifier: MIT-0", "SPDX-License-Identifier: LGPL-2.1+\nimport mit or isc", "the identifier of a license: MIT", "SPDX-License-Identifier:",
     )
     assert got == [{"MIT"}, {"GPL-2.0", "MIT", "Apache-2.0"}, {"GPL-2.0", "BSD"}, {"ISC"}, {"MIT-0"}, {"LGPL"}, set(), set()]
+
+
+def test_a_row_for_each_place(spark):
+    rows = [(1, "All rights reserved. " * 6), (2, "All rights reserved. " * 8000), (4, "Released under the MIT License. " * 3 + "Licensed under CC BY 4.0. " * 2)]
+    got = {}
+    for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault((r.doc_id, r.license), []).append(r.position)
+    assert sorted(got[1, "proprietary"]) == list(range(0, 18, 3)) and len(got[2, "proprietary"]) == 8000
+    assert len(got[4, "MIT"]) == 3 and len(got[4, "CC-BY-4.0"]) == 2
+
+
+def slow_find(texts):
+    """Every place of every template, tried one after the other."""
+    import math
+
+    split = [brute.words(t) for t in texts]
+    df = {}
+    for w in split:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    out = []
+    for k, w in enumerate(split):
+        hits = []
+        for name, notice, phrases in licenses.TEMPLATES:
+            t, ps = brute.words(notice), [brute.words(p) for p in phrases]
+            idf = lambda x: round(math.log((len(texts) + 1) / (df.get(x, 0) + 1)), 12)
+            rare = sorted(set(t), key=lambda x: (-idf(x), int(licenses.hash_words(x)[0])))[: licenses.ANCHORS]
+            off = next(i for i in range(len(t)) if t[i : i + len(ps[0])] == ps[0])
+            for at in range(len(w)):
+                if w[at : at + len(ps[0])] != ps[0]:
+                    continue
+                shift, near = at - off, {}
+                for x in rare:
+                    agree = sorted((abs(p - q - shift), p - q, p) for p in range(max(0, shift - 3), min(len(w), shift + len(t) + 3)) if w[p] == x for q in range(len(t)) if t[q] == x and abs(p - q - shift) <= licenses.SLACK)
+                    if agree:
+                        near[x] = agree[0][2]
+                stretch = w[max(0, shift - 3) : shift + len(t) + 3]
+                if len(near) >= max(1, math.ceil(len(rare) / 2)) and all(has(stretch, p) for p in ps):
+                    share = len(set(t) & set(stretch)) / len(set(t))
+                    hits.append((-share * len(t), max(0, shift), name, len(near), share, min(at, *near.values()), max(at + len(ps[0]), *(p + 1 for p in near.values()))))
+        taken = []
+        for h in sorted(hits, key=lambda h: (h[0], h[1], h[2])):
+            if not any(n == h[2] and b < h[6] and h[5] < e for n, b, e in taken):
+                taken.append((h[2], h[5], h[6]))
+                out.append((k, h[2], h[1], h[3], round(h[4], 9)))
+    return sorted(out)
+
+
+def test_against_every_place_of_every_template(spark, texts):
+    import random
+
+    rng = random.Random(3)
+    pieces = [t[1] for t in licenses.TEMPLATES] + ["some words between", "mit license", "all rights", "the gnu general public license, version 2"]
+    made = [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(80)]
+    for data in (made, [t or "" for t in texts.values()]):
+        df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+        got = sorted((r.doc_id, r.license, r.position, r.anchors, round(r.share, 9)) for r in licenses.find_licenses(df).collect())
+        assert got and got == slow_find(data)
