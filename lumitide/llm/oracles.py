@@ -1,11 +1,19 @@
 """DuckDB SQL for the queries that SQL can express.
 
-Operator 10 is approximate; its SQL compares all pairs and follows them to their groups.
+Operator 6's compares the texts of all runs of 50 words.  Operator 10 is approximate; its SQL compares all pairs and follows them to their groups.
 """
 
 from __future__ import annotations
 
+#: The words of a lower-cased text, as :mod:`.tokens` splits them.
+WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\x{3040}-\x{9FFF}]|[0-9a-z\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{A000}-\x{10FFFF}]+')"
+
 ORACLES: dict[str, str] = {
+    "op6_sparse_suffix_dedup": f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM w WHERE len(w) >= 50)),
+hit AS (SELECT DISTINCT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING min(doc_id) < max(doc_id))),
+run AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM hit)
+SELECT doc_id, min(i) AS start_word, max(i) + 50 AS end_word, max(i) + 50 - min(i) AS n_words FROM run GROUP BY doc_id, island""",
     "op10_pstable_embeddings": """WITH RECURSIVE u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95e0),
 r AS (SELECT x, x AS y FROM p UNION SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)

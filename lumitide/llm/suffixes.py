@@ -13,12 +13,18 @@
    agree with a neighbour on the rest of ``least`` words to the right are compared to the left.
 5. The places found in each document are merged to maximal passages.
 
+First words that begin more than ``HOT`` suffixes are too many for one task's sort.  Their groups of
+equal surroundings are counted by partial aggregates instead, and what step 4 would compare is counted
+by the hash of each stretch of ``least`` words; the result is the same.
+
 What is compared at one suffix is the ``least`` words around it; longer passages come out whole
 since each of their parts is found and step 5 joins them.
 
-Defined results: null, empty and shorter texts have no passages; a passage that repeats only
-within one document isn't reported; rows with a null id are left out; rows that share an id are
-one document, so a copy under the same id isn't a repeat.
+Defined results: null, empty and shorter texts have no passages, and an empty table has no rows; a
+passage that repeats only within one document isn't reported; rows with a null id are left out; rows
+that share an id are one document, so a copy under the same id isn't a repeat, and their passages are
+those of all its texts, by word position; a text of any length is read whole; passages may overlap
+where no other document holds a stretch across the seam.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import functions as F
 from .store import save, small
 from .tokens import Words, mix, spans, text_slices, words
 
-LEAST, K = 50, 16
+LEAST, K, HOT = 50, 16, 50_000
 
 
 def _sliding(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
@@ -130,9 +136,35 @@ def contexts(docs: DataFrame, marked: DataFrame, least: int = LEAST, k: int = K)
                 cols.append(pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(took.tobytes())]))
             yield pa.RecordBatch.from_arrays([key, b.column("id").take(pa.array(row)), pa.array(pos.astype(np.int32)), *cols], schema=schema)
 
-    at = marked.groupBy("id").agg(F.collect_list(F.struct("pos", "key")).alias("at"))
+    return _marked_texts(docs, marked).mapInArrow(run, "key long, id long, pos int, right binary, left binary")
+
+
+def _marked_texts(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``id, text, at``: the texts of the marked suffixes' documents with their places."""
+    at = marked.groupBy("id").agg(F.collect_set(F.struct("pos", "key")).alias("at"))
     texts = _source(docs).join(small(save(marked.select("id").distinct())), "id", "left_semi")
-    return texts.join(at, "id").select("id", "text", "at").mapInArrow(run, "key long, id long, pos int, right binary, left binary")
+    return texts.join(at, "id").select("id", "text", "at")
+
+
+def stretches(docs: DataFrame, marked: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
+    """``stretch, id, start``: hash and place of each run of ``least`` words that holds a marked suffix's first k words."""
+    reach = least - k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, limit=1 << 20):
+            w = words(b.column("text"))
+            lists = b.column("at")
+            pos = lists.flatten().field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
+            first = pos[:, None] - np.arange(reach + 1)
+            ok = (first >= 0) & (first + least <= w.counts()[row][:, None])
+            place = np.unique((w.first[row][:, None] + first)[ok])
+            if len(place):
+                of = np.searchsorted(w.first, place, "right") - 1
+                cols = [pa.array(spans(w.hash, place, place + least).view(np.int64)), b.column("id").take(pa.array(of)), pa.array(place - w.first[of])]
+                yield pa.RecordBatch.from_arrays(cols, names=["stretch", "id", "start"])
+
+    return _marked_texts(docs, marked).mapInArrow(run, "stretch long, id long, start long")
 
 
 def _matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +175,8 @@ def _matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def compare(key: np.ndarray, ids: np.ndarray, pos: np.ndarray, right: pa.Array, left: pa.Array, least: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, begin, end and partner of each sorted suffix that lies in a repeated passage."""
+def compare(key: np.ndarray, ids: np.ndarray, pos: np.ndarray, right: pa.Array, left: pa.Array, least: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of each run of repeated stretches around sorted suffixes."""
     reach = least - k
     r, nr = _matrix(right, reach)
     l, nl = _matrix(left, reach)
@@ -154,8 +186,7 @@ def compare(key: np.ndarray, ids: np.ndarray, pos: np.ndarray, right: pa.Array,
         eq = (r[1:] == r[:-1]) & (np.arange(reach) < np.minimum(nr[1:], nr[:-1])[:, None])
         agree[1:] = np.where(eq.all(1), reach, eq.argmin(1)) if reach else 0
     agree[~same] = -1
-    first, last = np.full(len(key), -1), np.full(len(key), -1)
-    partner = np.full(len(key), np.iinfo(np.int64).max)
+    hits, shifts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     back = np.zeros(len(key), np.uint64)
     for o in range(reach + 1):
         if o:
@@ -169,19 +200,20 @@ def compare(key: np.ndarray, ids: np.ndarray, pos: np.ndarray, right: pa.Array,
         rows, mark = rows[order], mark[order]
         begin = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
         lo, hi = np.minimum.reduceat(ids[rows], begin), np.maximum.reduceat(ids[rows], begin)
-        n = np.diff(np.append(begin, len(rows)))
-        ok = np.repeat(lo != hi, n)
-        other = np.where(ids[rows] == np.repeat(lo, n), np.repeat(hi, n), np.repeat(lo, n))
-        hit = rows[ok]
-        last[hit] = o
-        first[hit] = np.where(first[hit] < 0, o, first[hit])
-        partner[hit] = np.minimum(partner[hit], other[ok])
-    hit = np.flatnonzero(last >= 0)
-    return hit, pos[hit] - last[hit], pos[hit] - first[hit] + least, partner[hit]
+        hit = rows[np.repeat(lo != hi, np.diff(np.append(begin, len(rows))))]
+        hits.append(hit)
+        shifts.append(np.full(len(hit), o))
+    hit, shift = np.concatenate(hits), np.concatenate(shifts)
+    order = np.lexsort((shift, hit))
+    hit, shift = hit[order], shift[order]
+    new = np.append(True, (hit[1:] != hit[:-1]) | (shift[1:] != shift[:-1] + 1))[: len(hit)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(hit))[: len(first)] - 1
+    return hit[first], pos[hit[first]] - shift[last], pos[hit[first]] - shift[first] + least
 
 
 def matches(context: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
-    """``id, start, stop, other`` of the suffixes in repeated passages; context: sorted by key and right, whole keys in a partition."""
+    """``id, start, stop`` of the suffixes in repeated passages; context: sorted by key and right, whole keys in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -189,8 +221,8 @@ def matches(context: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
         def flush(t: pa.Table) -> pa.RecordBatch:
             c = {x: t.column(x).combine_chunks() for x in t.column_names}
             ids = c["id"].to_numpy()
-            hit, begin, end, other = compare(c["key"].to_numpy(), ids, c["pos"].to_numpy().astype(np.int64), c["right"], c["left"], least, k)
-            return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(begin), pa.array(end), pa.array(other)], names=["id", "start", "stop", "other"])
+            hit, begin, end = compare(c["key"].to_numpy(), ids, c["pos"].to_numpy().astype(np.int64), c["right"], c["left"], least, k)
+            return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(begin), pa.array(end)], names=["id", "start", "stop"])
 
         for b in batches:
             if not b.num_rows:
@@ -207,31 +239,53 @@ def matches(context: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return context.select("key", "id", "pos", "right", "left").mapInArrow(run, "id long, start long, stop long, other long")
+    return context.select("key", "id", "pos", "right", "left").mapInArrow(run, "id long, start long, stop long")
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
-    """``doc_id, start_word, end_word, n_words, other_doc_id``: every maximal passage of at least ``least`` words of which each stretch of ``least`` words is in another document.
+def _surroundings(marked: DataFrame, k: int) -> DataFrame:
+    """``id, start, stop`` of the whole surroundings of suffixes."""
+    return marked.select("id", (F.col("pos") - F.col("back")).cast("long").alias("start"), (F.col("pos") + F.col("ahead") + k).cast("long").alias("stop"))
 
-    other_doc_id: the smallest id seen among the documents that share part of it.
-    """
-    if not 0 < k <= least:
-        raise ValueError("k must be between 1 and least")
+
+def _sorted(docs: DataFrame, rows: DataFrame, least: int, k: int) -> DataFrame:
+    """``id, start, stop`` found by sorting: no first words have more rows than a task holds."""
     by_key, alike = Window.partitionBy("key"), Window.partitionBy("key", "around")
-    in_alike = alike.orderBy("id", "pos")
-    marked = suffixes(docs, least, k).withColumns({"lo": F.min("id").over(by_key), "hi": F.max("id").over(by_key)}).where("lo < hi")
-    marked = marked.withColumns({"lo": F.min("id").over(alike), "hi": F.max("id").over(alike), "nth": F.row_number().over(in_alike), "n": F.count("*").over(alike)})
+    marked = rows.withColumns({"lo": F.min("id").over(by_key), "hi": F.max("id").over(by_key)}).where("lo < hi")
+    marked = marked.withColumns({"lo": F.min("id").over(alike), "hi": F.max("id").over(alike), "nth": F.row_number().over(alike.orderBy("id", "pos")), "n": F.count("*").over(alike)})
     marked = marked.withColumn("done", F.col("lo") < F.col("hi")).withColumn("open", F.max(~F.col("done")).over(by_key))
     marked = marked.withColumn("compare", F.col("open") & (~F.col("done") | F.col("nth").isin(1) | (F.col("nth") == F.col("n"))))
-    other = F.when(F.col("done"), F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")))
-    marked = save(marked.where("done or compare").select("key", "id", "pos", "back", "ahead", "compare", other.alias("other")))
-    begin, end = (F.col("pos") - F.col("back")).cast("long"), (F.col("pos") + F.col("ahead") + k).cast("long")
-    done = marked.where("other is not null").select("id", begin.alias("start"), end.alias("stop"), "other")
+    marked = save(marked.where("done or compare").select("key", "id", "pos", "back", "ahead", "compare", "done"))
     context = contexts(docs, marked.where("compare").select("key", "id", "pos"), least, k)
     context = context.repartition(F.col("key")).sortWithinPartitions("key", "right", "id", "pos")
-    found = done.unionByName(matches(context, least, k))
-    in_order = Window.partitionBy("id").orderBy("start", "stop")
+    return _surroundings(marked.where("done"), k).unionByName(matches(context, least, k))
+
+
+def _counted(docs: DataFrame, rows: DataFrame, least: int, k: int) -> DataFrame:
+    """``id, start, stop`` found by partial aggregates only, for first words with any number of rows."""
+    alike = save(rows.groupBy("key", "around").agg(F.min("id").alias("lo"), F.max("id").alias("hi")))
+    known = save(rows.join(alike, ["key", "around"]).select("key", "id", "pos", "back", "ahead", (F.col("lo") < F.col("hi")).alias("done"), F.col("id").isin(F.col("lo"), F.col("hi")).alias("stands")))
+    runs = save(stretches(docs, known.where("not done or stands").select("key", "id", "pos"), least, k))
+    often = runs.groupBy("stretch").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("stretch")
+    found = runs.join(often, "stretch").select("id", "start", (F.col("start") + least).alias("stop"))
+    return _surroundings(known.where("done"), k).unionByName(found)
+
+
+def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, hot: int = HOT) -> DataFrame:
+    """``doc_id, start_word, end_word, n_words``: every maximal passage of at least ``least`` words of which each stretch of ``least`` words is in another document."""
+    if not 0 < k <= least:
+        raise ValueError("k must be between 1 and least")
+    rows = save(suffixes(docs, least, k))
+    hot_keys = save(rows.groupBy("key").count().where(F.col("count") > hot).select("key"))
+    if hot_keys.isEmpty():
+        found = _sorted(docs, rows, least, k)
+    else:
+        hot_keys = small(hot_keys)
+        found = _sorted(docs, rows.join(hot_keys, "key", "left_anti"), least, k).unionByName(_counted(docs, rows.join(hot_keys, "key", "left_semi"), least, k))
+    found = found.groupBy("id", "start").agg(F.max("stop").alias("stop"))
+    in_order = Window.partitionBy("id").orderBy("start")
     before = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = found.withColumn("new", F.when(F.col("start") > F.coalesce(before, F.lit(-1)), 1).otherwise(0)).withColumn("island", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = islands.groupBy("id", "island").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("other").alias("other_doc_id"))
-    return out.select(F.col("id").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc_id")
+    # a stretch that begins right after another's begin, or at it, goes on with it
+    new = F.when(F.col("start") > F.coalesce(before - least + 1, F.lit(-1)), 1).otherwise(0)
+    islands = found.withColumn("new", new).withColumn("island", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = islands.groupBy("id", "island").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"))
+    return out.select(F.col("id").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))

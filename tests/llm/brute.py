@@ -56,7 +56,7 @@ def repeats(texts: dict, least: int) -> dict:
         found: list[list[int]] = []
         for i in range(len(w) - least + 1):
             if len(seen[tuple(w[i : i + least])]) > 1:
-                if found and i <= found[-1][1]:
+                if found and i == found[-1][1] - least + 1:
                     found[-1][1] = i + least
                 else:
                     found.append([i, i + least])

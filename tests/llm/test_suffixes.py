@@ -10,7 +10,7 @@ from . import brute
 def passages(df):
     out = {}
     for r in sorted(df.collect(), key=lambda r: (r.doc_id, r.start_word)):
-        assert r.n_words == r.end_word - r.start_word and r.other_doc_id != r.doc_id
+        assert r.n_words == r.end_word - r.start_word
         out.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
     return out
 
@@ -33,12 +33,34 @@ def test_random_texts(spark, seed):
     assert passages(suffixes.repeated_passages(df, 8, 3)) == brute.repeats(dict(rows), 8)
 
 
-def test_partners_share_a_stretch(docs, texts):
-    for r in suffixes.repeated_passages(docs).limit(30).collect():  # a sample of what is checked, not of what is made
-        other = brute.words(texts[r.other_doc_id])
-        grams = {tuple(other[i : i + 50]) for i in range(len(other) - 49)}
-        w = brute.words(texts[r.doc_id])[r.start_word : r.end_word]
-        assert any(tuple(w[i : i + 50]) in grams for i in range(len(w) - 49))
+def test_passages_of_two_documents_side_by_side(spark):
+    a, b = [[f"{x}{k}" for k in range(75)] for x in "ab"]
+    touching = [(1, a[:50] + b[:50]), (2, a[:50]), (3, b[:50])]
+    crossing = [(11, a), (12, a[:50]), (13, a[25:75])]
+    for rows, want in ((touching, {1: [(0, 50), (50, 100)], 2: [(0, 50)], 3: [(0, 50)]}), (crossing, {11: [(0, 50), (25, 75)], 12: [(0, 50)], 13: [(0, 50)]})):
+        texts = [(k, " ".join(w)) for k, w in rows]
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        assert passages(suffixes.repeated_passages(df)) == want == brute.repeats(dict(texts), 50)
+        assert passages(suffixes.repeated_passages(df, hot=0)) == want
+
+
+@pytest.mark.parametrize("hot", [0, 3, 20])
+def test_hot_first_words_give_the_same(docs, texts, hot):
+    assert passages(suffixes.repeated_passages(docs, hot=hot)) == brute.repeats(texts, suffixes.LEAST)
+
+
+def test_the_sql_finds_the_same(spark, docs):
+    import duckdb
+
+    from lumitide.llm.oracles import ORACLES
+
+    from .conftest import SF
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = sorted(con.sql(ORACLES["op6_sparse_suffix_dedup"]).fetchall())
+    cols = ["doc_id", "start_word", "end_word", "n_words"]
+    assert want and sorted(map(tuple, suffixes.repeated_passages(docs).select(cols).collect())) == want
 
 
 def test_odd_rows(odd, empty):
