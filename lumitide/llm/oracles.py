@@ -1,15 +1,40 @@
 """DuckDB SQL for the queries that SQL can express.
 
-Operator 6's compares the texts of all runs of 50 words.  Operator 10 is approximate; its SQL compares all pairs and follows them to their groups.
+Operator 4's scores all passages against all units; operator 6's compares the texts of all runs of 50 words.  Operator 10 is approximate; its SQL compares all pairs and follows them to their groups.
 """
 
 from __future__ import annotations
 
-#: The words of a lower-cased text, as :mod:`.tokens` splits them.
-WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\x{3040}-\x{9FFF}]|[0-9a-z\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{A000}-\x{10FFFF}]+')"
+
+def words(text: str = "text") -> str:
+    """The words of the lower-cased text, as :mod:`.tokens` splits them."""
+    return rf"regexp_extract_all(lower(coalesce({text}, '')), '[\x{{3040}}-\x{{9FFF}}]|[0-9a-z\x{{C0}}-\x{{1FFF}}\x{{2080}}-\x{{2FFF}}\x{{A000}}-\x{{10FFFF}}]+')"
+
+
+def _grams(words: str, n: str) -> str:
+    return f"list_distinct(list_transform(range(len({words}) - ({n}) + 1), lambda i: array_to_string({words}[i + 1 : i + ({n})], ' ')))"
+
 
 ORACLES: dict[str, str] = {
-    "op6_sparse_suffix_dedup": f"""WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+    "op4_bm25_decontamination": f"""WITH b AS (SELECT row_number() OVER (ORDER BY item_id, text) AS k, item_id, {words()} AS w,
+  list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: len({words("x")})), lambda n: n > 0) AS parts FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT k, item_id, w, len(w) AS n, CASE WHEN len(parts) > 1 THEN parts[-1] ELSE greatest(1, len(w) // 5) END AS na FROM b WHERE len(w) > 0),
+unit AS (SELECT k, s AS u, w[s + 1 : s + 64] AS uw FROM (SELECT k, w, unnest(CASE WHEN n < 64 THEN [0] ELSE list_distinct(list_append(list_transform(range(n // 64), lambda x: x * 64), n - 64)) END) AS s FROM i)),
+tot AS (SELECT CAST(count(*) AS DOUBLE) AS n_units, avg(len(uw)) AS mean FROM unit),
+tf AS (SELECT k, u, t, size, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT k, u, len(uw) AS size, unnest(uw) AS t FROM unit) GROUP BY ALL),
+df AS (SELECT t, count(*) AS d FROM tf GROUP BY t),
+wt AS (SELECT k, u, t, ln(1 + (n_units - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS x FROM tf JOIN df USING (t), tot),
+imp AS (SELECT k, u, t, x / sum(x) OVER (PARTITION BY k, u) AS v FROM wt),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words()} AS w FROM documents WHERE doc_id IS NOT NULL),
+pt AS (SELECT DISTINCT r, p, unnest(w[p * 64 + 1 : p * 64 + 128]) AS t FROM (SELECT r, w, unnest(range((len(w) + 63) // 64)) AS p FROM d)),
+hit AS (SELECT r, p, k, max(s) AS s FROM (SELECT r, p, k, u, sum(v) AS s FROM pt JOIN imp USING (t) GROUP BY ALL) WHERE s >= 0.6 - 1e-9 GROUP BY ALL),
+cut AS (SELECT r, k, p, s, n, coalesce((p - lag(p) OVER (PARTITION BY r, k ORDER BY p)) * 64 > 128 + 2 * n, false) AS cut FROM hit JOIN i USING (k)),
+reg AS (SELECT r, k, n, g, min(p) * 64 - n AS b, (max(p) + 2) * 64 + n AS e, max(s) AS s FROM (SELECT *, sum(CAST(cut AS INT)) OVER (PARTITION BY r, k ORDER BY p) AS g FROM cut) GROUP BY r, k, n, g),
+h AS (SELECT doc_id, item_id, s, d.w[greatest(b, 0) + 1 : e] AS z, i.w[1 : i.n - na] AS q, i.w[i.n - na + 1 : i.n] AS a FROM reg JOIN d USING (r) JOIN i USING (k)),
+sh AS (SELECT doc_id, item_id, s, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect({_grams("q", "least(5, len(q))")}, {_grams("z", "least(5, len(q))")})) / len({_grams("q", "least(5, len(q))")}) END AS qs,
+  CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect({_grams("a", "least(3, len(a))")}, {_grams("z", "least(3, len(a))")})) / len({_grams("a", "least(3, len(a))")}) END AS sa FROM h)
+SELECT doc_id, item_id, round(max(s), 6) AS score, round(max(qs), 6) AS question_overlap, round(max(sa), 6) AS answer_overlap FROM sh WHERE qs >= 0.7 AND sa >= 0.7 GROUP BY doc_id, item_id""",
+    "op6_sparse_suffix_dedup": f"""WITH w AS (SELECT doc_id, {words()} AS w FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM w WHERE len(w) >= 50)),
 hit AS (SELECT DISTINCT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING min(doc_id) < max(doc_id))),
 run AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM hit)
