@@ -1,24 +1,33 @@
 """From LSH buckets to groups of near duplicates, without listing all pairs of a hot bucket.
 
-Two rounds give the components of the graph of *all* candidate pairs that verify:
+The groups are the components of the graph of *all* candidate pairs that verify:
 
 1. every bucket's members are compared with its smallest id; the edges that verify are
    contracted to components;
-2. in the buckets that still hold several components, every pair across components is compared.
+2. in a bucket that still holds several components, pairs across components are compared: if they are
+   no more than ``LIGHT`` for each member, all of them, in blocks of ``BLOCK`` members against those
+   outside of the largest component;
+3. heavier buckets have ``ROUNDS`` more rounds like the first, each with another member to compare with;
+   what is heavy still is given to ``refine``, which makes smaller buckets that lose no pair, and these
+   are treated alike.  Without ``refine`` they are compared in blocks, too.
 
 A pair inside a component needn't be compared, as its outcome can't change the components.  A
-bucket of k true copies so costs k - 1 comparisons, and nothing is capped.
+bucket of k true copies so costs k - 1 comparisons, and nothing is capped.  Buckets and vertices of any
+size are counted by partial aggregates and joined, so that adaptive execution can split hot ones; no
+window or group holds one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import save
 
+LIGHT, ROUNDS, BLOCK = 32, 2, 10_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``id, root`` of every vertex of edges ``a, b``; root: the component's smallest id.
@@ -27,7 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
     changes: a number of rounds that grows with the logarithm of the component size.
     """
     e = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    near = Window.partitionBy("u")
     state = None
     while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -35,36 +43,79 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(near))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(near))
+        large = both.where("v > u").join(both.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = save(large.where("u <> v").distinct())
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = save(small.where("u <> v").distinct())
     roots = e.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return save(roots.union(roots.select(F.col("root").alias("id"), "root").distinct()))
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+def _hubs(shared: DataFrame, turn: int) -> DataFrame:
+    """``key, id, hub``: the member that the others are compared with in this turn; buckets of one member are left out."""
+    if turn == 0:
+        hubs = shared.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
+    else:
+        hubs = shared.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
+    return shared.join(hubs, "key").select("key", "id", "hub")
+
+
+def _pairs(hubs: DataFrame) -> DataFrame:
+    return hubs.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+
+
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, id, label, n, top, heavy`` of buckets with several components; top: the label of the largest."""
+    labelled = shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("label")).distinct()
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    by = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("inside"), F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    heavy = (F.col("n").cast("double") * F.col("n") - F.col("inside")) / 2 > F.col("n") * F.lit(float(LIGHT))
+    return save(labelled.join(by.select("key", "n", "top", heavy.alias("heavy")), "key").select("key", "id", "label", "n", "top", "heavy"))
+
+
+def _across(mixed: DataFrame) -> DataFrame:
+    """All pairs ``a, b`` of a bucket whose labels differ: the members in blocks, those outside of the largest component against each block."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = mixed.select("key", "id", "label", "top", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    right = mixed.where("label <> top").select("key", F.col("id").alias("id2"), F.col("label").alias("label2"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    both = left.join(right, ["key", "block"]).where((F.col("label") != F.col("label2")) & ((F.col("label") == F.col("top")) | (F.col("id") < F.col("id2"))))
+    return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``id, root`` of the ids that have a verified partner.
 
     buckets: ``key, id`` (repeats allowed); verify: takes distinct pairs ``a, b`` with a < b and
-    returns those that hold; known: edges ``a, b`` that hold anyway.
+    returns those that hold; known: edges ``a, b`` that hold anyway; refine: takes ``id`` and gives
+    buckets in which each pair of these ids that may verify meets.
     """
-    in_key = Window.partitionBy("key")
-    shared = buckets.withColumn("hub", F.min("id").over(in_key)).withColumn("last", F.max("id").over(in_key))
-    shared = save(shared.where("hub < last").select("key", "id", "hub"))
-    first = save(verify(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()).select("a", "b"))
+    hubs = save(_hubs(buckets, 0))
+    edges = save(verify(_pairs(hubs)).select("a", "b"))
     if known is not None:
-        first = first.unionByName(known.select("a", "b"))
-    roots = components(first)
-    labelled = shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("label")).distinct()
-    mixed = labelled.withColumn("lo", F.min("label").over(in_key)).withColumn("hi", F.max("label").over(in_key))
-    mixed = save(mixed.where("lo < hi").select("key", "id", "label"))
-    other = mixed.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
-    cross = mixed.join(other, "key").where("label < label2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    tested = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    cross = cross.join(tested, ["a", "b"], "left_anti")
-    second = save(verify(cross).select("a", "b"))
-    if second.isEmpty():
-        return roots
-    return components(first.union(second))
+        edges = edges.unionByName(known.select("a", "b"))
+    roots, shared, turn = components(edges), hubs, 0
+    tested, pending = _pairs(hubs), []
+    while True:
+        mixed = _mixed(shared, roots)
+        heavy = mixed.where("heavy")
+        if heavy.isEmpty() or turn == ROUNDS and refine is None:
+            pending.append(_across(mixed))
+            break
+        pending.append(_across(mixed.where("not heavy")))
+        if turn == ROUNDS:
+            shared, turn = save(_hubs(refine(heavy.select("id").distinct()), 0)), 0
+            pairs, refine = _pairs(shared), None
+        else:
+            turn += 1
+            shared = save(_hubs(heavy.select("key", "id"), turn))
+            pairs = _pairs(shared)
+        more = save(verify(pairs).select("a", "b"))
+        tested = tested.unionByName(pairs)
+        edges = edges.unionByName(more)
+        roots = components(edges)
+    cross = pending[0]
+    for p in pending[1:]:
+        cross = cross.unionByName(p)
+    second = save(verify(cross.distinct().join(tested, ["a", "b"], "left_anti")).select("a", "b"))
+    return roots if second.isEmpty() else components(edges.unionByName(second))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save, small
+from .store import map_rows, save, small
 from .tokens import _VAL, _borders, mix, text_slices, utf8, word_hashes
 
 #: Lengths in bytes of the word beginnings that are features, too: inflected and compound forms share them.
@@ -258,4 +258,4 @@ def kept(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
             s, _ = shared.value.scores(passages(b.column("text")))
             yield b.filter(pa.array(~_reject(s, cut)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -9,9 +9,15 @@
    P(similarity >= threshold) < ``miss``.
 4. Survivors are verified by the exact Jaccard similarity of their shingle sets.
 
-Defined results: a text without words has no duplicates; rows with a null id are left out; rows
-that share an id are one document, near to whatever any of its texts is near to, and
-:func:`keep_one` keeps one of those rows.
+Buckets that hold many texts which don't verify are split by the minima themselves (:func:`rare_minima`):
+a pair that passes step 3 to its end agrees in at least m of all minima, so among the rarest of each
+text's, all but m - 1, there is one that both have.
+
+Defined results: a text without words has no duplicates, and an empty table gives no rows; rows with a null id are
+left out (:func:`keep_one` keeps them); rows that share an id are one document, near to whatever any of its texts is
+near to, and :func:`keep_one` keeps the one of those rows whose text, then language, then source, then whole row in
+JSON is the smallest; texts of any length are read whole; a pair whose similarity equals the threshold holds.  Extra
+columns, whatever they are called, are kept as they are by :func:`keep_one` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .groups import link
-from .store import save, small
+from .store import columns, save, small
 from .tokens import mix, ngrams, sequence_hash, text_slices, words
 
 SHINGLE, BANDS, ROWS, THRESHOLD, STEP, MISS = 3, 32, 4, 0.5, 16, 0.002
@@ -106,6 +112,27 @@ def least_matches(threshold: float, step: int, total: int, miss: float) -> dict[
     return {n: next(m for m in range(n + 1) if tail(m, n) >= miss) for n in range(step, total + 1, step)}
 
 
+def rare_minima(sigs: DataFrame, ids: DataFrame, threshold: float = THRESHOLD, step: int = STEP, miss: float = MISS, total: int = BANDS * ROWS) -> DataFrame:
+    """``key, id``: buckets in which each pair of these ids that :func:`prune` lets pass meets.
+
+    Both agree in at least m of their minima, so the prefixes of all but m - 1, by rarity, share one.
+    """
+    m = max(1, *least_matches(threshold, step, total, miss).values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sig = matrix(b.column("sig")).astype(np.uint64)
+                key = mix(sig * np.uint64(0x9E3779B97F4A7C15) + mix(np.arange(1, sig.shape[1] + 1, dtype=np.uint64)))
+                of = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), sig.shape[1]) for c in ("id", "exact")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.reshape(-1).view(np.int64), *of)], names=["key", "id", "exact"])
+
+    minima = save(sigs.join(ids, "id", "left_semi").select("id", "exact", "sig").mapInArrow(run, "key long, id long, exact long").distinct())
+    often = minima.groupBy("key").agg(F.count("*").alias("n"))
+    prefix = F.row_number().over(Window.partitionBy("id", "exact").orderBy("n", "key"))
+    return minima.join(often, "key").withColumn("rank", prefix).where(F.col("rank") <= total - m + 1).where("n > 1").select("key", "id").distinct()
+
+
 def prune(pairs: DataFrame, sigs: DataFrame, threshold: float = THRESHOLD, step: int = STEP, miss: float = MISS) -> DataFrame:
     """The pairs ``a, b`` that the sequential posterior test doesn't drop."""
 
@@ -151,10 +178,11 @@ def verify_exact(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD
     texts = save(texts.join(small(save(ids)), "doc_id", "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "ta", 1 << 20):
-            sim = jaccard(b.column("ta"), b.column("tb"), shingle)
-            out = b.select(["a", "b"]).append_column("similarity", pa.array(sim))
-            yield out.filter(pa.array(sim >= threshold))
+        for some in text_slices(batches, "ta", 1 << 20):
+            for b in text_slices(iter([some]), "tb", 1 << 20):  # both sides are bounded
+                sim = jaccard(b.column("ta"), b.column("tb"), shingle)
+                out = b.select(["a", "b"]).append_column("similarity", pa.array(sim))
+                yield out.filter(pa.array(sim >= threshold))
 
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
@@ -167,11 +195,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     components of the verified pairs.
     """
     sigs = save(describe(docs, shingle, bands * rows))
-    classes = sigs.select("id", "exact", F.min("id").over(Window.partitionBy("exact")).alias("first"))
-    later = save(classes.where("id <> first").distinct())
+    classes = sigs.groupBy("exact").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    later = save(sigs.select("id", "exact").join(classes.select("exact", "first"), "exact").where("id <> first").select("id", "exact", "first").distinct())
     lead = sigs.join(small(later.select("id", "exact")), ["id", "exact"], "left_anti")
     check = lambda pairs: verify_exact(prune(pairs, sigs, threshold, step, miss), docs, threshold, shingle)
-    roots = link(band_keys(lead, bands, rows), check, later.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    smaller = lambda ids: rare_minima(lead, ids, threshold, step, miss, bands * rows)
+    roots = link(band_keys(lead, bands, rows), check, later.select(F.col("first").alias("a"), F.col("id").alias("b")), smaller)
     size = roots.groupBy("root").agg(F.count("*").alias("group_size"))
     return roots.join(size, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), "group_size", (F.col("id") == F.col("root")).alias("keep"))
 
@@ -179,11 +208,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """docs with one document of each group of near duplicates, one row of each id; rows without id stay."""
     gone = save(near_duplicates(docs, **params).where("not keep").select("doc_id"))
-    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    every = columns(docs)
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*every)
     often = save(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if often.isEmpty():
         return left
     often = small(often)
-    rank = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text", *[f"row.{c}" for c in ("lang", "source") if c in docs.columns]))
-    one = left.join(often, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row")).withColumn("rank", rank).where("rank = 1").select("row.*")
-    return left.join(often, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    row = F.struct(*every)
+    # the smallest row of each id by partial aggregates, however many rows an id has
+    order = F.struct(F.col("text"), *[F.col(c) for c in ("lang", "source") if c in docs.columns], F.to_json(row))
+    one = left.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row")).select("row.*")
+    return left.join(often, "doc_id", "left_anti").select(*every).unionByName(one)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import map_rows
 from .tokens import text_slices
 
 SECRET_CUES = ("token", "secret", "api_key", "apikey", "api-key", "access_key", "private_key")
@@ -264,8 +265,6 @@ def find(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs with every finding replaced by its kind in angle brackets, and ``n_chars`` to match."""
-    schema = docs.schema
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = build()
         for b in text_slices(batches):
@@ -279,4 +278,4 @@ def clean(docs: DataFrame) -> DataFrame:
                 out = out.set_column(i, b.schema.field(i), pa.array(lengths, b.schema.field(i).type))
             yield out
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run)

@@ -52,3 +52,46 @@ def test_odd_rows(odd, empty):
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
     assert [k for none, k in ids if not none] == [1, 2, 3, 4, 6, 8, 9, 10, 2**62] and sum(none for none, _ in ids) == 2
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(empty).count() == 0
+
+
+def test_buckets_of_texts_that_do_not_verify(spark, monkeypatch):
+    """Texts that share a third of their words: all meet in buckets, few pairs hold, and none of these is lost."""
+    import random
+
+    from lumitide.llm import groups
+
+    rng = random.Random(2)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for k in range(120):
+        own = [f"o{k // 2 if k < 30 else k}_{j}" for j in range(60)]
+        rows.append((k, " ".join(common + own + ([f"e{k}"] if k < 30 else []))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.components(brute.near_pairs(dict(rows), 3, 0.5))
+    assert len(set(want.values())) == 15
+    for light in (32, 0):  # 0: every bucket is heavy, so rounds and rare minima come into play
+        monkeypatch.setattr(groups, "LIGHT", light)
+        got = {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()}
+        assert got == want
+
+
+def test_rare_minima_lose_no_pair(spark, docs):
+    sigs = minhash.describe(docs).cache()
+    m = max(minhash.least_matches(0.5, 16, 128, 0.002).values())
+    rows = {r.id: np.frombuffer(bytes(r.sig), np.uint32) for r in sigs.collect()}
+    ids = sorted(rows)[:120]
+    met = {}
+    for r in minhash.rare_minima(sigs, spark.createDataFrame([(k,) for k in ids], "id long")).collect():
+        met.setdefault(r.key, set()).add(r.id)
+    together = {(a, b) for s in met.values() for a in s for b in s if a < b}
+    pairs = [(a, b) for a in ids for b in ids if a < b and (rows[a] == rows[b]).sum() >= m]
+    assert pairs and all(p in together for p in pairs)
+
+
+def test_a_row_of_each_id_whatever_the_order(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c", "en", "x", n) for n in (3, 1, 2)] + [(2, t, None, None, 0) for t in ("z", None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `n.chars` long")
+    kept = [sorted(map(tuple, minhash.keep_one(d).collect())) for d in (df, df.orderBy(F.desc("`n.chars`")))]
+    assert kept[0] == kept[1] == [(1, "a b c", "en", "x", 1), (2, None, None, None, 0)]
