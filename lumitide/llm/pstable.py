@@ -1,12 +1,15 @@
 """Embedding near-duplicate groups by Euclidean p-stable hashing (operator 10).
 
 Vectors are normalised; in each of L tables K Gaussian projections, shifted and cut into cells
-of width ``width``, make a bucket key.  The number of tables follows from the wanted recall at
-exactly the threshold distance.  Candidates are checked by their exact cosine.
+of width ``width``, make a bucket key.  The number of tables follows from K and the wanted recall at
+exactly the threshold distance; K follows from the number of vectors n, so that the tables and the
+comparisons of unrelated (orthogonal) vectors they cause are fewest together: both then grow with about
+n to the power 0.19 for each vector, not with n.  Candidates are checked by their exact cosine.
 
 Defined results: a vector that is null, empty, all zero, not finite or of another length than
 ``dim`` has no direction and so no duplicates; rows with a null id are left out; rows that share
-an id are one item (its smallest vector speaks for it).
+an id are one item (its smallest vector speaks for it); a cosine that equals the threshold holds; an
+empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .groups import link
-from .store import save
+from .store import save, small
 from .tokens import mix
 
-COSINE, WIDTH, PROJECTIONS, RECALL, SEED = 0.95, 2.0, 16, 0.97, 7
+COSINE, WIDTH, RECALL, SEED = 0.95, 2.0, 0.97, 7
+#: What a comparison of two vectors costs, in rows of a table.
+COMPARISON = 4.0
 
 
 def collision(distance: float, width: float) -> float:
@@ -39,6 +44,16 @@ def tables_for(cosine: float, width: float, projections: int, recall: float) ->
     return 1 if p >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
+def projections_for(n: int, cosine: float, width: float, recall: float) -> int:
+    """K for which n vectors' table rows and comparisons of orthogonal vectors cost least."""
+    apart = collision(math.sqrt(2.0), width)
+
+    def cost(k: int) -> float:
+        return tables_for(cosine, width, k, recall) * (1 + COMPARISON * n * apart**k)
+
+    return min(range(1, 65), key=cost)
+
+
 def unit(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of col that have a direction, and their normalised vectors."""
     n = np.asarray(col.value_lengths().fill_null(0))
@@ -54,16 +69,19 @@ def unit(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ok[good], x[good]
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, width: float = WIDTH, projections: int = PROJECTIONS, recall: float = RECALL, dim: int | None = None, seed: int = SEED) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, width: float = WIDTH, projections: int | None = None, recall: float = RECALL, dim: int | None = None, seed: int = SEED) -> DataFrame:
     """``vec_id, group_id, group_size, keep``: every vector with a near duplicate; group_id: smallest vec_id.
 
     Groups are the connected components of the pairs with this cosine or more.  dim: by default
-    the commonest length (the smaller on a tie).
+    the commonest length (the smaller on a tie); projections: by default those of :func:`projections_for`.
     """
     src = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v"))
-    if dim is None:
-        top = src.where("size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-        dim = top["n"] if top else 1
+    sizes = src.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).where("dim > 0")
+    top = sizes.orderBy(F.desc("n"), "dim").first() if dim is None else sizes.where(F.col("dim") == dim).first()
+    if not top:
+        return src.select(F.col("id").alias("vec_id"), F.col("id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep")).where("false")
+    dim = top["dim"]
+    projections = projections or projections_for(top["n"], cosine, width, recall)
     tables = tables_for(cosine, width, projections, recall)
     rng = np.random.default_rng(seed)
     plane, shift = rng.standard_normal((dim, tables * projections)), rng.uniform(0, width, tables * projections)
@@ -83,7 +101,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, width: float = WIDT
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, tables, dtype=np.int32)), pa.array(key.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ok)), keys, b.column("v").take(pa.array(ok))], names=["id", "keys", "v"])
 
-    items = save(src.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(hashed, "id long, keys array<long>, v array<float>"))
+    often = save(src.groupBy("id").count().where(F.col("count") > 1).select("id"))
+    if not often.isEmpty():  # only rows of these ids are grouped
+        often = small(often)
+        src = src.join(often, "id", "left_anti").unionByName(src.join(often, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v")))
+    items = save(src.select("id", "v").mapInArrow(hashed, "id long, keys array<long>, v array<float>"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -56,3 +56,16 @@ def test_the_sql_groups_all_pairs(spark, tmp_path):
     want = sorted(con.sql(ORACLES["op10_pstable_embeddings"]).fetchall())
     got = sorted((r.vec_id, r.group_id, r.group_size, r.keep) for r in pstable.near_vectors(df).collect())
     assert got == want and len(got) == 45
+
+
+def test_comparisons_a_vector_do_not_grow_with_the_table():
+    apart, near = pstable.collision(2**0.5, pstable.WIDTH), pstable.collision((2 - 2 * pstable.COSINE) ** 0.5, pstable.WIDTH)
+    last = None
+    for n in (500, 2_500, 50_000, 250_000, 10**9):
+        k = pstable.projections_for(n, pstable.COSINE, pstable.WIDTH, pstable.RECALL)
+        tables = pstable.tables_for(pstable.COSINE, pstable.WIDTH, k, pstable.RECALL)
+        assert 1 - (1 - near**k) ** tables >= pstable.RECALL
+        false = tables * n * apart**k
+        if last:  # n to the power 0.2, with room for whole numbers
+            assert false <= 1.9 * last[1] * (n / last[0]) ** 0.2 and tables <= 1.9 * last[2] * (n / last[0]) ** 0.2
+        last = n, false, tables
