@@ -87,3 +87,33 @@ def test_odd_rows(spark):
 )
 def test_an_open_head_ends(page, want):
     assert H.text_nodes(page) == want
+
+
+def test_deep_and_hostile_pages_take_little_memory_and_time():
+    """A child process under 400 MB more than it has after its imports reads deep pages, and scripts full of end tags."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys, time
+from lumitide.llm import htmltext as H
+have = int(open("/proc/self/statm").read().split()[0]) * resource.getpagesize()
+resource.setrlimit(resource.RLIMIT_AS, (have + (400 << 20),) * 2)
+t = time.time()
+for page in ("<div>" * 60_000 + "x", "<div>x" * 60_000, "<p><i>" * 40_000 + "<div>", "<script>" + "</x" * 100_000, "<script>" + "</script" * 30_000 + "x", "<li><ul>" * 30_000 + "<li>" * 30_000, "<td>" * 50_000, "a<!-- -->" * 100_000, "</div>" * 100_000, "<b></i>" * 50_000):
+    H.extract(page)
+assert time.time() - t < 60, time.time() - t
+print(H.extract("<div>" * 60_000 + "x")[:3])
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={**os.environ, "PYTHONPATH": root, "OPENBLAS_NUM_THREADS": "1"})
+    assert out.returncode == 0 and out.stdout.split("\n")[-2] == "(1, 1, 1)", out.stderr[-500:]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [("<script>a</x>b</SCRIPT >c", [("", "c")]), ("<style></styles></style/>c", [("", "c")]), ("<ul><li>a<ul><li>b</ul><li>c</ul>", [("/ul/li", "a"), ("/ul/li/ul/li", "b"), ("/ul/li", "c")]), ("<p>a<b>b<div>c", [("/p", "a"), ("/p/b", "b"), ("/div", "c")])],
+)
+def test_more_markup(page, want):
+    assert H.text_nodes(page) == want
