@@ -1,15 +1,23 @@
 """A WARC reader that salvages damaged archives (operator 2).
 
-Both kinds of archive are read as streams with a bounded buffer: one gzip member for each record, or plain
+Both kinds of archive are read from files with random access: one gzip member for each record, or plain
 records.  A record counts only if all its checks hold: the member's own CRC and length, the
 version line, the header block, a Content-Length that the block fills, the closing blank lines
-and, if there is one, the SHA-1 block digest.  After a check fails the reader searches for the next place where a
+and, if there is one, the SHA-1 block digest (in base 32 or in hexadecimal, in either case; digests of other
+kinds aren't checked).  After a check fails the reader searches for the next place where a
 member or version line stands from which a record does pass, goes on there, and logs the bytes
 between as quarantined with the reason of the first failure.
 
-Defined results: a null or empty archive has no rows; bytes that hold no record at all are one
-gap; a record that no next record follows must still be complete.  Every byte of an archive is
-in exactly one row.
+Memory holds one record and a buffer of ``CHUNK`` bytes: a plain record's end is looked at before its block is
+read, so a damaged Content-Length costs nothing.  Two limits are checks like the others, and what exceeds
+them is logged as a gap with its place and length, not lost from sight: a header block has at most
+``HEADER_BYTES``, as a lost blank line would else take in all that follows, and a block has at most
+``BLOCK_BYTES``, as it must fit in a row.
+
+Defined results: a null or empty archive has no rows, and neither has an empty table; bytes that hold no
+record at all are one gap; a record that no next record follows must still be complete.  Every byte of an archive is
+in exactly one row.  Archives that are repeated, or share a name, are read each.  Extra columns are ignored.
+:func:`pack` leaves out pages with a null id, as their record couldn't be named; repeated pages are a record each.
 """
 
 from __future__ import annotations
@@ -27,12 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
-#: A header block longer than this is a failed check: without a bound a lost blank line would swallow the archive.
-HEADER_BYTES = 1 << 16
+HEADER_BYTES, BLOCK_BYTES = 1 << 18, 1 << 30
 
 GZIP = b"\x1f\x8b\x08"
-START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
-VERSION = re.compile(rb"WARC/\d\.\d\r\n")
+START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d{1,2}\r\n")
+VERSION = re.compile(rb"WARC/\d\.\d{1,2}\r\n")
 #: A header's name is a token: without this check a stray version line could take in what stands before another record's headers.
 NAME = re.compile(r"[!#$%&'*+\-.^_`|~0-9A-Za-z]+")
 
@@ -51,42 +58,48 @@ class Entry(NamedTuple):
 
 
 class _Source:
-    """A stream with random access from the current record's start on."""
+    """A file with random access, read through one buffer."""
 
     def __init__(self, f: BinaryIO):
-        self.f, self.base, self.buf, self.done = f, 0, bytearray(), False
-
-    def upto(self, end: int) -> bool:
-        """Whether the bytes before ``end`` are there; reads on as needed."""
-        while not self.done and self.base + len(self.buf) < end:
-            more = self.f.read(max(CHUNK, end - self.base - len(self.buf)) if end < 1 << 60 else CHUNK)
-            if not more:
-                self.done = True
-            self.buf += more
-        return self.base + len(self.buf) >= end
+        self.f, self.base, self.buf = f, 0, b""
+        self.size = f.seek(0, 2)
 
     def get(self, begin: int, end: int) -> bytes:
-        self.upto(end)
-        return bytes(self.buf[begin - self.base : end - self.base])
-
-    def forget(self, before: int) -> None:
-        n = before - self.base
-        if n >= CHUNK or n == len(self.buf):
-            del self.buf[:n]
-            self.base = before
+        """The bytes from begin to end, or to the file's end."""
+        end = min(end, self.size)
+        if end - begin > CHUNK:
+            self.f.seek(begin)
+            return self.f.read(end - begin)
+        if begin < self.base or end > self.base + len(self.buf):
+            self.f.seek(begin)
+            self.base, self.buf = begin, self.f.read(CHUNK)
+        return self.buf[begin - self.base : end - self.base]
+
+    def next_start(self, at: int) -> int | None:
+        """The first place from ``at`` on where a member or a version line stands."""
+        while at < self.size:
+            self.get(at, min(at + 1, self.size))
+            m = START.search(self.buf, at - self.base)
+            if m:
+                return self.base + m.start()
+            at = max(at + 1, self.base + len(self.buf) - 16) if self.base + len(self.buf) < self.size else self.size
+            if at < self.size:
+                self.f.seek(at)
+                self.base, self.buf = at, self.f.read(CHUNK)
+        return None
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], int]:
     """Headers of the record at the start of raw, and where its block begins."""
     if not VERSION.match(raw):
         raise Failed("no version line")
-    end = raw.find(b"\r\n\r\n", 0, HEADER_BYTES)
-    if end < 0:
-        raise Failed("header block doesn't end")
     headers: dict[str, str] = {}
-    last = ""
-    for line in raw[:end].split(b"\r\n")[1:]:
-        text = line.decode("utf-8", "replace")
+    last, pos = "", raw.find(b"\r\n") + 2
+    while (end := raw.find(b"\r\n", pos, HEADER_BYTES)) != pos:  # an empty line ends the block
+        if end < 0:
+            raise Failed("header block doesn't end")
+        text = raw[pos:end].decode("utf-8", "replace")
+        pos = end + 2
         if text[:1] in (" ", "\t") and last:
             headers[last] += " " + text.strip()
             continue
@@ -97,7 +110,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], int]:
         headers[last] = value.strip()
     if not re.fullmatch(r"\d{1,15}", headers.get("content-length", "")):
         raise Failed("no content length")
-    return headers, end + 4
+    return headers, pos + 2
 
 
 def digest(block: bytes) -> str:
@@ -105,43 +118,52 @@ def digest(block: bytes) -> str:
 
 
 def _verify(headers: dict[str, str], block: bytes) -> None:
-    want = headers.get("warc-block-digest", "")
-    if want.startswith("sha1:") and want != digest(block):
-        raise Failed("block digest differs")
+    kind, _, want = headers.get("warc-block-digest", "").partition(":")
+    if kind.strip().lower() in ("sha1", "sha-1"):
+        have = hashlib.sha1(block)
+        if want.strip().upper().rstrip("=") not in (base64.b32encode(have.digest()).decode(), have.hexdigest().upper()):
+            raise Failed("block digest differs")
 
 
 def _member(src: _Source, at: int) -> Entry:
     z, out, pos = zlib.decompressobj(31), bytearray(), at
     try:
         while not z.eof:
-            piece = src.get(pos, pos + (1 << 16))
+            piece = z.unconsumed_tail or src.get(pos, pos + (1 << 16))
             if not piece:
                 raise Failed("member is cut off")
-            out += z.decompress(piece)
-            pos += len(piece)
+            if not z.unconsumed_tail:
+                pos += len(piece)
+            out += z.decompress(piece, CHUNK)
             if len(out) > 32 and not VERSION.match(out):
                 raise Failed("no version line")
+            if len(out) > BLOCK_BYTES + HEADER_BYTES + 8:
+                raise Failed("block is too long for a row")
     except zlib.error:
         raise Failed("member is damaged") from None
     end = pos - len(z.unused_data)
-    raw = bytes(out)
-    headers, start = parse(raw)
+    headers, start = parse(bytes(out[:HEADER_BYTES]))
     n = int(headers["content-length"])
-    if len(raw) != start + n + 4 or raw[start + n :] != b"\r\n\r\n":
+    if len(out) != start + n + 4 or out[start + n :] != b"\r\n\r\n":
         raise Failed("content length differs")
-    block = raw[start : start + n]
+    if n > BLOCK_BYTES:
+        raise Failed("block is too long for a row")
+    block = bytes(memoryview(out)[start : start + n])
     _verify(headers, block)
     return Entry("record", at, end - at, None, headers, block)
 
 
 def _plain(src: _Source, at: int) -> Entry:
-    headers, start = parse(src.get(at, at + HEADER_BYTES + 4))
+    head = src.get(at, at + (1 << 14))
+    headers, start = parse(head if b"\r\n\r\n" in head else src.get(at, at + HEADER_BYTES))
     n = int(headers["content-length"])
-    if not src.upto(at + start + n + 4):
+    if at + start + n + 4 > src.size:
         raise Failed("record is cut off")
-    block = src.get(at + start, at + start + n)
     if src.get(at + start + n, at + start + n + 4) != b"\r\n\r\n":
         raise Failed("content length differs")
+    if n > BLOCK_BYTES:
+        raise Failed("block is too long for a row")
+    block = src.get(at + start, at + start + n)
     _verify(headers, block)
     return Entry("record", at, start + n + 4, None, headers, block)
 
@@ -149,37 +171,21 @@ def _plain(src: _Source, at: int) -> Entry:
 def salvage(f: BinaryIO) -> Iterator[Entry]:
     """Records and gaps of an archive, in order."""
     src, at, gap, reason = _Source(f), 0, None, None
-    while src.upto(at + 1):
-        head = src.get(at, at + 3)
+    while at is not None and at < src.size:
         try:
-            got = _member(src, at) if head == GZIP else _plain(src, at)
+            got = _member(src, at) if src.get(at, at + 3) == GZIP else _plain(src, at)
         except Failed as e:
             if gap is None:
                 gap, reason = at, str(e)
-            found, look = None, at + 1
-            while found is None:  # the next possible start
-                src.upto(look + CHUNK)
-                m = START.search(src.buf, look - src.base)
-                if m:
-                    found = src.base + m.start()
-                elif src.done:
-                    break
-                else:
-                    look = max(look, src.base + len(src.buf) - 16)
-                    src.upto(look + 2 * CHUNK)
-            if found is None:
-                end = src.base + len(src.buf)
-                yield Entry("gap", gap, end - gap, reason, None, None)
-                return
-            at = found
-            src.forget(at)
+            at = src.next_start(at + 1)
             continue
         if gap is not None:
             yield Entry("gap", gap, at - gap, reason, None, None)
             gap = None
         yield got
         at += got.length
-        src.forget(at)
+    if gap is not None:
+        yield Entry("gap", gap, src.size - gap, reason, None, None)
 
 
 def record(headers: dict[str, str], block: bytes, compress: bool = True) -> bytes:
@@ -215,7 +221,7 @@ def _batches(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records and gaps of archives, each read by one task as a stream; paths: whatever pyarrow's filesystems open."""
+    """Records and gaps of archives, each read by one task; paths: whatever pyarrow's filesystems open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -223,7 +229,7 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         for b in batches:
             for path in b.column("path").to_pylist():
                 at, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-                with at.open_input_stream(name, compression=None) as f:
+                with at.open_input_file(name) as f:
                     yield from _batches(rows(salvage(f), path))
 
     if not paths:

@@ -56,7 +56,7 @@ def test_salvage(seed):
 def test_reasons():
     good = W.record({"WARC-Type": "x"}, b"abc")
     plain = W.record({"WARC-Type": "x"}, b"abc", compress=False)
-    for data, why in ((good[:-3], "damaged"), (b"junk", "no version"), (plain.replace(b"abc", b"abd"), "digest"), (plain.replace(b"Content-Length: 3", b"Content-Length: x"), "content length"), (plain[:-2], "content length"), (gzip.compress(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"), "content length"), (b"WARC/1.0\r\nbad header\r\n\r\n", "malformed"), (b"WARC/1.0\r\n" + b"a: b\r\n" * 20_000, "header block")):
+    for data, why in ((good[:-3], "damaged"), (b"junk", "no version"), (plain.replace(b"abc", b"abd"), "digest"), (plain.replace(b"Content-Length: 3", b"Content-Length: x"), "content length"), (plain[:-2], "content length"), (gzip.compress(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"), "content length"), (b"WARC/1.0\r\nbad header\r\n\r\n", "malformed"), (b"WARC/1.0\r\n" + b"a: b\r\n" * 200_000, "header block")):
         got = list(W.salvage(io.BytesIO(data + good)))
         assert got[0].kind == "gap" and why in got[0].reason, (why, got[0].reason)
         assert got[-1].kind == "record" and got[-1].block == b"abc"
@@ -109,3 +109,41 @@ def test_odd_rows(spark):
     got = W.salvage_pages(pages, harm_every=10**9).collect()
     assert sorted((r.page_id, len(r.html)) for r in got) == [(1, 0), (1, 3), (2, 1_500_000)]
     assert W.salvage_pages(pages.where("false")).count() == 0
+
+
+def test_digests_and_versions_of_other_writers():
+    import hashlib
+
+    block = b"abc"
+    sha = hashlib.sha1(block)
+    plain = W.record({"WARC-Type": "x"}, block, compress=False)
+    good = [W.digest(block), W.digest(block).lower(), "sha1:" + sha.hexdigest(), "SHA1:" + sha.hexdigest().upper(), "sha256:00"]
+    for d in good:
+        for version in (b"0.17", b"0.18", b"1.0", b"1.1"):
+            data = plain.replace(W.digest(block).encode(), d.encode()).replace(b"WARC/1.0", b"WARC/" + version)
+            for x in (data, gzip.compress(data)):
+                assert [(e.kind, e.block) for e in W.salvage(io.BytesIO(b"dirt" + x + x))] == [("gap", None), ("record", block), ("record", block)], (d, version)
+    bad = plain.replace(W.digest(block).encode(), b"sha1:" + hashlib.sha1(b"abd").hexdigest().encode())
+    assert [(e.kind, e.reason) for e in W.salvage(io.BytesIO(bad))] == [("gap", "block digest differs")]
+
+
+def test_long_header_blocks_and_limits(monkeypatch):
+    long = W.record({"WARC-Type": "x", "Note": "n" * 200_000}, b"abc", compress=False)
+    assert [e.block for e in W.salvage(io.BytesIO(long + gzip.compress(long)))] == [b"abc"] * 2
+    monkeypatch.setattr(W, "BLOCK_BYTES", 1000)
+    rows = [W.record({"WARC-Type": "x"}, b"z" * n, c) for n in (1000, 1001) for c in (True, False)]
+    assert [(e.kind, e.reason, e.length) for e in W.salvage(io.BytesIO(b"".join(rows)))][2:] == [("gap", "block is too long for a row", len(rows[2] + rows[3]))]
+
+
+def test_a_damaged_length_does_not_read_the_archive():
+    class Counting(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            self.most = max(self.most, len(got))
+            return got
+
+    first = W.record({"WARC-Type": "x"}, b"abc", compress=False).replace(b"Content-Length: 3", b"Content-Length: 30000000")
+    f = Counting(first + W.record({"WARC-Type": "x"}, b"ok", compress=False) + b"\0" * 40_000_000)
+    assert [e.kind for e in W.salvage(f)] == ["gap", "record", "gap"] and f.most <= W.CHUNK + W.HEADER_BYTES + 4
