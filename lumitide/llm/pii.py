@@ -1,24 +1,29 @@
 """Personal data by anchor expansion (operator 8).
 
 One Aho-Corasick pass over each text finds anchors: the at-sign, ``://`` and ``www.``, a plus
-before a digit, digit pairs, a digit before a dot, and cue words of secrets, accounts and
-streets.  From each anchor a deterministic local parser expands left and right to the borders
-of an email, web address, IPv4 address, telephone number, card, bank account, social security
-number, secret or street address, and validates what it found (Luhn, mod 97, octets, lengths).
-
-Limits: a password after its cue has 6 characters or more, in quotes any number; other secrets have
-16 or more with a digit, a token of an Authorization header 8 or more.  Telephone numbers without a
-plus are found if their groups are parted: ddd ddd dddd (the first group from 200 on, or in
-brackets), and groups after a trunk 0 with 10 or 11 digits in all.
-
-Defined results: a null or empty text has no findings; overlapping findings are resolved to the
-earliest, then the longest, then by kind; rows with a null id are scanned and redacted, their
-findings carry the null.
+before a digit, digit pairs, a digit before a dot, colons of IPv6 addresses, and cue words of secrets,
+accounts and streets.  From each anchor a deterministic local parser expands left and right to the borders
+of an email, web address, IP address, telephone number, card, bank account, social security
+number, secret or street address, and validates what it found (Luhn, mod 97, octets, lengths).  Letters
+of all scripts count in mail addresses and host names.
+
+Limits, all of the formats themselves: a password after its cue has 6 characters or more, in quotes any
+number; other secrets have 16 or more with a digit, a token of an Authorization header 8 or more.  Telephone
+numbers without a plus are found if their groups are parted: ddd ddd dddd (the first group from 200 on, or in
+brackets), and groups after a trunk 0 with 10 or 11 digits in all.  A street has a number of up to 5 digits and 1 to 3
+capitalised words before its kind.  An IPv6 address has two groups or more, one with a digit.
+
+Defined results: a null or empty text has no findings, and an empty table gives no rows; overlapping findings
+are resolved to the earliest, then the longest, then by kind; rows with a null id are scanned and redacted, their
+findings carry the null; repeated rows are scanned each; a text of any length is scanned whole, in time that
+grows with its length.  Extra columns, whatever they are called, are ignored by :func:`find` and kept by :func:`clean`.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -34,9 +39,9 @@ PASSWORD_CUES = ("password", "passwd")
 SECRET_HEADS = ("akia", "ghp_", "xoxb-", "sk-", "glpat-")
 STREETS = ("street", "avenue", "boulevard", "road", "lane", "drive")
 
-EMAIL_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-DOMAIN = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,24}}(?![A-Za-z0-9])")
+EMAIL_LOCAL = frozenset("._%+-")
+_LABEL = r"[^\W_](?:[\w\u200c\u200d-]{0,61}[^\W_])?"
+DOMAIN = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.(?:[^\W\d_]{{2,24}}|[xX][nN]--[A-Za-z0-9-]{{1,59}})(?![^\W_])")
 URL_REST = re.compile(r"[^\s<>\"'`{}|\\^\x00-\x1f]+")
 IPV4 = re.compile(r"(?<![\w.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?![\w]|\.\d)")
 PHONE = re.compile(r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?!\d)")
@@ -58,12 +63,12 @@ PASSWORD = re.compile(r"[\"']?\s*[:=]\s*(?!<[A-Z]+>)(?:\"(?!<[A-Z]+>)((?:[^\"\\\
 BEARER = re.compile(r"(?:[\"']?\s*[:=]\s*|\s+)[\"']?([A-Za-z0-9_\-.~/+=]{8,})")
 HEADER = re.compile(r"authorization[\"']?\s{0,8}[:=]\s{0,8}[\"']?$", re.I)
 SECRET_TAIL = re.compile(r"[A-Za-z0-9_\-]{16,}")
-STREET_HEAD = re.compile(r"(?<![\w.])\d{1,5} (?:[A-Z][a-z]+ ){1,3}$")
+NUMBER, NAME = re.compile(r"\d{1,5}"), re.compile(r"[A-Z][a-z]+")
+HOST = re.compile(r"[^/?#]*")
+IPV6 = re.compile(r"[0-9A-Fa-f:]*:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f:]*")
 
-#: Longest stretch before an anchor in which the item that it belongs to can begin: formats above end within it.
+#: Formats that are looked for around digits and before tokens end within so many characters.
 REACH = 64
-#: Longest part of a web address in which its host is looked for: names and ports end within it.
-HOST = 512
 
 
 def luhn(digits: str) -> bool:
@@ -87,6 +92,9 @@ def build() -> ahocorasick.Automaton:
     for x in range(10):
         a.add_word(f"+{x}", ("plus", 2))
         a.add_word(f"{x}.", ("dot", 2))
+    for x in "0123456789abcdef:":
+        a.add_word(f":{x}", ("colon", 2))
+    for x in range(10):
         for y in range(10):
             a.add_word(f"{x}{y}", ("digits", 2))
     a.make_automaton()
@@ -95,9 +103,9 @@ def build() -> ahocorasick.Automaton:
 
 def _email(t: str, at: int) -> tuple[str, int, int] | None:
     b = at
-    while b and t[b - 1] in EMAIL_LOCAL:
+    while b and (t[b - 1].isalnum() or t[b - 1] in EMAIL_LOCAL or unicodedata.combining(t[b - 1])):
         b -= 1
-    while b < at and t[b] in ".-+%":
+    while b < at and (t[b] in ".-+%" or unicodedata.combining(t[b])):
         b += 1
     m = DOMAIN.match(t, at + 1)
     if not m or b == at or t[at - 1] == "." or ".." in t[b:at]:
@@ -126,10 +134,55 @@ def _url(t: str, at: int, kind: str, ends: list[int]) -> tuple[str, int, int] |
     e = ends[1]
     if e <= at:
         return None
-    host = t[at : min(e, at + HOST)].split("/", 1)[0].rsplit("@", 1)[-1].split(":", 1)[0]
+    host = HOST.match(t, at, e).group().rsplit("@", 1)[-1]
+    if host[:1] == "[":
+        return ("URL", b, e) if _is_ipv6(host[1:].split("]", 1)[0]) else None
+    host = host.split(":", 1)[0]
     return ("URL", b, e) if DOMAIN.match(host) or IPV4.fullmatch(host) or host == "localhost" else None
 
 
+def _is_ipv6(x: str) -> bool:
+    try:
+        ipaddress.IPv6Address(x)
+    except ValueError:
+        return False
+    return True
+
+
+def _ipv6(t: str, at: int) -> tuple[tuple[str, int, int] | None, int]:
+    """The address around a colon, and where its run ends; a run is looked at once."""
+    b = at
+    while b and (t[b - 1] == ":" or t[b - 1] in "0123456789abcdefABCDEF"):
+        b -= 1
+    e = IPV6.match(t, b).end()
+    if e - b > 45 or b and (t[b - 1].isalnum() or t[b - 1] in "._") or t[e : e + 1].isalnum() or t[e : e + 1] == "_":
+        return None, e
+    if t[e - 1] == ":" and t[e - 2] != ":":
+        e -= 1
+    x = t[b:e]
+    groups = [g for g in x.split(":") if g]
+    ok = len(groups) > 1 and any(c.isdigit() for c in x) and _is_ipv6(x)
+    return (("IP", b, e) if ok else None), e
+
+
+def _street(t: str, at: int) -> int:
+    """Where the address begins whose kind of street follows the space at ``at``, or -1."""
+    e = at
+    for _ in range(3):
+        b = t.rfind(" ", 0, e) + 1
+        if not NAME.fullmatch(t, b, e):
+            return -1
+        e = b - 1
+        n = e
+        while n > 0 and t[n - 1].isdigit() and e - n < 6:
+            n -= 1
+        if e > n and NUMBER.fullmatch(t, n, e) and not (n and (t[n - 1].isalnum() or t[n - 1] in "_.")):
+            return n
+        if e <= 0:
+            break
+    return -1
+
+
 def _phone(t: str, at: int) -> tuple[str, int, int] | None:
     m = PHONE.match(t, at)
     e = m.end() if m else at
@@ -182,6 +235,7 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
         low = "".join(c.lower() if c.isascii() else c for c in t)
     found: list[tuple[str, int, int]] = []
     passed = 0  # end of the last run of digits
+    colon = 0  # end of the last run of hexadecimal digits and colons
     ends, secret, password, bearer, tail = [0, 0], 0, 0, 0, 0  # of the last runs of other kinds: an anchor inside finds no more than they did
     for end, (kind, n) in automaton.iter(low):
         at = end - n + 1
@@ -197,6 +251,9 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
             m = IPV4.match(t, b)
             if m and all(int(g) < 256 for g in m.groups()):
                 hit = ("IP", b, m.end())
+        elif kind == "colon":
+            if at >= colon:
+                hit, colon = _ipv6(t, at)
         elif kind == "at":
             hit = _email(t, at)
         elif kind in ("scheme", "www"):
@@ -227,9 +284,8 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
                 if any(c.isdigit() for c in m.group()):
                     hit = ("SECRET", at, m.end())
         elif not t[end + 1 : end + 2].isalnum():
-            m = STREET_HEAD.search(t, max(0, at + 1 - REACH), at + 1)
-            if m and t[at + 1].isupper():
-                hit = ("ADDRESS", m.start(), end + 1)
+            if t[at + 1].isupper() and (b := _street(t, at)) >= 0:
+                hit = ("ADDRESS", b, end + 1)
         if hit:
             found.append(hit)
     if len(found) < 2:

@@ -109,3 +109,83 @@ def test_long_runs_of_cues_are_fast():
     for x in ("password=", "password='", 'password="', "bearer ", "password: \\\"", "(555) 123-", "555-123-", "0123 "):
         pii.scan(x * 50_000, A)
     assert time.time() - t < 30
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("an jo@exämple.de, müller@example.com oder иван@почта.рф.", [("EMAIL", "jo@exämple.de"), ("EMAIL", "müller@example.com"), ("EMAIL", "иван@почта.рф")]),
+        ("mu\u0308ller@example.com and jo@xn--exmple-cua.de", [("EMAIL", "mu\u0308ller@example.com"), ("EMAIL", "jo@xn--exmple-cua.de")]),
+        ("see https://bücher.example/x and http://[2001:db8::7]:80/y", [("URL", "https://bücher.example/x"), ("URL", "http://[2001:db8::7]:80/y")]),
+        ("from 2001:db8::1, fe80::1ff:fe23:4567:890a and 2001:0db8:85a3:0000:0000:8a2e:0370:7334.", [("IP", "2001:db8::1"), ("IP", "fe80::1ff:fe23:4567:890a"), ("IP", "2001:0db8:85a3:0000:0000:8a2e:0370:7334")]),
+        ("mapped ::ffff:192.0.2.128; at 12:30:45, std::abs, a::b, 1:2, ::, x2001:db8::1", [("IP", "::ffff:192.0.2.128")]),
+        ("http://" + "u" * 600 + "@example.com/x", [("URL", "http://" + "u" * 600 + "@example.com/x")]),
+        ("http://" + "u" * 5000 + ".", []),
+        (f"at 12 {'A' + 'b' * 80} Street now; 7 Old Mill Lane; 123456 Elm Road; 1 A Very Long Name Road", [("ADDRESS", f"12 {'A' + 'b' * 80} Street"), ("ADDRESS", "7 Old Mill Lane")]),
+    ],
+)
+def test_scripts_and_lengths(text, want):
+    assert kinds(text) == want
+
+
+def test_runs_of_colons_names_and_schemes_are_fast():
+    import time
+
+    t = time.time()
+    for x in (":", "a:", "1:2:", "http://", "http://a@", "ab ", "Ab ", " Street", "Ab Street ", "é", "é@", "1 A Street "):
+        pii.scan(x * 100_000, A)
+    assert time.time() - t < 60
+
+
+def plain_findings(t):
+    """Every start and end tried with whole-string patterns, for the kinds whose form one expression gives."""
+    import ipaddress
+
+    out = set()
+    for m in re.finditer(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)", t):
+        if all(int(g) < 256 for g in m.group().split(".")):
+            out.add(("IP", m.start(), m.end()))
+    for m in re.finditer(r"(?<!\d)\d{13,19}(?!\d)|(?<!\d)\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\d)", t):
+        d = [int(c) for c in m.group() if c.isdigit()][::-1]
+        if sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2]) and (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0:
+            out.add(("CARD", m.start(), m.end()))
+    for m in re.finditer(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", t):
+        a, b, c = m.group().split("-")
+        if a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000":
+            out.add(("SSN", m.start(), m.end()))
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", t):
+        v = m.group().replace(" ", "")
+        if 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1:
+            out.add(("ACCOUNT", m.start(), m.end()))
+    for m in re.finditer(r"(?i)(?:secret|token|api_key|apikey|api-key|access_key|private_key)[\"']?\s*[:=]\s*[\"']?([a-z0-9_\-./+=]{16,})", t):
+        if any(c.isdigit() for c in m.group(1)) and not (m.start() and t[m.start() - 1].isalpha()):
+            out.add(("SECRET", m.start(1), m.end(1)))
+    for m in re.finditer(r"\d{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|Avenue|Boulevard|Road|Lane|Drive)(?!\w)", t):
+        if not (m.start() and re.match(r"[\w.]", t[m.start() - 1])):
+            out.add(("ADDRESS", m.start(), m.end()))
+    for m in re.finditer(r"(?<![0-9A-Za-z:._])[0-9A-Fa-f:]{3,39}(?![0-9A-Za-z:_])", t):
+        x = m.group()
+        if x[-1] == ":" and x[-2] != ":":
+            x = x[:-1]
+        try:
+            ipaddress.IPv6Address(x)
+        except ValueError:
+            continue
+        if len([g for g in x.split(":") if g]) > 1 and any(c.isdigit() for c in x):
+            out.add(("IP", m.start(), m.start() + len(x)))
+    return out
+
+
+def test_every_finding_of_plain_patterns(texts):
+    """What plain patterns find is found, as it is or inside of a longer or earlier finding that overlaps it."""
+    n = 0
+    for t in texts.values():
+        have = pii.scan(t, A)
+        for kind, b, e in plain_findings(t):
+            n += 1
+            assert any(h == (kind, b, e) or h[1] < e and b < h[2] and h[1] <= b for h in have), (kind, t[b:e])
+        plain = plain_findings(t)
+        for h in have:
+            if h[0] in ("CARD", "SSN", "ACCOUNT", "ADDRESS"):
+                assert any(k == h[0] and (b, e) == h[1:] for k, b, e in plain), (h, t[h[1] : h[2]])
+    assert n > 5
