@@ -5,15 +5,18 @@ of the budget.  The whole part is certain.  For the fractional part documents ar
 mass is moved between the two at random, keeping both expectations, until one is integral; the
 other goes on to the next pair.  This is done within hash buckets, source by source; the one
 residual that each source leaves in each bucket is combined in a reduction tree of fan-in
-``FAN``, and the sources' last residuals in another.  So a source's total is within one copy of its target
-and the total of all is exact up to its own rounding.
+``FAN`` for each source, and the sources' last residuals in another.  At every level rows go to as many
+buckets as keep them at about ``BUCKET_ROWS``, whatever the numbers of rows and of sources.  So a source's
+total is within one copy of its target and the total of all is exact up to its own rounding.
 
-All random numbers are hashes of the seed, the level and the two ids, and buckets depend on ids
-only: a lost executor's work comes out the same when it is done again.
+All random numbers are hashes of the seed, the level and the two ids, and buckets depend on ids and
+sources only: a lost executor's work comes out the same when it is done again.
 
 Defined results: a null text has length 0; a source of length 0 in all gets one copy of each
 document; the null source is a source; rows that share doc_id and source are one unit and are
-copied together; without documents the result is empty.
+copied together, however many; units are paired in the order of their hashes, of equal hashes in that of
+their ids; texts of any length count by their characters; without documents the result is empty.  Extra columns are
+kept by :func:`mixed`, whatever they are called, but for one named ``copies``, which the number of copies replaces.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from .store import columns, save
 
 FAN, BUCKET_ROWS, SEED = 64, 20_000, 11
 _EPS = 1e-9
@@ -74,17 +77,20 @@ def pivot(keys: list[int], mass: list[float], groups: list, seed: int) -> np.nda
     return out
 
 
-def _level(units: DataFrame, seed: int, apart: bool) -> DataFrame:
-    """One level of the tree: pivot within each bucket (source by source, or all together)."""
-    fields = "bucket long, key long, source string, doc_id long, mass double"
+def _level(units: DataFrame, seed: int, rows: int) -> DataFrame:
+    """One level of the tree: pivot among the rows of each source (or of all) and node of the tree; rows: how many there are."""
+    fields = "bucket long, node long, key long, source string, doc_id long, mass double"
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["source", "key", "doc_id"], na_position="first", kind="stable").reset_index(drop=True)
-        groups = part["source"].fillna("\0").tolist() if apart else [0] * len(part)
+        part = part.sort_values(["source", "node", "key", "doc_id"], na_position="first", kind="stable").reset_index(drop=True)
+        whole = part["node"].to_numpy() < 0
+        groups = [0 if w else (n, s) for w, n, s in zip(whole, part["node"], part["source"].fillna("\0"))]
         part["mass"] = pivot((part["key"].astype("uint64")).tolist(), part["mass"].tolist(), groups, seed)
         return part
 
-    return save(units.groupBy("bucket").applyInPandas(run, fields))
+    n = max(1, math.ceil(rows / BUCKET_ROWS))
+    of = F.when(F.col("node") < 0, F.xxhash64("key")).otherwise(F.xxhash64("node", F.coalesce("source", F.lit("\0"))))
+    return save(units.withColumn("bucket", F.pmod(of, F.lit(n))).select("bucket", "node", "key", "source", "doc_id", "mass").groupBy("bucket").applyInPandas(run, fields))
 
 
 def mixture(docs: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, seed: int = SEED) -> DataFrame:
@@ -113,30 +119,35 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, budget: fl
     rated = units.join(rates, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     # a mass of almost 0 or 1 is rounding noise of the division
     rated = rated.withColumn("base", F.floor(F.col("rate") + F.lit(_EPS))).withColumn("mass", F.greatest(F.lit(0.0), F.col("rate") - F.col("base"))).withColumn("key", key)
-    state = rated.select(F.pmod("key", F.lit(n_buckets)).alias("bucket"), "key", "source", "doc_id", "mass")
+    # a node of the tree takes some BUCKET_ROWS rows at most: of the rows of one source those of a hash range
+    state = rated.select(F.pmod("key", F.lit(n_buckets)).alias("node"), "key", "source", "doc_id", "mass")
     decided: list[DataFrame] = []
-    level, apart = 0, True
+    level, left = 0, total["n"] or 0
     while True:
-        state = _level(state, seed + level, apart)
+        state = _level(state, seed + level, left)
         fractional = (F.col("mass") > 0) & (F.col("mass") < 1)
         decided.append(state.where(~fractional))
         rest = state.where(fractional)
         level += 1
         if n_buckets > 1:
             n_buckets = math.ceil(n_buckets / FAN)
-            state = rest.withColumn("bucket", F.floor(F.col("bucket") / FAN))
+            left = rest.count()
+            state = rest.withColumn("node", F.floor(F.col("node") / FAN))
+            continue
+        if n_buckets == 1:  # one residual a source: from here on all are one
+            n_buckets = 0
+            left = rest.count()
+            state = rest.withColumn("node", F.lit(-1).cast("long"))
             continue
         left = rest.count()
-        if not apart and left <= 1:
+        if left <= 1:
             last = rest.select("source", "doc_id", "mass").first()
             final = F.lit(0.0)
             if last:
                 final = F.lit(1.0 if _uniform(seed, level) < last["mass"] else 0.0)
             decided.append(rest.withColumn("mass", final))
             break
-        apart = False
-        n_buckets = max(1, math.ceil(left / BUCKET_ROWS))
-        state = rest.withColumn("bucket", F.pmod("key", F.lit(n_buckets)))
+        state = rest
     chosen = decided[0]
     for d in decided[1:]:
         chosen = chosen.unionByName(d)
@@ -150,4 +161,4 @@ def mixed(docs: DataFrame, **params) -> DataFrame:
     got = mixture(docs, **params).where("copies > 0").select(F.col("doc_id").alias("mix_id_"), F.col("source").alias("mix_of_"), F.col("copies").alias("mix_copies_"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id_")) & F.col("source").eqNullSafe(F.col("mix_of_"))
     rest = docs.drop("copies") if "copies" in docs.columns else docs
-    return rest.join(got, same).select(*rest.columns, F.col("mix_copies_").alias("copies"))
+    return rest.join(got, same).select(*columns(rest), F.col("mix_copies_").alias("copies"))
