@@ -8,18 +8,23 @@ codes is scored.  Only document labels are used to train.  A document is rejecte
 probability is under ``cut`` or its toxicity probability is at or over it.
 
 Training uses at most ``train_docs`` labelled documents, those with the smallest hashes of their
-ids, and of these at most ``train_bytes`` of text; this bound is the operator's only sample.
-Scoring covers all documents and all of each text.
+ids, and of these, in this order, those that fit into ``train_bytes`` of text; this bound is the operator's
+only sample.  Scoring covers all documents and all of each text.
 
 Defined results: a document without words has no passage; it has quality 0, toxicity 0 and is
 rejected.  Labels with a null, and labels of absent documents, are ignored; of repeated labels the
 lowest quality and the highest toxicity count.  Where a label has one value only (or there are none) that head
-is constant: quality 1 or toxicity 0, which rejects nothing.  Rows with a null id are scored too.
+is constant: quality 1 or toxicity 0, which rejects nothing; if there are labels of which none could be used, this
+is logged as a warning.  Rows with a null id are scored too, and repeated rows each; of rows that share an id the
+smallest text is trained on.  A probability that equals ``cut`` is good quality, or toxic.  A text of any length is
+read whole; an empty table gives no rows.  Extra columns, whatever they are called, are kept by :func:`kept` and
+ignored elsewhere.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +154,28 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, shape: np.ndarray, first: n
     return np.einsum("bth,ht->bt", z, w["c"]) + w["d"], a, h, v, u, z, bag
 
 
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, shape: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross entropy of the bags, both labels added, and its derivatives by back-propagation."""
+    out, a, h, v, u, z, bag = forward(w, x, shape, first)
+    loss = float((np.logaddexp(0, out) - y * out).sum() / len(y))
+    d_out = (1 / (1 + np.exp(-out)) - y) / len(y)
+    d = {"d": d_out.sum(0), "c": np.einsum("bth,bt->ht", z, d_out)}
+    d_z = d_out[:, :, None] * w["c"].T[None]
+    d_h, d_s = np.zeros_like(h), np.zeros_like(a)
+    for t in range(2):
+        d_h += a[:, t : t + 1] * d_z[bag, t]
+        d_a = (h * d_z[bag, t]).sum(1)
+        mean = np.add.reduceat(a[:, t] * d_a, first)
+        d_s[:, t] = a[:, t] * (d_a - mean[bag])
+    d["a"] = (v * u).T @ d_s
+    d_vu = d_s @ w["a"].T
+    d_v, d_u = d_vu * u * (1 - v * v), d_vu * v * u * (1 - u)
+    d["v"], d["u"] = h.T @ d_v, h.T @ d_u
+    d_h = (d_h + d_v @ w["v"].T + d_u @ w["u"].T) * (1 - h * h)
+    d["e"], d["s"], d["b"] = x.T @ d_h, ((shape - w["mean"]) / w["sd"]).T @ d_h, d_h.sum(0)
+    return loss, d
+
+
 def train(texts: pa.Array, labels: np.ndarray, vocab: int = VOCAB, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """labels: (documents, 2), quality and toxicity; documents without words are left out."""
     rng = np.random.default_rng(seed)
@@ -182,26 +209,12 @@ def train(texts: pa.Array, labels: np.ndarray, vocab: int = VOCAB, hidden: int =
     row, k, val = model.lookup(p)
     x = np.zeros((len(p.shape), len(model.vocab)), np.float32)
     x[row, k] = val
-    shape, first = (p.shape - w["mean"]) / w["sd"], p.first[some]
+    first = p.first[some]
     names = ["e", "s", "b", "v", "u", "a", "c", "d"]
     m1, m2 = ({n: np.zeros_like(w[n]) for n in names} for _ in range(2))
     for step in range(1, epochs + 1):
-        out, a, h, v, u, z, bag = forward(w, x, p.shape, first)
-        d_out = (1 / (1 + np.exp(-out)) - y) / len(y)
-        d = {"d": d_out.sum(0), "c": np.einsum("bth,bt->ht", z, d_out)}
-        d_z = d_out[:, :, None] * w["c"].T[None]
-        d_h, d_s = np.zeros_like(h), np.zeros_like(a)
-        for t in range(2):
-            d_h += a[:, t : t + 1] * d_z[bag, t]
-            d_a = (h * d_z[bag, t]).sum(1)
-            mean = np.add.reduceat(a[:, t] * d_a, first)
-            d_s[:, t] = a[:, t] * (d_a - mean[bag])
-        d["a"] = (v * u).T @ d_s
-        d_vu = d_s @ w["a"].T
-        d_v, d_u = d_vu * u * (1 - v * v), d_vu * v * u * (1 - u)
-        d["v"], d["u"] = h.T @ d_v, h.T @ d_u
-        d_h = (d_h + d_v @ w["v"].T + d_u @ w["u"].T) * (1 - h * h)
-        d["e"], d["s"], d["b"] = x.T @ d_h + 1e-5 * w["e"], shape.T @ d_h, d_h.sum(0)
+        d = gradients(w, x, p.shape, first, y)[1]
+        d["e"] += 1e-5 * w["e"]
         rate = 0.03 * min(1.0, 3 * (1 - step / (epochs + 1)))
         for n in names:
             m1[n] += 0.1 * (d[n] - m1[n])
@@ -227,6 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
             fits.append(r["doc_id"])
     rows = (sample if len(fits) == len(sizes) else sample.where(F.col("doc_id").isin(fits))).toArrow().sort_by("doc_id")
     y = np.stack([rows.column("quality").to_numpy(), rows.column("toxic").to_numpy()], 1) if rows.num_rows else np.empty((0, 2))
+    if not rows.num_rows and not labels.isEmpty():
+        logging.getLogger(__name__).warning("no labelled document could be used in training; nothing but texts without words will be rejected")
     return train(rows.column("text"), y, **params)
 
 

@@ -44,8 +44,7 @@ def test_attention_is_a_distribution(split, model):
     assert np.allclose(np.add.reduceat(a, p.first[some], axis=0), 1, atol=1e-4) and (a >= 0).all()
 
 
-def test_gradient(monkeypatch):
-    """One step of training goes down along the numeric gradient."""
+def test_loss_falls_and_training_is_repeatable():
     t = pa.array(["good words here " * 30, "BAD!!! $$$ stuff", "more good words", "ugly %%% BAD"] * 4)
     y = np.array([[1, 0], [0, 1], [1, 0], [0, 0]] * 4, float)
 
@@ -60,6 +59,77 @@ def test_gradient(monkeypatch):
     assert np.array_equal(again.w["e"], mil.train(t, y, epochs=5).w["e"])
 
 
+def small_model(rng):
+    t = ["good words here " * 40 + "Tail. 12", "BAD!!! $$$ stuff", "more good words\n\nx y", "ugly %%% BAD " * 30] * 2
+    y = np.array([[1, 0], [0, 1], [1, 0], [0, 0]] * 2, float)
+    m = mil.train(pa.array(t), y, epochs=2)
+    w = {k: v.astype(np.float64) + rng.standard_normal(v.shape) * (0.05 if k not in ("mean", "sd") else 0) for k, v in m.w.items()}
+    return t, y, m, w
+
+
+def test_gradient_is_that_of_differences():
+    rng = np.random.default_rng(4)
+    t, y, m, w = small_model(rng)
+    p = mil.passages(pa.array(t))
+    row, k, v = m.lookup(p)
+    x = np.zeros((len(p.shape), len(m.vocab)))
+    x[row, k] = v
+    shape, first = p.shape.astype(np.float64), p.first[:-1]
+    _, d = mil.gradients(w, x, shape, first, y)
+    for name in ("e", "s", "b", "v", "u", "a", "c", "d"):
+        for at in rng.permutation(w[name].size)[:12].tolist():
+            up, down = ({**w, name: w[name].copy()} for _ in range(2))
+            up[name].flat[at] += 1e-5
+            down[name].flat[at] -= 1e-5
+            numeric = (mil.gradients(up, x, shape, first, y)[0] - mil.gradients(down, x, shape, first, y)[0]) / 2e-5
+            assert abs(numeric - d[name].flat[at]) < 1e-6 + 1e-4 * abs(numeric), (name, at)
+
+
+def test_scores_against_plain_loops():
+    """Passages, features, gated attention and heads, a number at a time."""
+    import math
+
+    from . import brute
+
+    rng = np.random.default_rng(6)
+    t, _, m, w = small_model(rng)
+    m.w = w
+    got, attention = m.scores(mil.passages(pa.array(t)))
+    from lumitide.llm.tokens import hash_words
+
+    nth = {int(h): k for k, h in enumerate(m.vocab)}
+    place = 0
+    for d, text in enumerate(t):
+        words = brute.words(text)
+        shapes = mil.passages(pa.array([text])).shape
+        hidden, scores = [], []
+        for q in range(0, len(words), mil.PASSAGE):
+            counts = {}
+            for word in words[q : q + mil.PASSAGE]:
+                stems = [int(mil.mix(hash_words(word[:k]) * 0 + mil.word_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([k]), mil._FOLD) + np.uint64(k))[0]) for k in mil.STEMS if len(word.encode()) > k]
+                for h in [int(hash_words(word)[0]), *stems]:
+                    if h in nth:
+                        counts[nth[h]] = counts.get(nth[h], 0) + 1
+            shape = [(a - b) / c for a, b, c in zip(shapes[q // mil.PASSAGE], w["mean"], w["sd"])]
+            h = [math.tanh(sum(math.log1p(n) * w["e"][k, j] for k, n in counts.items()) + sum(s * w["s"][i, j] for i, s in enumerate(shape)) + w["b"][j]) for j in range(w["b"].size)]
+            gate = [math.tanh(sum(x * w["v"][i, j] for i, x in enumerate(h))) / (1 + math.exp(-sum(x * w["u"][i, j] for i, x in enumerate(h)))) for j in range(w["a"].shape[0])]
+            hidden.append(h)
+            scores.append([sum(g * w["a"][j, label] for j, g in enumerate(gate)) for label in range(2)])
+        for label in range(2):
+            e = [math.exp(s[label]) for s in scores]
+            a = [x / sum(e) for x in e]
+            assert np.allclose(attention[place : place + len(a), label], a, atol=1e-5)
+            z = [sum(x * h[j] for x, h in zip(a, hidden)) for j in range(w["b"].size)]
+            out = sum(x * w["c"][j, label] for j, x in enumerate(z)) + w["d"][label]
+            assert abs(got[d, label] - 1 / (1 + math.exp(-out))) < 1e-5
+        place += len(hidden)
+
+
+def test_labels_that_train_nothing_are_logged(spark, odd, caplog):
+    labels = spark.createDataFrame([(6, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
+    assert mil.fit(odd, labels, train_bytes=10).constant == (1.0, 0.0) and "no labelled document" in caplog.text
+
+
 def test_shape_figures_by_hand():
     p = mil.passages(pa.array(["Ab 1!", "", None, "x " * 130, "  lead"]))
     assert np.diff(p.first).tolist() == [1, 0, 0, 3, 1]
