@@ -1,7 +1,7 @@
 import pytest
 
 SF = "/root/testdata/sf0.001"
-CLASH = ["key", "id", "a", "b", "root", "hub", "bucket", "copies", "mass", "row", "rank", "n", "other", "start", "pos", "exact", "sig", "rate", "of"]
+CLASH = ["key", "id", "a", "b", "root", "hub", "bucket", "copies", "mass", "row", "rank", "n", "other", "start", "pos", "exact", "sig", "rate", "of", "meta.url", "a`b", "c0_", "exact.sig"]
 
 
 @pytest.fixture(scope="session")
@@ -28,7 +28,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
-    return df.withColumns({c: F.lit(f"own {c}") for c in CLASH})
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASH if "." not in c and "`" not in c}).select("*", *[F.lit(f"own {c}").alias(c) for c in CLASH if "." in c or "`" in c])
 
 
 @pytest.fixture(scope="session")

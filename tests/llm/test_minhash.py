@@ -69,7 +69,7 @@ def test_buckets_of_texts_that_do_not_verify(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute.components(brute.near_pairs(dict(rows), 3, 0.5))
     assert len(set(want.values())) == 15
-    for light in (32, 0):  # 0: every bucket is heavy, so rounds and rare minima come into play
+    for light in (32, 0):  # 0: every bucket is heavy, so rare minima come into play
         monkeypatch.setattr(groups, "LIGHT", light)
         got = {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()}
         assert got == want

@@ -91,7 +91,27 @@ def test_odd_rows_pass_every_stage(spark, odd, empty, tmp_path):
 
     spark.createDataFrame([(4, 1, 0), (9, 0, 1), (6, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, SHARED)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for _, f in C.STAGES:
-        assert f(spark, odd, str(tmp_path)).count() >= 0
-        assert f(spark, empty, str(tmp_path)).count() == 0
-    assert os.path.exists(f"{tmp_path}/labels.parquet")
+    stage = dict(C.STAGES)
+    out = {name: f(spark, odd, str(tmp_path)) for name, f in C.STAGES}
+    rows = {name: df.collect() for name, df in out.items()}
+    for name, f in C.STAGES:
+        added = ["copies"] if name == "mixture" else []
+        assert sorted(out[name].columns) == sorted({*odd.columns, *added})
+        assert name == "mixture" or out[name].columns == odd.columns
+        assert all(r["meta.url"] == "own meta.url" and r["a`b"] == "own a`b" and r["key"] == "own key" for r in rows[name])
+        none = f(spark, empty, str(tmp_path))
+        assert none.count() == 0 and sorted(none.columns) == sorted(out[name].columns)
+
+    def ids(name):
+        return sorted((r.doc_id is None, r.doc_id or 0, r.text is None) for r in rows[name])
+
+    every = sorted((r.doc_id is None, r.doc_id or 0, r.text is None) for r in odd.collect())
+    keep = [r.keep for r in mil.score(odd, mil.fit(odd, spark.read.parquet(f"{tmp_path}/labels.parquet"))).collect()]
+    assert len(rows["quality"]) == sum(keep) and all(brute.words(r.text) for r in rows["quality"])
+    assert ids("near_duplicates") == sorted((n, k, t) for n, k, t in {*every} if k not in (5, 7))
+    assert ids("decontaminated") == [x for x in every if x[1] not in (4, 5, 7)]
+    assert ids("private") == every and next(r.text for r in rows["private"] if r.doc_id == 9) == "mail me at <EMAIL> or <PHONE>"
+    assert all(r.copies >= 1 for r in rows["mixture"]) and {r.doc_id for r in rows["mixture"]} <= {r.doc_id for r in odd.collect()}
+    long = next(r for r in odd.collect() if r.doc_id == 6)
+    assert all(any(r.text == long.text for r in rows[n]) for n in ("near_duplicates", "decontaminated", "private"))
+    assert stage.keys() == out.keys() and os.path.exists(f"{tmp_path}/labels.parquet")
