@@ -4,12 +4,10 @@ The groups are the components of the graph of *all* candidate pairs that verify:
 
 1. every bucket's members are compared with its smallest id; the edges that verify are
    contracted to components;
-2. in a bucket that still holds several components, pairs across components are compared: if they are
-   no more than ``LIGHT`` for each member, all of them, in blocks of ``BLOCK`` members against those
-   outside of the largest component;
-3. heavier buckets have ``ROUNDS`` more rounds like the first, each with another member to compare with;
-   what is heavy still is given to ``refine``, which makes smaller buckets that lose no pair, and these
-   are treated alike.  Without ``refine`` they are compared in blocks, too.
+2. in a bucket that still holds several components, members of different ones are compared, in cells of
+   two blocks of about ``BLOCK`` members: each block outside of the largest component with each other
+   block.  What a member is compared by is sent to the cells, not to each pair, and only pairs that pass
+   leave a cell.
 
 A pair inside a component needn't be compared, as its outcome can't change the components.  A
 bucket of k true copies so costs k - 1 comparisons, and nothing is capped.  Buckets and vertices of any
@@ -21,12 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import save
 
-LIGHT, ROUNDS, BLOCK = 32, 2, 10_000
+BLOCK = 512
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,70 +52,79 @@ def components(edges: DataFrame) -> DataFrame:
     return save(roots.union(roots.select(F.col("root").alias("id"), "root").distinct()))
 
 
-def _hubs(shared: DataFrame, turn: int) -> DataFrame:
-    """``key, id, hub``: the member that the others are compared with in this turn; buckets of one member are left out."""
-    if turn == 0:
-        hubs = shared.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    else:
-        hubs = shared.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
-    return shared.join(hubs, "key").select("key", "id", "hub")
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots after more edges: only the components that these join are gone through."""
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_"))
+    joins = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b"))
+    new = components(joins)
+    if new.isEmpty():
+        return roots
+    known = roots.join(new.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    return save(known.unionByName(new.join(roots.select("id"), "id", "left_anti")))
+
+
+def _hubs(buckets: DataFrame) -> DataFrame:
+    """``key, id, hub``: hub is the bucket's smallest id; buckets of one member are left out."""
+    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
+    return save(buckets.join(hubs, "key").select("key", "id", "hub"))
 
 
 def _pairs(hubs: DataFrame) -> DataFrame:
     return hubs.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
 
 
-def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """``key, id, label, n, top, heavy`` of buckets with several components; top: the label of the largest."""
+def _cells(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, x, y, block, id, label``: the cells of buckets with several components; a cell compares block x with block y.
+
+    Blocks of the largest component are numbered from -1 down, the others from 0 up.
+    """
     labelled = shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("label")).distinct()
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    by = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("inside"), F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    heavy = (F.col("n").cast("double") * F.col("n") - F.col("inside")) / 2 > F.col("n") * F.lit(float(LIGHT))
-    return save(labelled.join(by.select("key", "n", "top", heavy.alias("heavy")), "key").select("key", "id", "label", "n", "top", "heavy"))
+    by = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    tops, rest = (F.ceil(c / F.lit(BLOCK)).cast("int") for c in (F.col("most"), F.col("n") - F.col("most")))
+    mixed = labelled.join(by.select("key", "top", tops.alias("tops"), rest.alias("rest")), "key").withColumn("on_top", F.col("label") == F.col("top"))
+    nth = F.pmod(F.xxhash64("id"), F.when(F.col("on_top"), F.col("tops")).otherwise(F.col("rest"))).cast("int")
+    blocks = mixed.withColumn("block", F.when(F.col("on_top"), -1 - nth).otherwise(nth))
+    against = F.when(F.col("on_top"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(-F.col("tops"), F.col("rest") - 1))
+    out = blocks.withColumn("other", F.explode(against))
+    return save(out.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "label"))
+
+
+def in_cells(cells: DataFrame, of: DataFrame, value: str, compare: Callable[[pa.Array, pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Distinct pairs ``a, b`` of the members of cells, with different labels, that compare lets pass.
 
+    of: ``id`` and a value to compare by; compare: takes the values of two blocks and gives the indices of pairs.
+    """
+
+    def run(cell: pa.Table) -> pa.Table:
+        what = cell.column(value).combine_chunks()
+        block, ids, label = (cell.column(c).to_numpy() for c in ("block", "id", "label"))
+        x, y = cell.column("x")[0].as_py(), cell.column("y")[0].as_py()
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        if len(left) and len(right):
+            i, j = compare(what.take(pa.array(left)), what.take(pa.array(right)))
+            left, right = left[i], right[j]
+            ok = (label[left] != label[right]) & ((x != y) | (ids[left] < ids[right]))
+            left, right = left[ok], right[ok]
+        else:
+            left = right = np.empty(0, np.int64)
+        return pa.table({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right])})
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """All pairs ``a, b`` of a bucket whose labels differ: the members in blocks, those outside of the largest component against each block."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = mixed.select("key", "id", "label", "top", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    right = mixed.where("label <> top").select("key", F.col("id").alias("id2"), F.col("label").alias("label2"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    both = left.join(right, ["key", "block"]).where((F.col("label") != F.col("label2")) & ((F.col("label") == F.col("top")) | (F.col("id") < F.col("id2"))))
-    return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    rows = cells.join(of.select("id", value), "id").select("key", "x", "y", "block", "id", "label", value)
+    return rows.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
     """``id, root`` of the ids that have a verified partner.
 
     buckets: ``key, id`` (repeats allowed); verify: takes distinct pairs ``a, b`` with a < b and
-    returns those that hold; known: edges ``a, b`` that hold anyway; refine: takes ``id`` and gives
-    buckets in which each pair of these ids that may verify meets.
+    returns those that hold; across: takes cells and returns the pairs in them that hold; known: edges ``a, b`` that hold anyway.
     """
-    hubs = save(_hubs(buckets, 0))
-    edges = save(verify(_pairs(hubs)).select("a", "b"))
-    if known is not None:
-        edges = edges.unionByName(known.select("a", "b"))
-    roots, shared, turn = components(edges), hubs, 0
-    tested, pending = _pairs(hubs), []
-    while True:
-        mixed = _mixed(shared, roots)
-        heavy = mixed.where("heavy")
-        if heavy.isEmpty() or turn == ROUNDS and refine is None:
-            pending.append(_across(mixed))
-            break
-        pending.append(_across(mixed.where("not heavy")))
-        if turn == ROUNDS:
-            shared, turn = save(_hubs(refine(heavy.select("id").distinct()), 0)), 0
-            pairs, refine = _pairs(shared), None
-        else:
-            turn += 1
-            shared = save(_hubs(heavy.select("key", "id"), turn))
-            pairs = _pairs(shared)
-        more = save(verify(pairs).select("a", "b"))
-        tested = tested.unionByName(pairs)
-        edges = edges.unionByName(more)
-        roots = components(edges)
-    cross = pending[0]
-    for p in pending[1:]:
-        cross = cross.unionByName(p)
-    second = save(verify(cross.distinct().join(tested, ["a", "b"], "left_anti")).select("a", "b"))
-    return roots if second.isEmpty() else components(edges.unionByName(second))
+    shared = _hubs(buckets)
+    edges = save(verify(_pairs(shared)).select("a", "b"))
+    roots = components(edges if known is None else edges.unionByName(known.select("a", "b")))
+    cells = _cells(shared, roots)
+    if cells.isEmpty():
+        return roots
+    more = save(across(cells).select("a", "b"))
+    return roots if more.isEmpty() else merged(roots, more)

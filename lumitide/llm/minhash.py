@@ -9,10 +9,6 @@
    P(similarity >= threshold) < ``miss``.
 4. Survivors are verified by the exact Jaccard similarity of their shingle sets.
 
-Buckets that hold many texts which don't verify are split by the minima themselves (:func:`rare_minima`):
-a pair that passes step 3 to its end agrees in at least m of all minima, so among the rarest of each
-text's, all but m - 1, there is one that both have.
-
 Defined results: a text without words has no duplicates, and an empty table gives no rows; rows with a null id are
 left out (:func:`keep_one` keeps them); rows that share an id are one document, near to whatever any of its texts is
 near to, and :func:`keep_one` keeps the one of those rows whose text, then language, then source, then whole row in
@@ -30,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .groups import link
+from .groups import in_cells, link
 from .store import columns, save, small
 from .tokens import mix, ngrams, sequence_hash, text_slices, words
 
@@ -112,25 +108,19 @@ def least_matches(threshold: float, step: int, total: int, miss: float) -> dict[
     return {n: next(m for m in range(n + 1) if tail(m, n) >= miss) for n in range(step, total + 1, step)}
 
 
-def rare_minima(sigs: DataFrame, ids: DataFrame, threshold: float = THRESHOLD, step: int = STEP, miss: float = MISS, total: int = BANDS * ROWS) -> DataFrame:
-    """``key, id``: buckets in which each pair of these ids that :func:`prune` lets pass meets.
-
-    Both agree in at least m of their minima, so the prefixes of all but m - 1, by rarity, share one.
-    """
-    m = max(1, *least_matches(threshold, step, total, miss).values())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                sig = matrix(b.column("sig")).astype(np.uint64)
-                key = mix(sig * np.uint64(0x9E3779B97F4A7C15) + mix(np.arange(1, sig.shape[1] + 1, dtype=np.uint64)))
-                of = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), sig.shape[1]) for c in ("id", "exact")]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.reshape(-1).view(np.int64), *of)], names=["key", "id", "exact"])
-
-    minima = save(sigs.join(ids, "id", "left_semi").select("id", "exact", "sig").mapInArrow(run, "key long, id long, exact long").distinct())
-    often = minima.groupBy("key").agg(F.count("*").alias("n"))
-    prefix = F.row_number().over(Window.partitionBy("id", "exact").orderBy("n", "key"))
-    return minima.join(often, "key").withColumn("rank", prefix).where(F.col("rank") <= total - m + 1).where("n > 1").select("key", "id").distinct()
+def passing(x: np.ndarray, y: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a row of x and a row of y that the sequential posterior test doesn't drop."""
+    done, need = next(iter(least.items()))
+    agree = np.zeros((len(x), len(y)), np.int16)
+    for k in range(done):
+        agree += x[:, k, None] == y[None, :, k]
+    i, j = np.nonzero(agree >= need)
+    agree = agree[i, j].astype(np.int64)
+    for n, need in list(least.items())[1:]:
+        agree += (x[i, done:n] == y[j, done:n]).sum(1)
+        ok = agree >= need
+        i, j, agree, done = i[ok], j[ok], agree[ok], n
+    return i, j
 
 
 def prune(pairs: DataFrame, sigs: DataFrame, threshold: float = THRESHOLD, step: int = STEP, miss: float = MISS) -> DataFrame:
@@ -199,8 +189,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     later = save(sigs.select("id", "exact").join(classes.select("exact", "first"), "exact").where("id <> first").select("id", "exact", "first").distinct())
     lead = sigs.join(small(later.select("id", "exact")), ["id", "exact"], "left_anti")
     check = lambda pairs: verify_exact(prune(pairs, sigs, threshold, step, miss), docs, threshold, shingle)
-    smaller = lambda ids: rare_minima(lead, ids, threshold, step, miss, bands * rows)
-    roots = link(band_keys(lead, bands, rows), check, later.select(F.col("first").alias("a"), F.col("id").alias("b")), smaller)
+    least = least_matches(threshold, step, bands * rows, miss)
+    across = lambda cells: verify_exact(in_cells(cells, lead, "sig", lambda x, y: passing(matrix(x), matrix(y), least)), docs, threshold, shingle)
+    roots = link(band_keys(lead, bands, rows), check, across, later.select(F.col("first").alias("a"), F.col("id").alias("b")))
     size = roots.groupBy("root").agg(F.count("*").alias("group_size"))
     return roots.join(size, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), "group_size", (F.col("id") == F.col("root")).alias("keep"))
 

@@ -66,26 +66,24 @@ def test_buckets_of_texts_that_do_not_verify(spark, monkeypatch):
     for k in range(120):
         own = [f"o{k // 2 if k < 30 else k}_{j}" for j in range(60)]
         rows.append((k, " ".join(common + own + ([f"e{k}"] if k < 30 else []))))
+    rows += [(200 + k, " ".join(common + [f"copy{k % 3}"])) for k in range(90)]  # a large group among them
+    rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute.components(brute.near_pairs(dict(rows), 3, 0.5))
-    assert len(set(want.values())) == 15
-    for light in (32, 0):  # 0: every bucket is heavy, so rare minima come into play
-        monkeypatch.setattr(groups, "LIGHT", light)
-        got = {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()}
-        assert got == want
-
-
-def test_rare_minima_lose_no_pair(spark, docs):
-    sigs = minhash.describe(docs).cache()
-    m = max(minhash.least_matches(0.5, 16, 128, 0.002).values())
-    rows = {r.id: np.frombuffer(bytes(r.sig), np.uint32) for r in sigs.collect()}
-    ids = sorted(rows)[:120]
-    met = {}
-    for r in minhash.rare_minima(sigs, spark.createDataFrame([(k,) for k in ids], "id long")).collect():
-        met.setdefault(r.key, set()).add(r.id)
-    together = {(a, b) for s in met.values() for a in s for b in s if a < b}
-    pairs = [(a, b) for a in ids for b in ids if a < b and (rows[a] == rows[b]).sum() >= m]
-    assert pairs and all(p in together for p in pairs)
+    assert len(set(want.values())) == 16
+    for block in (512, 7):  # many cells
+        monkeypatch.setattr(groups, "BLOCK", block)
+        assert {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()} == want
+
+
+def test_pairs_of_blocks_pass_as_single_pairs_do():
+    rng = np.random.default_rng(3)
+    least = minhash.least_matches(0.5, 16, 128, 0.002)
+    base = rng.integers(0, 3, (60, 128)).astype(np.uint32)
+    x, y = base[:40], base[20:]
+    i, j = minhash.passing(x, y, least)
+    want = {(a, b) for a in range(len(x)) for b in range(len(y)) if all((x[a, :n] == y[b, :n]).sum() >= m for n, m in least.items())}
+    assert want and set(zip(i.tolist(), j.tolist())) == want
 
 
 def test_a_row_of_each_id_whatever_the_order(spark):
