@@ -17,7 +17,7 @@ window or group holds one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .store import save
 
-BLOCK = 512
+BLOCK, PAIRS = 512, 1 << 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -90,28 +90,55 @@ def _cells(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return save(out.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "label"))
 
 
-def in_cells(cells: DataFrame, of: DataFrame, value: str, compare: Callable[[pa.Array, pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Distinct pairs ``a, b`` of the members of cells, with different labels, that compare lets pass.
+def in_cells(cells: DataFrame, of: DataFrame, value: str, prepare: Callable[[pa.Array], np.ndarray], holds: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Distinct pairs ``a, b`` of the members of cells, with different labels, that hold.
 
-    of: ``id`` and a value to compare by; compare: takes the values of two blocks and gives the indices of pairs.
+    of: ``id`` and a value to compare by; prepare: makes an array of a column of values; holds: whether each pair
+    of indices i, j into it does.  All cells of an Arrow batch are gone through together.
     """
 
-    def run(cell: pa.Table) -> pa.Table:
-        what = cell.column(value).combine_chunks()
-        block, ids, label = (cell.column(c).to_numpy() for c in ("block", "id", "label"))
-        x, y = cell.column("x")[0].as_py(), cell.column("y")[0].as_py()
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        if len(left) and len(right):
-            i, j = compare(what.take(pa.array(left)), what.take(pa.array(right)))
-            left, right = left[i], right[j]
-            ok = (label[left] != label[right]) & ((x != y) | (ids[left] < ids[right]))
-            left, right = left[ok], right[ok]
-        else:
-            left = right = np.empty(0, np.int64)
-        return pa.table({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right])})
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, x, y, block, ids, label = (t.column(c).to_numpy() for c in ("key", "x", "y", "block", "id", "label"))
+        values = prepare(t.column(value).combine_chunks())
+        new = np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+        begin = np.flatnonzero(new)
+        left, right = np.add.reduceat(block == x, begin), np.add.reduceat(block == y, begin)
+        second = begin + np.where(x[begin] == y[begin], 0, left)  # rows of block x come first
+        n = left * right
+        total = np.append(0, np.cumsum(n))
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+            of_cell = np.repeat(np.arange(at, to), n[at:to])
+            nth = np.arange(total[at], total[to]) - total[of_cell]
+            i, j = begin[of_cell] + nth // right[of_cell], second[of_cell] + nth % right[of_cell]
+            ok = (label[i] != label[j]) & ((x[i] != y[i]) | (i < j)) & (ids[i] != ids[j])
+            i, j = i[ok], j[ok]
+            ok = holds(values, i, j)
+            a, b = ids[i[ok]], ids[j[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            last = np.ones(t.num_rows, bool)  # the last cell may go on in the next batch
+            for c in ("key", "x", "y"):
+                col = t.column(c).to_numpy()
+                last &= col == col[-1]
+            cut = int(np.argmax(last))
+            if cut:
+                yield from pairs(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None:
+            yield from pairs(held)
 
     rows = cells.join(of.select("id", value), "id").select("key", "x", "y", "block", "id", "label", value)
-    return rows.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "block", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:

@@ -108,19 +108,16 @@ def least_matches(threshold: float, step: int, total: int, miss: float) -> dict[
     return {n: next(m for m in range(n + 1) if tail(m, n) >= miss) for n in range(step, total + 1, step)}
 
 
-def passing(x: np.ndarray, y: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a row of x and a row of y that the sequential posterior test doesn't drop."""
-    done, need = next(iter(least.items()))
-    agree = np.zeros((len(x), len(y)), np.int16)
-    for k in range(done):
-        agree += x[:, k, None] == y[None, :, k]
-    i, j = np.nonzero(agree >= need)
-    agree = agree[i, j].astype(np.int64)
-    for n, need in list(least.items())[1:]:
-        agree += (x[i, done:n] == y[j, done:n]).sum(1)
+def passing(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Whether the sequential posterior test lets each pair of rows i, j pass."""
+    alive, agree, done = np.arange(len(i)), np.zeros(len(i), np.int64), 0
+    for n, need in least.items():
+        agree += (sig[i[alive], done:n] == sig[j[alive], done:n]).sum(1)
         ok = agree >= need
-        i, j, agree, done = i[ok], j[ok], agree[ok], n
-    return i, j
+        alive, agree, done = alive[ok], agree[ok], n
+    out = np.zeros(len(i), bool)
+    out[alive] = True
+    return out
 
 
 def prune(pairs: DataFrame, sigs: DataFrame, threshold: float = THRESHOLD, step: int = STEP, miss: float = MISS) -> DataFrame:
@@ -133,12 +130,8 @@ def prune(pairs: DataFrame, sigs: DataFrame, threshold: float = THRESHOLD, step:
                 continue
             x, y = matrix(b.column("sa")), matrix(b.column("sb"))
             least = least or least_matches(threshold, step, x.shape[1], miss)
-            alive, agree = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for n, m in least.items():
-                agree += (x[alive, n - step : n] == y[alive, n - step : n]).sum(1)
-                ok = agree >= m
-                alive, agree = alive[ok], agree[ok]
-            yield b.select(["a", "b"]).take(pa.array(alive))
+            pair = np.arange(b.num_rows)
+            yield b.select(["a", "b"]).filter(pa.array(passing(np.concatenate([x, y]), pair, pair + b.num_rows, least)))
 
     s = sigs.select("id", "sig")
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
@@ -190,7 +183,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     lead = sigs.join(small(later.select("id", "exact")), ["id", "exact"], "left_anti")
     check = lambda pairs: verify_exact(prune(pairs, sigs, threshold, step, miss), docs, threshold, shingle)
     least = least_matches(threshold, step, bands * rows, miss)
-    across = lambda cells: verify_exact(in_cells(cells, lead, "sig", lambda x, y: passing(matrix(x), matrix(y), least)), docs, threshold, shingle)
+    across = lambda cells: verify_exact(in_cells(cells, lead, "sig", matrix, lambda sig, i, j: passing(sig, i, j, least)), docs, threshold, shingle)
     roots = link(band_keys(lead, bands, rows), check, across, later.select(F.col("first").alias("a"), F.col("id").alias("b")))
     size = roots.groupBy("root").agg(F.count("*").alias("group_size"))
     return roots.join(size, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), "group_size", (F.col("id") == F.col("root")).alias("keep"))

@@ -117,12 +117,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, width: float = WIDT
         both = pairs.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
         return both.select("a", "b", "va", "vb").mapInArrow(check, "a long, b long")
 
-    def alike(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        (_, x), (_, y) = unit(left, dim), unit(right, dim)
-        i, j = np.nonzero(x @ y.T >= cosine - 1e-9)
-        ok = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
-        return i[ok], j[ok]
-
-    roots = link(items.select(F.explode("keys").alias("key"), "id"), verify, lambda cells: in_cells(cells, items, "v", alike))
+    alike = lambda x, i, j: np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+    roots = link(items.select(F.explode("keys").alias("key"), "id"), verify, lambda cells: in_cells(cells, items, "v", lambda v: unit(v, dim)[1], alike))
     size = roots.groupBy("root").agg(F.count("*").alias("group_size"))
     return roots.join(size, "root").select(F.col("id").alias("vec_id"), F.col("root").alias("group_id"), "group_size", (F.col("id") == F.col("root")).alias("keep"))

@@ -71,19 +71,19 @@ def test_buckets_of_texts_that_do_not_verify(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute.components(brute.near_pairs(dict(rows), 3, 0.5))
     assert len(set(want.values())) == 16
-    for block in (512, 7):  # many cells
+    for block, pairs in ((512, 1 << 16), (7, 20)):  # many cells, many steps
         monkeypatch.setattr(groups, "BLOCK", block)
+        monkeypatch.setattr(groups, "PAIRS", pairs)
         assert {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()} == want
 
 
-def test_pairs_of_blocks_pass_as_single_pairs_do():
+def test_pairs_pass_if_every_step_does():
     rng = np.random.default_rng(3)
     least = minhash.least_matches(0.5, 16, 128, 0.002)
-    base = rng.integers(0, 3, (60, 128)).astype(np.uint32)
-    x, y = base[:40], base[20:]
-    i, j = minhash.passing(x, y, least)
-    want = {(a, b) for a in range(len(x)) for b in range(len(y)) if all((x[a, :n] == y[b, :n]).sum() >= m for n, m in least.items())}
-    assert want and set(zip(i.tolist(), j.tolist())) == want
+    sig = rng.integers(0, 3, (60, 128)).astype(np.uint32)
+    i, j = (k.reshape(-1) for k in np.mgrid[0:60, 0:60])
+    want = [all((sig[a, :n] == sig[b, :n]).sum() >= m for n, m in least.items()) for a, b in zip(i, j)]
+    assert 60 < sum(want) < 3600 and minhash.passing(sig, i, j, least).tolist() == want
 
 
 def test_a_row_of_each_id_whatever_the_order(spark):
