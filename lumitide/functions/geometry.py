@@ -72,3 +72,9 @@ def occlusion_contributes(state: Column) -> Column:
 
 def blur_sigma(mean_radius: Column) -> Column:
     return F.greatest(mean_radius * 2.0 / 3.0, F.lit(0.5))
+
+
+def polygon_box(points: Column) -> Column:
+    """``struct<l, t, r, b>`` around ``array<struct<x, y>>``."""
+    x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return F.struct(F.array_min(x).alias("l"), F.array_min(y).alias("t"), F.array_max(x).alias("r"), F.array_max(y).alias("b"))

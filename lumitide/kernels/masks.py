@@ -66,6 +66,35 @@ def polygon(w: int, h: int, points: list[tuple[float, float]]) -> Coverage:
     return Coverage(0, 0, out)
 
 
+def polygon_box(points: list[tuple[float, float]]) -> Coverage:
+    """A polygon as the coverage of its own box, from pixel (0, 0) on."""
+    if len(points) < 3 or not np.isfinite(np.array(points, float)).all():
+        raise MediaError("a polygon has 3 finite vertices or more")
+    p = np.array(points, float)
+    left, top = (max(0, int(np.floor(v))) for v in p.min(0))
+    right, bottom = (int(np.ceil(v)) for v in p.max(0))
+    made = polygon(max(1, right - left), max(1, bottom - top), (p - [left, top]).tolist())
+    return Coverage(left, top, made.data)
+
+
+def decode(asset: dict | None) -> Coverage | None:
+    """The coverage of a mask asset as it stands in a row (:data:`ASSET`); None for what stands in a package."""
+    if asset is None or asset["kind"] == "external":
+        return None
+    kind, w, h = asset["kind"], asset["w"] or 0, asset["h"] or 0
+    if kind in ("dense", "cropped"):
+        return dense(w, h, asset["data"] or b"", *((asset["left"] or 0, asset["top"] or 0) if kind == "cropped" else ()))
+    if kind == "rle":
+        return rle(w, h, [(n, v) for n, v in asset["runs"] or []])
+    if kind == "polygon":
+        return polygon_box([(x, y) for x, y in asset["points"] or []])
+    raise MediaError(f"unknown kind of mask {kind}")
+
+
+#: A mask asset as a column.
+ASSET = "struct<kind: string, w: bigint, h: bigint, left: bigint, top: bigint, data: binary, runs: array<array<bigint>>, points: array<array<double>>, package_id: string, mask_ref: string>"
+
+
 @dataclasses.dataclass
 class Region:
     cx: float

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from ..errors import MediaError
-from ..kernels.masks import Region, redact
+from ..kernels.masks import Region, decode, redact
 from ..kernels.pictures import Crop, Kernel, Times
 
 #: Pictures are handed over in batches of about so many bytes, small ones stacked.
@@ -88,7 +88,10 @@ def _schema(frames: DataFrame):
 
 
 def redacted(frames: DataFrame, style: str = "gaussian", amount: float = 12.0, colour: tuple[int, int, int, int] = (0, 0, 0, 255), feather: float = 0.35, min_conf: float = 0.05) -> DataFrame:
-    """Frames with the regions of their ``regions`` column (``array<struct<cx, cy, radius, conf>>``) hidden; the column is dropped."""
+    """Frames with the regions of their ``regions`` column (``array<struct<cx, cy, radius, conf>>``) hidden; the column is dropped.
+
+    A region with an ``asset`` that decodes is hidden by that coverage, others by a feathered disc.
+    """
     names = [c for c in frames.columns if c != "regions"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +99,39 @@ def redacted(frames: DataFrame, style: str = "gaussian", amount: float = 12.0, c
             for i, j in _stacks(whole):
                 b = whole.slice(i, j - i)
                 px = pictures(b)
-                rows = [[Region(r["cx"], r["cy"], max(r["radius"], 1.0), r["conf"]) for r in rs or []] for rs in b.column("regions").to_pylist()]
+                rows = [[Region(r["cx"], r["cy"], max(r["radius"], 1.0), r["conf"], decode(r.get("asset"))) for r in rs or []] for rs in b.column("regions").to_pylist()]
                 out = np.stack([redact(p, r, style, amount, colour, feather, min_conf) for p, r in zip(px, rows)])
                 yield pa.RecordBatch.from_arrays([_binary(out) if x == "data" else b.column(x) for x in names], names=names)
 
     return frames.mapInArrow(run, frames.select(*names).schema)
 
 
+def captioned(frames: DataFrame, room: int = 24) -> DataFrame:
+    """RGB frames with the texts of their ``cues`` column over each other, centred, ``room`` above the bottom; the column is dropped."""
+    from functools import lru_cache
+
+    from ..kernels.pictures import over
+    from ..sources.generate import raster
+
+    names = [c for c in frames.columns if c != "cues"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = lru_cache(256)(raster)
+        for whole in batches:
+            for i, j in _stacks(whole):
+                b = whole.slice(i, j - i)
+                px = pictures(b)
+                out = np.zeros((*px.shape[:3], 3), np.uint8)
+                for k, cues in enumerate(b.column("cues").to_pylist()):
+                    over(out[k], px[k] if px.shape[-1] > 1 else px[k].repeat(3, -1), 0, 0, 1.0)
+                    for cue in cues or []:
+                        t = text(cue)
+                        over(out[k], t, (px.shape[2] - t.shape[1]) // 2, px.shape[1] - t.shape[0] - room, 1.0)
+                yield pa.RecordBatch.from_arrays([_binary(out) if x == "data" else pa.array(np.full(len(out), 3, np.int32)) if x == "channels" else b.column(x) for x in names], names=names)
+
+    return frames.select(*[F.col(x).cast("int").alias(x) if x == "channels" else F.col(x) for x in frames.columns]).mapInArrow(run, _schema(frames.select(*names)))
+
+
 def from_arrays(df: DataFrame, px: str, w: int, h: int, channels: int = 1) -> DataFrame:
     """Frames of ``array<int>`` pixels."""
     keep = [c for c in df.columns if c != px]

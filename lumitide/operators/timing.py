@@ -7,6 +7,7 @@ Frames whose interval becomes empty are dropped.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,20 @@ def mirror(df: DataFrame) -> DataFrame:
     return _to(df, F.col("dur_us") - F.col("e_us"), F.col("dur_us") - F.col("t_us"), F.col("dur_us"))
 
 
+def speed_samples(df: DataFrame, factor: float) -> DataFrame:
+    """Samples ``i`` played ``factor`` times as fast: each is read at its own time, so the pitch changes too."""
+    if not (math.isfinite(factor) and factor > 0):
+        raise ParamError(f"speed factor must be above 0, not {factor}")
+    first, end = (F.ceil((F.col("i") + k) / F.lit(float(factor))) for k in (0, 1))
+    served = F.when(first < end, F.sequence(first, end - 1))
+    return df.withColumn("i_", F.explode(served)).withColumn("i", F.col("i_")).drop("i_")
+
+
+def mirror_samples(df: DataFrame, frames: int | Column) -> DataFrame:
+    """Samples in reverse; frames: how many there are at each channel."""
+    return df.withColumn("i", (frames if isinstance(frames, Column) else F.lit(frames)) - 1 - F.col("i"))
+
+
 def symmetrize(df: DataFrame) -> DataFrame:
     """Forwards, then backwards, in twice the time."""
     d = F.col("dur_us")
@@ -201,3 +216,11 @@ def timing_index(points: DataFrame, group: tuple[str, ...] = ("clip_id",), t: st
 def frame_index_at(points: DataFrame, index: DataFrame, group: tuple[str, ...] = ("clip_id",), t: str = "t_us") -> DataFrame:
     """points with ``ordinal``: of the last time at or before theirs, 0 before the first."""
     return asof_join(points, index, list(group), t, "pts_us", ["ordinal"]).withColumn("ordinal", F.coalesce("ordinal", F.lit(0).cast("bigint")))
+
+
+def first_packets(packets: DataFrame, most: int, t: str, streams: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The first packets of each stream by time: what a reader with a limit takes."""
+    if most < 0:
+        raise ParamError("a limit can't be negative")
+    nth = F.row_number().over(Window.partitionBy(*streams).orderBy(t, *order))
+    return packets.withColumn("nth_", nth).where(F.col("nth_") <= most).drop("nth_")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ParamError
 from ..functions.geometry import contributes
+from ..scratch import small
 from .intervals import asof_join, interval_join
 
 ANONYMOUS = "_anon"
@@ -39,6 +40,9 @@ def spans(samples: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Contributing samples with the next one's time and values, ``next_*``, and whether they're first or last."""
     w = Window.partitionBy(*group, "subject").orderBy("t_us", "cx", "cy")
     nxt = {f"next_{c}": F.lead(c).over(w) for c in ("t_us", *VALUES)}
+    if "asset" in samples.columns:  # the last one there was, else the first there is
+        before = w.rowsBetween(Window.unboundedPreceding, 0)
+        nxt["asset"] = F.coalesce(F.last("asset", ignorenulls=True).over(before), F.first("asset", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     return prune(assign_anonymous(samples)).withColumns({**nxt, "nth": F.row_number().over(w)})
 
 
@@ -47,7 +51,7 @@ def _lerp(name: str, u: Column) -> Column:
 
 
 def regions_at(samples: DataFrame, grid: DataFrame, t: str = "at_us", group: Sequence[str] = (), interpolation: str = "linear", missing: str = "transparent", width: int = 1_000_000) -> DataFrame:
-    """grid with every region at its time: ``subject, cx, cy, radius, conf, lifecycle``.
+    """grid with every region at its time: ``subject, cx, cy, radius, conf, lifecycle``, and ``asset`` if the samples have it.
 
     linear: between samples, both ends held, lifecycle of the nearer; missing doesn't matter then.
     hold: the last sample; before the first none, the first (hold_last) or an all-covering one (opaque).
@@ -61,7 +65,7 @@ def regions_at(samples: DataFrame, grid: DataFrame, t: str = "at_us", group: Seq
     if interpolation == "linear" or missing == "hold_last":
         s = s.withColumn("from_us", F.when(F.col("nth") == 1, F.lit(-far)).otherwise(F.col("from_us")))
     if interpolation == "hold" and missing == "opaque":
-        head = s.where("nth = 1").withColumns({"to_us": F.col("t_us"), "from_us": F.lit(-far), "cx": F.lit(0.0), "cy": F.lit(0.0), "radius": F.lit(OPAQUE_RADIUS), "conf": F.lit(1.0), "lifecycle": F.lit("active")})
+        head = s.where("nth = 1").withColumns({"to_us": F.col("t_us"), "from_us": F.lit(-far), "cx": F.lit(0.0), "cy": F.lit(0.0), "radius": F.lit(OPAQUE_RADIUS), "conf": F.lit(1.0), "lifecycle": F.lit("active"), **({"asset": F.lit(None).cast(s.schema["asset"].dataType)} if "asset" in s.columns else {})})
         s = s.unionByName(head)
     # ends without bound would touch endless buckets: bound them by the grid's own times
     edge = grid.agg(F.min(t).alias("lo_"), F.max(t).alias("hi_"))
@@ -72,7 +76,7 @@ def regions_at(samples: DataFrame, grid: DataFrame, t: str = "at_us", group: Seq
         u = F.when(F.col("next_t_us").isNull() | (F.col(t) <= F.col("t_us")), 0.0).otherwise(raw)
         moved = {c: F.when(u == 0.0, F.col(c)).otherwise(_lerp(c, u)) for c in VALUES[:4]}
         hit = hit.withColumns({**moved, "lifecycle": F.when(u < 0.5, F.col("lifecycle")).otherwise(F.coalesce("next_lifecycle", "lifecycle"))})
-    return hit.select(*grid.columns, "subject", *VALUES)
+    return hit.select(*grid.columns, "subject", *VALUES, *(["asset"] if "asset" in samples.columns else []))
 
 
 def coverage_at(points: DataFrame, tracks: DataFrame, keys: Sequence[str], t: str, track_t: str, value: str) -> DataFrame:
@@ -124,12 +128,24 @@ def mask_samples(tracks: DataFrame) -> DataFrame:
     return tracks.withColumns({"subject": F.coalesce("subject", "track"), "occluded": hidden, "lifecycle": F.when(hidden, "occluded").otherwise(life), "radius": F.greatest(F.col("radius"), F.lit(1.0))})
 
 
-def with_regions(frames: DataFrame, samples: DataFrame, min_conf: float = 0.05, width: int = 1_000_000) -> DataFrame:
-    """frames with ``regions``: those at their time, of samples that carry ``clip_id``.
+def with_regions(frames: DataFrame, samples: DataFrame, min_conf: float = 0.05, width: int = 1_000_000, clips: bool = True) -> DataFrame:
+    """frames with ``regions``: those at their time, of samples that carry ``clip_id``; without clips, of samples that hold for all.
 
-    Only the frames' keys and times are joined and grouped; pictures are shuffled once, to meet the result.
+    Only the frames' keys and times are joined and grouped.  The lists meet the pictures by broadcast if they're
+    small, which is measured; otherwise pictures are shuffled once.
     """
-    keys = frames.select("clip_id", "t_us").distinct().withColumnRenamed("t_us", "at_us")
-    found = regions_at(samples, keys, "at_us", ("clip_id",), width=width).where(F.col("conf") >= min_conf)
-    lists = found.groupBy("clip_id", "at_us").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in VALUES[:4]]))).alias("regions"))
-    return frames.join(lists.withColumnRenamed("at_us", "t_us"), ["clip_id", "t_us"], "left").select(*frames.columns, "regions")
+    group = ["clip_id"] if clips else []
+    keys = frames.select(*group, F.col("t_us").alias("at_us")).distinct()
+    found = regions_at(samples, keys, "at_us", group, width=width).where(F.col("conf") >= min_conf)
+    parts = [F.col(c).cast("double").alias(c) for c in VALUES[:4]]
+    if "asset" not in samples.columns:
+        lists = found.groupBy(*group, "at_us").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("regions"))
+    else:
+        one = F.struct(*parts, F.col("subject"), F.col("asset"))
+        lists = found.groupBy(*group, "at_us").agg(F.array_sort(F.collect_list(one), lambda x, y: F.when(_place(x) < _place(y), -1).when(_place(x) > _place(y), 1).otherwise(0)).alias("regions"))
+    lists = small(lists.withColumnRenamed("at_us", "t_us"))
+    return frames.join(lists, [*group, "t_us"], "left").select(*frames.columns, "regions")
+
+
+def _place(region: Column) -> Column:
+    return F.struct(*[region[c] for c in VALUES[:4]], region["subject"])

@@ -10,12 +10,15 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..clips import Clip
 from ..errors import ContractError, MediaError, ParamError
 from ..kernels import pictures as K
+from ..kernels.masks import ASSET, decode
 from ..mediatime import MediaTime
 from ..operators import compose, frames, timing, vision
-from ..sources import documents, generate
+from ..operators.intervals import interval_join
+from ..sources import documents
 from . import registry as R
 from .graph import CompiledGraph, Graph, compile_graph
 
@@ -24,10 +27,10 @@ Provider = Callable[[Clip, dict], DataFrame]
 
 
 class Context:
-    """What executors need besides clips: the session, seeds by asset id, and adapters by name."""
+    """What executors need besides clips: the session, seeds by asset id, adapters by name, and the folder of a mask package."""
 
-    def __init__(self, spark: SparkSession, seeds: Mapping[str, Clip] | None = None, adapters: Mapping[str, Provider] | None = None, fps: float = 24.0):
-        self.spark, self.seeds, self.adapters, self.fps = spark, dict(seeds or {}), dict(adapters or {}), fps
+    def __init__(self, spark: SparkSession, seeds: Mapping[str, Clip] | None = None, adapters: Mapping[str, Provider] | None = None, fps: float = 24.0, package: str | None = None):
+        self.spark, self.seeds, self.adapters, self.fps, self.package = spark, dict(seeds or {}), dict(adapters or {}), fps, package
 
 
 def _kernel(make: Callable[[dict], K.Kernel]) -> Callable:
@@ -48,7 +51,8 @@ def trim(ctx: Context, ups: list[Clip], p: dict) -> Clip:
 
 def speed(ctx: Context, ups: list[Clip], p: dict) -> Clip:
     c, f = ups[0], p["factor"]
-    return c.timed(lambda v: timing.speed(v, f), round(c.duration_us / f), c.fps * f if c.fps else None)
+    out = c.timed(lambda v: timing.speed(v, f), round(c.duration_us / f), c.fps * f if c.fps else None)
+    return out if c.audio is None else out.replace(audio=timing.speed_samples(c.audio, f))
 
 
 def freeze(ctx: Context, ups: list[Clip], p: dict) -> Clip:
@@ -137,8 +141,24 @@ def mask_samples(ctx: Context, masks: dict, clip_id: str = "") -> DataFrame:
             cx, cy, r = (side[0] + side[2]) / 2, (side[1] + side[3]) / 2, math.hypot(side[2] - side[0], side[3] - side[1]) / 2
         if cx is None or cy is None:
             raise ParamError("a mask sample has no place")
-        rows.append((s.get("subject"), t.micros, float(cx), float(cy), max(1.0, float(r or 1.0)), float(s.get("conf", 1.0)), s.get("lifecycle", "active"), bool(s.get("occluded", False))))
-    return ctx.spark.createDataFrame(rows, "subject string, t_us long, cx double, cy double, radius double, conf double, lifecycle string, occluded boolean")
+        rows.append((s.get("subject"), t.micros, float(cx), float(cy), max(1.0, float(r or 1.0)), float(s.get("conf", 1.0)), s.get("lifecycle", "active"), bool(s.get("occluded", False)), mask_asset(s.get("asset"))))
+    return ctx.spark.createDataFrame(rows, f"subject string, t_us long, cx double, cy double, radius double, conf double, lifecycle string, occluded boolean, asset {ASSET}")
+
+
+def mask_asset(ref: dict | None) -> tuple | None:
+    """A mask asset of a document as a row; its pixels are checked here, so that a malformed one is no surprise later."""
+    a = (ref or {}).get("asset")
+    if a is None:
+        return None
+    num = lambda k: None if a.get(k) is None else int(a[k])
+    data = a.get("data")
+    ref_ = a.get("mask_ref")
+    row = (a.get("kind"), num("width"), num("height"), num("left"), num("top"), None if data is None else bytes(data), None if a.get("runs") is None else [[int(n), int(v)] for n, v in a["runs"]], None if a.get("points") is None else [[float(x), float(y)] for x, y in a["points"]], a.get("package_id"), None if ref_ is None else str(ref_))
+    try:
+        decode(dict(zip(("kind", "w", "h", "left", "top", "data", "runs", "points"), row)))
+    except MediaError as e:
+        raise ParamError(f"mask asset: {e}") from None
+    return row
 
 
 def redaction_style(p: dict) -> tuple[str, float, tuple[int, int, int, int]]:
@@ -166,34 +186,29 @@ def redact(ctx: Context, ups: list[Clip], p: dict) -> Clip:
         samples = c.masks
     else:
         raise ParamError("a redaction needs masks")
+    if vision.prune(samples).isEmpty():
+        raise ContractError("a redaction's masks have no sample that contributes")
     kind, amount, colour = redaction_style(p)
-    base = c.settled()
-    # masks have no clip id: they hold for every clip of the relation
-    ids = base.video.select("clip_id").distinct()
-    by_clip = samples.crossJoin(F.broadcast(ids))
-    grid = timing.to_grid(base.video, c.fps or ctx.fps).drop("idx")
-    made = frames.redacted(vision.with_regions(grid, by_clip), kind, amount, colour)
-    return base.replace(video=made, masks=None)
+    # masks have no clip id: they hold for every clip.  Times come from the frames before their kernels, which so run once
+    grid = timing.to_grid(c.video, c.fps or ctx.fps).drop("idx")
+    made = frames.redacted(frames.apply(vision.with_regions(grid, samples, clips=False), c.chain), kind, amount, colour)
+    return c.replace(video=made, chain=(), masks=None)
 
 
 def burn(ctx: Context, ups: list[Clip], p: dict) -> Clip:
-    """Cues within each part's window, moved to the timeline, as text layers at the bottom."""
-    c = ups[0].settled()
-    parts = [{"frames": c.video, "dur_us": c.duration_us}]
-    for spec in p["cues"]:
-        text = documents.texts(ctx.spark, spec["uri"])
+    """Cues within each part's window, moved to the timeline, as text at the bottom: one relation, however many cues there are."""
+    c, cues = ups[0], None
+    for part, spec in enumerate(p["cues"]):
         lo, dur, start = _time(spec.get("in")), _time(spec.get("duration")), _time(spec.get("start"))
-        cues = window_cues(documents.cues(text), lo, dur, start).orderBy("start_us", "nth").collect()  # a caption file is small
-        for cue in cues:
-            px = generate.raster(cue["text"])
-            if cue["end_us"] <= max(0, cue["start_us"]):
-                continue
-            layer = generate.text_clip(ctx.spark, cue["text"], cue["end_us"] - cue["start_us"])
-            parts.append({"frames": layer, "dur_us": cue["end_us"] - cue["start_us"], "start_us": cue["start_us"], "layer_index": 100, "x": (c.w - px.shape[1]) // 2, "y": c.h - px.shape[0] - 24})
-    if len(parts) == 1:
+        one = window_cues(documents.cues(documents.texts(ctx.spark, spec["uri"])), lo, dur, start).select(F.lit(part).alias("part"), "start_us", "nth", "end_us", "text")
+        cues = one if cues is None else cues.unionByName(one)
+    if cues is None:
         return c
-    fps = c.fps or ctx.fps
-    return c.replace(video=compose.compose_frames(parts, c.w, c.h, fps, c.duration_us))
+    grid = timing.to_grid(c.video, c.fps or ctx.fps).drop("idx")
+    on = interval_join(grid.select(F.col("t_us").alias("at_us")).distinct(), cues, "at_us", "start_us", "end_us")
+    lists = on.groupBy(F.col("at_us").alias("t_us")).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "start_us", "nth", "text"))), lambda x: x["text"]).alias("cues"))
+    joined = grid.join(scratch.small(lists), "t_us", "left").select(*grid.columns, "cues")
+    return c.replace(video=frames.captioned(frames.apply(joined, c.chain)), chain=())
 
 
 def window_cues(cues: DataFrame, in_us: int, dur_us: int, start_us: int) -> DataFrame:
@@ -204,8 +219,10 @@ def window_cues(cues: DataFrame, in_us: int, dur_us: int, start_us: int) -> Data
 
 
 def adapt(ctx: Context, ups: list[Clip], p: dict) -> Clip:
-    """Masks from the named adapter, else from tracks or masks in the parameters; pictures pass."""
+    """Masks of the package that is named, else from the named adapter, else from tracks or masks in the parameters; pictures pass."""
     c, params = ups[0], p["params"]
+    if params.get("package_id") and ctx.package is not None:
+        return c.replace(masks=package_masks(ctx, params["package_id"]))
     provider = ctx.adapters.get(p["name"])
     if provider is not None:
         return c.replace(masks=provider(c, params))
@@ -223,6 +240,19 @@ def adapt(ctx: Context, ups: list[Clip], p: dict) -> Clip:
     return c
 
 
+def package_masks(ctx: Context, package_id: str) -> DataFrame:
+    """Mask samples of the context's package, which must have this id, with the pixels of its blobs."""
+    found, tracks = documents.package_tracks(ctx.spark, ctx.package)
+    if found != package_id:
+        raise MediaError(f"the mask package is {found}, not {package_id}")
+    samples = vision.mask_samples(documents.tracks(tracks))
+    blobs = documents.mask_packages(ctx.spark, ctx.package)
+    pixels = F.struct("kind", "w", "h", F.col("x").alias("left"), F.col("y").alias("top"), "data", F.lit(None).cast("array<array<bigint>>").alias("runs"), F.lit(None).cast("array<array<double>>").alias("points"), "package_id", "mask_ref").cast(ASSET)
+    assets = blobs.select("package_id", "mask_ref", "path", pixels.alias("asset"))
+    refs = samples.select("subject", "t_us", "cx", "cy", "radius", "conf", "lifecycle", "occluded", F.lit(found).alias("package_id"), F.col("mask.observation").alias("mask_ref"), F.col("mask.uri").alias("path"))
+    return vision.resolve(refs, assets).drop("package_id", "mask_ref", "path")
+
+
 def hinted(ctx: Context, ups: list[Clip], p: dict) -> Clip:
     return ups[0].replace(hints=ups[0].hints | {k: v for k, v in p.items() if v is not None})
 

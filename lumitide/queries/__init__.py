@@ -22,7 +22,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import sight, sound, time  # noqa: F401
+    from . import more, sight, sound, time  # noqa: F401
 
     return dict(QUERIES)
 

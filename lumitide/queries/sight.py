@@ -211,9 +211,9 @@ def blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _px(spark, sf_dir, lambda px: P.blend(px, P.invert(px), F.lit(0.3)))
 
 
-@query(f"WITH {PX} SELECT vec_id, CAST(list_sum(list_transform(range(8), lambda i: px[i + 1] % 5)) AS BIGINT) AS total, array_to_string(flatten(list_transform(range(8), lambda i: list_transform(range(px[i + 1] % 5), lambda j: px[i + 1]))), ',') AS px FROM fr")
+@query(f"WITH {PX} SELECT vec_id, CAST(list_sum(list_transform(range(64), lambda i: px[i + 1] % 5)) AS BIGINT) AS total, array_to_string(flatten(list_transform(range(64), lambda i: list_transform(range(px[i + 1] % 5), lambda j: px[i + 1]))), ',') AS px FROM fr")
 def rle_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = F.transform(F.slice("px", 1, 8), lambda v: F.struct((v % 5).alias("count"), v.alias("value")))
+    runs = F.transform("px", lambda v: F.struct((v % 5).alias("count"), v.alias("value")))
     return pictures(spark, sf_dir).select("vec_id", P.rle_total(runs).alias("total"), joined(P.rle_decode(runs)))
 
 
@@ -269,30 +269,6 @@ def painting(spark: SparkSession, sf_dir: str) -> DataFrame:
 query()(painting)
 
 
-@query(f"WITH {PX}, c AS (SELECT vec_id, px FROM fr WHERE vec_id >= 10 AND vec_id < 30) SELECT CAST((vec_id - 10) * 2 + j AS BIGINT) AS idx, array_to_string(list_transform(range(64), lambda i: 255 - px[(i // 8) * 8 + 7 - i % 8 + 1]), ',') AS px FROM c, range(0, 2) AS r(j)")
-def graph_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph document, run over the pictures as one clip, sampled at two frames a second."""
-    whole = _frames(spark, sf_dir).withColumn("clip_id", F.lit("all"))
-    op = lambda name, operation, source, **p: {"id": name, "body": {"kind": "op", "operation": operation, "params": p}, "inputs": [source]}
-    doc = {
-        "version": 1, "assets": [{"id": "a", "uri": "seed"}], "outputs": [{"name": "main", "node": "out"}],
-        "nodes": [
-            {"id": "src", "body": {"kind": "source", "asset": "a"}, "inputs": []}, op("cut", "transform.trim", "src", start=10.0, duration={"ticks": 20, "timescale": 1}), op("flip", "transform.hflip", "cut"), op("inv", "color.invert", "flip"),
-            {"id": "out", "body": {"kind": "output", "name": "main"}, "inputs": ["inv"]},
-        ],
-    }
-    clip = materialize(Context(spark, {"a": Clip(whole, 10_000_000_000, 8, 8, 1.0)}), Graph.from_json(doc))["main"]
-    return FR.to_arrays(clip.sampled(2.0)).select("idx", joined("px"))
-
-
-@query(f"WITH {PX} SELECT vec_id, array_to_string(list_transform(range(16), lambda i: px[(i % 4 + 2) * 8 + i // 4 + 3]), ',') AS px FROM fr WHERE vec_id >= 5 AND vec_id < 25".replace("px[(i % 4 + 2) * 8 + i // 4 + 3]", "px[(5 - i % 4) * 8 + i // 4 + 3]"))
-def plan_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A linear plan: trim, two crops that merge, two flips that cancel, a quarter turn."""
-    doc = {"version": 1, "source": {"type": "file", "path": "seed"}, "ops": [{"op": "trim", "start": 5.0, "duration": 20.0}, {"op": "identity"}, {"op": "crop", "x": 1, "y": 1, "w": 6, "h": 6}, {"op": "crop", "x": 1, "y": 1, "w": 4, "h": 4}, {"op": "h_flip"}, {"op": "h_flip"}, {"op": "transpose_cw"}]}
-    clip = Clip(_frames(spark, sf_dir), 10_000_000_000, 8, 8, 1.0)
-    return _bytes(linear.execute(Context(spark), linear.Plan.from_json(doc), clip).pictures())
-
-
 def _extent(spark: SparkSession, sf_dir: str) -> int:
     """Microseconds up to the end of the last frame."""
     last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
@@ -300,7 +276,7 @@ def _extent(spark: SparkSession, sf_dir: str) -> int:
 
 
 @query(f"WITH {PX} SELECT CAST(vec_id * 2 + j AS BIGINT) AS idx, array_to_string(list_transform(range(64), lambda i: 255 - px[(i // 8) * 8 + 7 - i % 8 + 1]), ',') AS px FROM fr, range(0, 2) AS r(j)")
-def graph_run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph document without a trim, run over all pictures as one clip, sampled at two frames a second."""
     end = _extent(spark, sf_dir)
     whole = _frames(spark, sf_dir).withColumns({"clip_id": F.lit("all"), "dur_us": F.lit(end).cast("bigint")})
@@ -314,7 +290,7 @@ def graph_run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {PX} SELECT vec_id, array_to_string(list_transform(range(16), lambda i: px[(5 - i % 4) * 8 + i // 4 + 3]), ',') AS px FROM fr")
-def plan_run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plan_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A linear plan without a trim, over all pictures: two crops that merge, two flips that cancel, a quarter turn."""
     doc = {"version": 1, "source": {"type": "file", "path": "seed"}, "ops": [{"op": "identity"}, {"op": "crop", "x": 1, "y": 1, "w": 6, "h": 6}, {"op": "crop", "x": 1, "y": 1, "w": 4, "h": 4}, {"op": "h_flip"}, {"op": "h_flip"}, {"op": "transpose_cw"}]}
     end = _extent(spark, sf_dir)
@@ -325,7 +301,7 @@ def plan_run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 # tracks and masks
 
 
-_HR = f"hr AS (SELECT h * {HOUR} AS at_us FROM range(0, 720, 12) AS r(h))"
+_HR = f"hr AS (SELECT h * {HOUR} AS at_us FROM range(0, 720) AS r(h))"
 _LIVE = "lv AS (SELECT *, lead(t_us) OVER w AS tb, lead(cx) OVER w AS bx, lead(cy) OVER w AS b_y, lead(radius) OVER w AS br, lead(lifecycle) OVER w AS bl, row_number() OVER w AS nth FROM ms WHERE NOT occluded WINDOW w AS (PARTITION BY subject ORDER BY t_us, cx, cy))"
 _LIN = f"""{MASKS}, {_LIVE}, {_HR}, rg AS (SELECT at_us, subject, CASE WHEN tb IS NULL OR at_us <= t_us THEN 0e0 ELSE (at_us - t_us) / CAST(greatest(tb - t_us, 1) AS DOUBLE) END AS u, * EXCLUDE (at_us, subject) FROM hr JOIN lv ON (at_us >= t_us OR nth = 1) AND (tb IS NULL OR at_us < tb)),
 re AS (SELECT at_us, subject, CASE WHEN u = 0 THEN cx ELSE cx + (bx - cx) * u END AS cx, CASE WHEN u = 0 THEN cy ELSE cy + (b_y - cy) * u END AS cy, CASE WHEN u = 0 THEN radius ELSE radius + (br - radius) * u END AS radius, CASE WHEN u < 0.5 THEN lifecycle ELSE coalesce(bl, lifecycle) END AS lifecycle FROM rg)"""
@@ -333,52 +309,24 @@ re AS (SELECT at_us, subject, CASE WHEN u = 0 THEN cx ELSE cx + (bx - cx) * u EN
 
 @query(f"WITH {_LIN} SELECT at_us, subject, round(cx, 6) AS cx, round(cy, 6) AS cy, round(radius, 6) AS radius, lifecycle FROM re")
 def mask_regions_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir, 12), width=8 * HOUR)
+    got = vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir), width=8 * HOUR)
     return got.select("at_us", "subject", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "radius")], "lifecycle")
 
 
 @query(f"WITH {MASKS}, {_LIVE}, {_HR} SELECT at_us, subject, cx, cy, radius FROM hr JOIN lv ON (at_us >= t_us OR nth = 1) AND (tb IS NULL OR at_us < tb)")
 def mask_regions_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir, 12), interpolation="hold", missing="hold_last", width=8 * HOUR)
+    got = vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir), interpolation="hold", missing="hold_last", width=8 * HOUR)
     return got.select("at_us", "subject", "cx", "cy", "radius")
 
 
 @query(f"WITH {MASKS}, {_LIVE}, {_HR} SELECT at_us, subject, cx, radius FROM hr JOIN lv ON at_us >= t_us AND (tb IS NULL OR at_us < tb) UNION ALL SELECT at_us, subject, 0, 1000000 FROM hr JOIN lv ON nth = 1 AND at_us < t_us")
 def mask_regions_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir, 12), interpolation="hold", missing="opaque", width=8 * HOUR)
-    return got.select("at_us", "subject", "cx", "radius")
-
-
-@query(f"WITH {_LIN}, bx AS (SELECT at_us, greatest(greatest(CAST(greatest(round(cx), 0) AS BIGINT) - (CAST(ceil(radius) AS BIGINT) + 1), 0) - 1, 0) AS x0, greatest(greatest(CAST(greatest(round(cy), 0) AS BIGINT) - (CAST(ceil(radius) AS BIGINT) + 1), 0) - 1, 0) AS y0, CAST(greatest(round(cx), 0) AS BIGINT) + CAST(ceil(radius) AS BIGINT) + 2 AS x1, CAST(greatest(round(cy), 0) AS BIGINT) + CAST(ceil(radius) AS BIGINT) + 2 AS y1 FROM re WHERE subject < '2'), g AS (SELECT at_us, min(x0) AS x0, min(y0) AS y0, least(max(x1), 64) AS x1, least(max(y1), 64) AS y1 FROM bx GROUP BY at_us) SELECT * FROM g WHERE x0 < x1 AND y0 < y1")
-def union_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = vision.regions_at(masks(spark, sf_dir).where("subject < '2'"), hours(spark, sf_dir, 12), width=8 * HOUR)
-    return vision.union_roi(got, ["at_us"], 64, 64)
-
-
-# the same for all subjects at every hour
-_HOURLY = lambda sql: sql.replace("range(0, 720, 12)", "range(0, 720)")
-
-
-@query(_HOURLY(f"WITH {_LIN} SELECT at_us, subject, round(cx, 6) AS cx, round(cy, 6) AS cy, round(radius, 6) AS radius, lifecycle FROM re"))
-def mask_regions_linear_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir), width=8 * HOUR)
-    return got.select("at_us", "subject", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "radius")], "lifecycle")
-
-
-@query(_HOURLY(f"WITH {MASKS}, {_LIVE}, {_HR} SELECT at_us, subject, cx, cy, radius FROM hr JOIN lv ON (at_us >= t_us OR nth = 1) AND (tb IS NULL OR at_us < tb)"))
-def mask_regions_hold_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir), interpolation="hold", missing="hold_last", width=8 * HOUR)
-    return got.select("at_us", "subject", "cx", "cy", "radius")
-
-
-@query(_HOURLY(f"WITH {MASKS}, {_LIVE}, {_HR} SELECT at_us, subject, cx, radius FROM hr JOIN lv ON at_us >= t_us AND (tb IS NULL OR at_us < tb) UNION ALL SELECT at_us, subject, 0, 1000000 FROM hr JOIN lv ON nth = 1 AND at_us < t_us"))
-def mask_regions_opaque_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir), interpolation="hold", missing="opaque", width=8 * HOUR)
     return got.select("at_us", "subject", "cx", "radius")
 
 
-@query(_HOURLY(f"WITH {_LIN}, bx AS (SELECT at_us, greatest(greatest(CAST(greatest(round(cx), 0) AS BIGINT) - (CAST(ceil(radius) AS BIGINT) + 1), 0) - 1, 0) AS x0, greatest(greatest(CAST(greatest(round(cy), 0) AS BIGINT) - (CAST(ceil(radius) AS BIGINT) + 1), 0) - 1, 0) AS y0, CAST(greatest(round(cx), 0) AS BIGINT) + CAST(ceil(radius) AS BIGINT) + 2 AS x1, CAST(greatest(round(cy), 0) AS BIGINT) + CAST(ceil(radius) AS BIGINT) + 2 AS y1 FROM re), g AS (SELECT at_us, min(x0) AS x0, min(y0) AS y0, least(max(x1), 64) AS x1, least(max(y1), 64) AS y1 FROM bx GROUP BY at_us) SELECT * FROM g WHERE x0 < x1 AND y0 < y1"))
-def union_roi_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {_LIN}, bx AS (SELECT at_us, greatest(greatest(CAST(greatest(round(cx), 0) AS BIGINT) - (CAST(ceil(radius) AS BIGINT) + 1), 0) - 1, 0) AS x0, greatest(greatest(CAST(greatest(round(cy), 0) AS BIGINT) - (CAST(ceil(radius) AS BIGINT) + 1), 0) - 1, 0) AS y0, CAST(greatest(round(cx), 0) AS BIGINT) + CAST(ceil(radius) AS BIGINT) + 2 AS x1, CAST(greatest(round(cy), 0) AS BIGINT) + CAST(ceil(radius) AS BIGINT) + 2 AS y1 FROM re), g AS (SELECT at_us, min(x0) AS x0, min(y0) AS y0, least(max(x1), 64) AS x1, least(max(y1), 64) AS y1 FROM bx GROUP BY at_us) SELECT * FROM g WHERE x0 < x1 AND y0 < y1")
+def union_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vision.union_roi(vision.regions_at(masks(spark, sf_dir), hours(spark, sf_dir), width=8 * HOUR), ["at_us"], 64, 64)
 
 
@@ -401,10 +349,10 @@ def coverage_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vision.coverage_at(user_hours(spark, sf_dir), e, ["clip_id"], "at_us", "t_us", "coverage").select("clip_id", "at_us", "coverage")
 
 
-@query(f"WITH {EV} SELECT event_id, CASE WHEN k < 20 THEN 'own' WHEN k < 60 THEN 'found-' || event_id END AS asset FROM ev")
+@query(f"WITH {EV} SELECT event_id, CASE WHEN k < 20 THEN 'own' ELSE 'found-' || event_id END AS asset FROM ev")
 def attach_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    found = e.where("k < 60").select("user_id", "t_us", "event_id", F.concat(F.lit("found-"), F.col("event_id").cast("string")).alias("asset"))
+    found = e.select("user_id", "t_us", "event_id", F.concat(F.lit("found-"), F.col("event_id").cast("string")).alias("asset"))
     samples = e.withColumn("asset", F.when(F.col("k") < 20, F.lit("own")))
     # two assets for some of the frames: the first counts
     twice = found.unionByName(found.where("event_id % 2 = 0").withColumn("asset", F.concat("asset", F.lit("-more"))))

@@ -79,13 +79,13 @@ def supersample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("clip_id", "idx", F.get("px", 0).alias("k"))
 
 
-@query(f"""WITH {FRAMES}, keys AS (SELECT clip_id, t_us AS ta, value AS va, CASE event_id % 3 WHEN 0 THEN 'hold' WHEN 1 THEN 'linear' ELSE 'smooth' END AS easing FROM fr WHERE k < 50),
+@query(f"""WITH {FRAMES}, keys AS (SELECT clip_id, t_us AS ta, value AS va, CASE event_id % 3 WHEN 0 THEN 'hold' WHEN 1 THEN 'linear' ELSE 'smooth' END AS easing FROM fr),
 sp AS (SELECT *, lead(ta) OVER w AS tb, lead(va) OVER w AS vb FROM keys WINDOW w AS (PARTITION BY clip_id ORDER BY ta, va)), hd AS (SELECT clip_id, arg_min(va, ta) AS head FROM keys GROUP BY clip_id), {USER_HOURS},
 j AS (SELECT uh.*, ta, va, tb, vb, easing, head, (at_us - ta) / CAST(greatest(tb - ta, 1) AS DOUBLE) AS u FROM uh ASOF LEFT JOIN sp ON uh.clip_id = sp.clip_id AND at_us >= ta LEFT JOIN hd ON uh.clip_id = hd.clip_id)
 SELECT clip_id, at_us, round(CASE WHEN ta IS NULL THEN coalesce(head, 0) WHEN tb IS NULL THEN va ELSE va + (vb - va) * CASE easing WHEN 'hold' THEN 0e0 WHEN 'smooth' THEN u * u * (3e0 - u * 2e0) ELSE u END END, 6) AS value FROM j""")
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     easing = F.when(F.col("event_id") % 3 == 0, "hold").when(F.col("event_id") % 3 == 1, "linear").otherwise("smooth")
-    keys = frames(spark, sf_dir).where("k < 50").select("clip_id", "t_us", "value", easing.alias("easing"))
+    keys = frames(spark, sf_dir).select("clip_id", "t_us", "value", easing.alias("easing"))
     return timing.keyframes(user_hours(spark, sf_dir), keys, "at_us").select("clip_id", "at_us", F.round("value", 6).alias("value"))
 
 
@@ -144,14 +144,8 @@ def concat_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.map_concat_time(points, _timeline(spark, sf_dir), "at_us", ["l_orderkey"]).select("o_orderkey", "at_us", "l_partkey", "local_us")
 
 
-@query(f"WITH {FRAMES} SELECT clip_id + 100000 * part AS clip_id, event_id, least(e_us, {DAY}) + part * {DAY} AS e_us, t_us + part * {DAY} AS t_us, {2 * DAY}::BIGINT AS dur_us FROM fr, range(0, 2) AS r(part) WHERE t_us < {DAY}".replace("clip_id + 100000 * part AS clip_id", "'concat' AS clip_id"))
-def concat_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fr = frames(spark, sf_dir)
-    return compose.concatenate([fr, fr], [DAY, DAY]).select(*OUT)
-
-
 @query(f"WITH {FRAMES} SELECT 'concat' AS clip_id, event_id, t_us + part * {SPAN} AS t_us, e_us + part * {SPAN} AS e_us, {2 * SPAN}::BIGINT AS dur_us FROM fr, range(0, 2) AS r(part)")
-def concat_clips_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def concat_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips at their own lengths, one after the other."""
     fr = frames(spark, sf_dir)
     return compose.concatenate([fr, fr], [SPAN, SPAN]).select(*OUT)
@@ -175,10 +169,10 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.interval_join(e.select("user_id", "event_id", "t_us"), spans, "t_us", "s", "e", ["user_id"], 8 * HOUR).select("event_id", "other_id")
 
 
-@query(f"WITH {EV}, {USER_HOURS}, c AS (SELECT user_id, t_us, max(value) AS value FROM ev WHERE event_type = 'click' GROUP BY ALL) SELECT uh.clip_id, at_us, c.value FROM uh ASOF LEFT JOIN c ON uh.clip_id = c.user_id AND at_us >= c.t_us")
+@query(f"WITH {EV}, {USER_HOURS}, c AS (SELECT user_id, t_us, max(value) AS value FROM ev GROUP BY ALL) SELECT uh.clip_id, at_us, c.value FROM uh ASOF LEFT JOIN c ON uh.clip_id = c.user_id AND at_us >= c.t_us")
 def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks = events(spark, sf_dir).where("event_type = 'click'").select(F.col("user_id").alias("clip_id"), "t_us", "value")
-    return intervals.asof_join(user_hours(spark, sf_dir), clicks, ["clip_id"], "at_us", "t_us", ["value"]).select("clip_id", "at_us", "value")
+    values = events(spark, sf_dir).select(F.col("user_id").alias("clip_id"), "t_us", "value")
+    return intervals.asof_join(user_hours(spark, sf_dir), values, ["clip_id"], "at_us", "t_us", ["value"]).select("clip_id", "at_us", "value")
 
 
 FLAGSHIP = f"""WITH {FRAMES}, a AS (SELECT clip_id, value, greatest(t_us - {DAY}, 0) AS t_us FROM fr WHERE e_us > {DAY} AND t_us < {DAY + D10}), b AS (SELECT clip_id, value, CAST(round(t_us / 2e0) AS BIGINT) AS t_us FROM a),

@@ -7,7 +7,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of up to so many bytes of Parquet is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 _made: dict[str, str] = {}
 
@@ -24,3 +28,14 @@ def folder(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, _made[app], True)
         base = _made[app]
     return f"{base.rstrip('/')}/core-{uuid.uuid4().hex}"
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, written and read back; marked for broadcast if what was written is small."""
+    spark = df.sparkSession
+    path = folder(spark)
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    back = spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(back) if size <= BROADCAST_BYTES else back

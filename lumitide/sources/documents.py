@@ -85,6 +85,15 @@ def mask_packages(spark: SparkSession, folders: str | Sequence[str], verify: boo
     return got.where(state).select("package_id", "mask_ref", kind.alias("kind"), F.col("width").alias("w"), F.col("height").alias("h"), F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"), "path", "data")
 
 
+def package_tracks(spark: SparkSession, folder: str) -> tuple[str | None, DataFrame]:
+    """A mask package's id, and its tracks as one track document."""
+    manifest = texts(spark, f"{folder.rstrip('/')}/manifest.json").withColumn("m", F.from_json("text", MANIFEST))
+    row = manifest.select("m.package_id").first()
+    if row is None:
+        raise MediaError(f"{folder} has no manifest")
+    return row["package_id"], manifest.select("doc", F.concat(F.lit('{"tracks": '), F.coalesce("m.tracks", F.lit("[]")), F.lit("}")).alias("text"))
+
+
 PROBE = "streams array<struct<codec_type: string, width: bigint, height: bigint, avg_frame_rate: string, r_frame_rate: string, time_base: string, duration: string, duration_ts: bigint, nb_frames: string, sample_rate: string, channels: bigint, pix_fmt: string, color_range: string, color_space: string>>, format struct<duration: string>"
 
 
