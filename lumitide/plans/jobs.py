@@ -13,9 +13,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..clips import Clip
 from ..errors import Cancelled, EngineError
-from .graph import Graph, canonical, compile_graph, fingerprint, schedule, stage_keys
+from .graph import CompiledGraph, Graph, canonical, compile_graph, fingerprint, schedule, stage_keys
 from .run import Context, default_registry, materialize
 
 SCHEMA = 2
@@ -151,14 +153,37 @@ def manifest(graph: Graph) -> dict:
     return {"version": 1, "graph": fingerprint(c), "stages": [{"index": k, "backend": s.backend, "key": key, "nodes": list(s.ids)} for k, (s, key) in enumerate(zip(schedule(c).stages, keys))], "outputs": [{"name": n, "node": c.nodes[i].node.id, "uri": u} for n, i, u in c.outputs]}
 
 
-def run(ctx: Context, store: Store, job: Job, out: str, cancel: Cancel | None = None, progress: Callable[[str, int, int], None] | None = None) -> Job:
-    """Runs or resumes a job: each output's frames (and sound) are written below ``out``.
+def keeper(cache: StageCache, c: CompiledGraph, cancel: Cancel) -> Callable[[int, Clip], Clip]:
+    """Writes what a stage hands on to later stages, under its content key, and reads it from then on.
 
-    Outputs that are there under the same fingerprint aren't made again; a changed graph starts
-    over; a cancelled job is paused, and one that fails says why.
+    What is there already isn't made again, so a resumed job goes on after its last whole stage.  Kernels
+    that look at the time wait on, as they must see the times of the output's grid.
+    """
+    stages, keys = schedule(c).stages, stage_keys(c)
+    own = {i: k for k, st in enumerate(stages) for i in st.nodes}
+    handed = {i for st in stages for i in st.outputs if c.nodes[i].node.kind in ("op", "redaction") and any(i in n.inputs and n.node.kind != "output" for n in c.nodes)}
+
+    def keep(i: int, clip: Clip) -> Clip:
+        if i not in handed:
+            return clip
+        cancel.check()
+        late = any(k.by_time for k in clip.chain)
+        parts = {"video": clip.video if late or clip.video is None else clip.pictures(), "audio": clip.audio, "masks": clip.masks}
+        at = lambda what: fingerprint([keys[own[i]], c.nodes[i].node.id, what])
+        return clip.replace(**{what: cache.put(at(what), df) for what, df in parts.items() if df is not None}, chain=clip.chain if late else ())
+
+    return keep
+
+
+def run(ctx: Context, store: Store, job: Job, out: str, cancel: Cancel | None = None, progress: Callable[[str, int, int], None] | None = None, stages: bool = True) -> Job:
+    """Runs or resumes a job: each output's frames (and sound) are written below ``out``, and so is what stages hand on.
+
+    Outputs and stages that are there under the same key aren't made again; a changed graph starts
+    over but for the stages before its change; a cancelled job is paused, and one that fails says why.
     """
     graph = Graph.from_json(job.graph)
-    now = fingerprint(compile_graph(graph, default_registry()))
+    compiled = compile_graph(graph, default_registry())
+    now = fingerprint(compiled)
     if job.fingerprint != now:
         job.fingerprint, job.done, job.state = now, [], "queued"
     cache = StageCache(ctx.spark, out)
@@ -170,10 +195,10 @@ def run(ctx: Context, store: Store, job: Job, out: str, cancel: Cancel | None =
     store.save(job)
     cancel = cancel or Cancel(ctx.spark)
     try:
-        made = materialize(ctx, graph)
+        ctx.spark.sparkContext.setJobGroup(cancel.group, f"job {job.id}", True)
+        made = materialize(ctx, compiled, keep=keeper(cache, compiled, cancel) if stages else None)
         for k, name in enumerate(wanted):
             cancel.check()
-            ctx.spark.sparkContext.setJobGroup(cancel.group, f"job {job.id}", True)
             clip = made[name]
             if clip.video is not None:
                 cache.put(key(name, "video"), clip.sampled(clip.hints.get("fps") or clip.fps or ctx.fps))
@@ -206,4 +231,19 @@ def outputs(ctx: Context, job: Job) -> dict[str, DataFrame]:
     return found
 
 
-__all__ = ["Cancel", "Folder", "Job", "StageCache", "Store", "canonical", "manifest", "outputs", "run"]
+def seal(spark: SparkSession, path: str) -> DataFrame:
+    """``file, bytes, sha256`` of every file below a folder: its manifest, hashed where the files are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    base = F.regexp_replace(F.lit(path.rstrip("/")), "^file:/*", "/")
+    name = F.expr("substring(path, len(base_) + 2)")
+    return found.withColumn("base_", base).withColumn("path", F.regexp_replace("path", "^file:/*", "/")).select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def broken(spark: SparkSession, path: str, sealed: DataFrame) -> DataFrame:
+    """``file, why`` of files that are missing, new or other than a manifest says."""
+    now = seal(spark, path).select("file", F.col("sha256").alias("now"))
+    why = F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "new").when(F.col("now") != F.col("sha256"), "changed")
+    return sealed.select("file", "sha256").join(now, "file", "full").select("file", why.alias("why")).where("why is not null")
+
+
+__all__ = ["Cancel", "Folder", "Job", "StageCache", "Store", "broken", "canonical", "keeper", "manifest", "outputs", "run", "seal"]

@@ -320,10 +320,10 @@ def open_asset(ctx: Context, uri: str, role: str | None) -> Clip:
     return Clip(df, facts["d"], facts["w"], facts["h"], round(SECOND / facts["step"], 3) if facts["step"] else None)
 
 
-def materialize(ctx: Context, graph: Graph | CompiledGraph, registry: R.Registry | None = None) -> dict[str, Clip]:
-    """A clip for each output of the graph, each its own; nothing is computed yet.
+def materialize(ctx: Context, graph: Graph | CompiledGraph, registry: R.Registry | None = None, keep: Callable[[int, Clip], Clip] | None = None) -> dict[str, Clip]:
+    """A clip for each output of the graph, each its own; pictures and sound aren't computed yet.
 
-    A seed goes before its asset's file.
+    A seed goes before its asset's file.  keep: what later nodes see of the node with an index.
     """
     registry = registry or default_registry()
     c = graph if isinstance(graph, CompiledGraph) else compile_graph(graph, registry)
@@ -340,4 +340,6 @@ def materialize(ctx: Context, graph: Graph | CompiledGraph, registry: R.Registry
             made.append(redact(ctx, ups, n.params))
         else:
             made.append(registry.executable(n.node.operation).run(ctx, ups, n.params))
+        if keep is not None:
+            made[-1] = keep(n.index, made[-1])
     return {name: made[k] for name, k, _ in c.outputs}

@@ -131,6 +131,19 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def read_images(spark: SparkSession, path: str | Sequence[str], duration_us: int) -> DataFrame:
+    """Picture files (PNG, JPEG, BMP and GIF, decoded by Spark's image source) as stills, a clip for each file; files that don't decode are left out."""
+    from ..kernels.pictures import SwapRedBlue
+    from ..operators.frames import apply
+
+    if duration_us <= 0:
+        raise MediaError("a still's duration must be above 0")
+    i = spark.read.format("image").option("dropInvalid", True).load(path if isinstance(path, str) else list(path)).select("image.*")
+    us = lambda v: F.lit(v).cast("bigint")
+    rows = i.select(F.col("origin").alias("clip_id"), us(0).alias("t_us"), us(duration_us).alias("e_us"), us(duration_us).alias("dur_us"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("nChannels").alias("channels"), "data")
+    return apply(rows, [SwapRedBlue()])
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     if {"i0", "pcm"} <= set(df.columns):

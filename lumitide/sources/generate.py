@@ -34,10 +34,12 @@ def gradient(spark: SparkSession, n: int, w: int, h: int, fps: float, clip_id: s
     import pyarrow as pa
 
     def run(batches):
-        y, x = np.mgrid[0:h, 0:w]
+        y, x = np.arange(h).astype(np.uint8)[:, None], np.arange(w).astype(np.uint8)
         for b in batches:
             for i in b.column("idx").to_pylist():
-                px = np.stack([x + i, y + 2 * i, x + y + 3 * i], -1).astype(np.uint8)
+                px = np.empty((h, w, 3), np.uint8)  # sums wrap as bytes do
+                px[..., 0], px[..., 1] = x + np.uint8(i % 256), y + np.uint8(2 * i % 256)
+                px[..., 2] = x + y + np.uint8(3 * i % 256)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([px.tobytes()], pa.binary())], names=["idx", "data"])
 
     made = spark.range(n).withColumnRenamed("id", "idx").mapInArrow(run, "idx long, data binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,17 @@ def frames(clip: DataFrame, path: str, fps: float, size: tuple[int, int] | None
     apply(to_grid(clip, fps), chain).write.mode(mode).partitionBy("clip_id").parquet(path)
 
 
+def proxy(clip: DataFrame, path: str, fps: float, box: tuple[int, int] = (640, 360), mode: str = "errorifexists") -> tuple[int, int]:
+    """The clip sampled at fps within a box: never larger than it is, of even size; gives that size."""
+    row = clip.select("w", "h").first()
+    if row is None:
+        raise ParamError("a proxy needs pictures")
+    scale = min(box[0] / row["w"], box[1] / row["h"], 1.0)
+    size = tuple(max(2, max(2, math.floor(v * scale + 0.5)) // 2 * 2) for v in (row["w"], row["h"]))
+    frames(clip, path, fps, size, mode)
+    return size
+
+
 def samples(clip: DataFrame, path: str, channels: int, mode: str = "errorifexists") -> None:
     pack(clip, channels).write.mode(mode).partitionBy("clip_id").parquet(path)
 
