@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express.
 
+Operator 3 is approximate; its SQL compares all texts that share a run of three words and follows the pairs to their groups.
 Operator 4's scores all passages against all units; operator 6's compares the texts of all runs of 50 words.  Operator 10 is approximate; its SQL compares all pairs and follows them to their groups.
 """
 
@@ -16,6 +17,14 @@ def _grams(words: str, n: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op3_minhash_bayes": f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {words()} AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT r, doc_id, hash(g) AS g FROM (SELECT r, doc_id, unnest({_grams("w", "least(3, len(w))")}) AS g FROM w WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+b AS (SELECT s.r AS r, t.r AS q, s.doc_id AS x, t.doc_id AS y, count(*) AS k FROM s JOIN s t ON s.g = t.g AND s.r < t.r GROUP BY ALL),
+p AS (SELECT DISTINCT x, y FROM b JOIN n ON b.r = n.r JOIN n m ON b.q = m.r WHERE x <> y AND k >= 0.5 * (n.n + m.n - k)),
+e AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+c AS (SELECT x, x AS y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x)
+SELECT x AS doc_id, min(y) AS group_id, count(*) AS group_size, x = min(y) AS keep FROM c GROUP BY x""",
     "op4_bm25_decontamination": f"""WITH b AS (SELECT row_number() OVER (ORDER BY item_id, text) AS k, item_id, {words()} AS w,
   list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: len({words("x")})), lambda n: n > 0) AS parts FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 i AS (SELECT k, item_id, w, len(w) AS n, CASE WHEN len(parts) > 1 THEN parts[-1] ELSE greatest(1, len(w) // 5) END AS na FROM b WHERE len(w) > 0),
