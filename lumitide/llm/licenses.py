@@ -15,11 +15,13 @@ that share an id give the notices of each; a text of any length is scanned whole
 with its length; a notice that occurs several times, also one right after the other, gives a row for
 each place.  Where the words that make notices of the same licence overlap (a short one inside a long
 one) the one with more words found is reported, of equals the first; notices of different licences are
-all reported, also on one line.  Words of equal IDF are ranked by their hashes.  Extra columns are ignored.
+all reported, also on one line.  Words of equal IDF are ranked by spelling.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -126,22 +128,28 @@ def _offset(text: np.ndarray, phrase: np.ndarray) -> int:
     raise ValueError("a notice must hold its first mandatory phrase")
 
 
+def spelled(notice: str) -> list[str]:
+    """The words of a notice, which has ASCII letters and digits only."""
+    return re.findall(r"[0-9a-z]+", notice.lower())
+
+
 class Notices:
     def __init__(self, templates: list[tuple[str, str, list[str]]], vocab: np.ndarray, df: np.ndarray, n: int):
         self.names = [t[0] for t in templates]
         self.text = [hash_words(t[1]) for t in templates]
         self.phrases = [[hash_words(p) for p in t[2]] for t in templates]
         self.offset = [_offset(h, p[0]) for h, p in zip(self.text, self.phrases)]
-        idf = dict(zip(vocab.tolist(), np.log((n + 1) / (df + 1)).tolist()))
+        rank = dict(zip(vocab.tolist(), df.tolist()))
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.anchors = []
         for t, h in enumerate(self.text):
-            rare = sorted(set(h.tolist()), key=lambda x: (-idf[x], x))[:ANCHORS]
+            named = {int(x): w for x, w in zip(h, spelled(templates[t][1]))}
+            rare = sorted(named, key=lambda x: (rank[x], named[x]))[:ANCHORS]
             self.anchors.append(len(rare))
             for p, x in enumerate(h.tolist()):
                 if x in rare:
                     self.postings[x].append((t, p))
-        self.idf = idf
+        self.idf = {x: math.log((n + 1) / (d + 1)) for x, d in rank.items()}
         self.spdx = {tuple(hash_words(x).tolist()): name for name, x in SPDX}
         self.line = hash_words(SPDX_LINE).tolist()
         self.vocab = np.unique(np.array([*self.postings, self.line[0]], np.uint64))

@@ -16,6 +16,36 @@ def _grams(words: str, n: str) -> str:
     return f"list_distinct(list_transform(range(len({words}) - ({n}) + 1), lambda i: array_to_string({words}[i + 1 : i + ({n})], ' ')))"
 
 
+def _licenses() -> str:
+    from .licenses import SPDX, TEMPLATES, spelled
+
+    text = lambda ws: "['" + "', '".join(ws) + "']"
+    templates = ", ".join(f"({k}, '{name}', {text(spelled(notice))}, [{', '.join(text(spelled(p)) for p in phrases)}])" for k, (name, notice, phrases) in enumerate(TEMPLATES))
+    known = ", ".join(f"('{name}', {text(spelled(x))})" for name, x in SPDX)
+    return f"""WITH RECURSIVE tp AS (SELECT t, name, tw, len(tw) AS size, ph, ph[1] AS f, len(ph[1]) AS fl, list_filter(range(len(tw)), lambda i: tw[i + 1 : i + len(ph[1])] = ph[1])[1] AS off FROM (VALUES {templates}) AS v(t, name, tw, ph)),
+sp AS (SELECT name, x, len(x) AS k FROM (VALUES {known}) AS v(name, x)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words()} AS w FROM documents),
+df AS (SELECT x, count(*) AS n FROM (SELECT DISTINCT r, unnest(w) AS x FROM d) GROUP BY x),
+an AS (SELECT t, x FROM (SELECT t, x, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), x) AS rank FROM (SELECT DISTINCT t, unnest(tw) AS x FROM tp) LEFT JOIN df USING (x)) WHERE rank <= 4),
+need AS (SELECT t, CAST(greatest(1, ceil(count(*) * 0.5)) AS BIGINT) AS need FROM an GROUP BY t),
+post AS (SELECT t, x, q FROM (SELECT t, unnest(tw) AS x, unnest(range(size)) AS q FROM tp) JOIN an USING (t, x)),
+wo AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS p FROM d WHERE doc_id IS NOT NULL),
+pl AS (SELECT wo.r, t, name, wo.p AS place, wo.p - off AS shift, size, fl, tw, list_slice(w, greatest(0, wo.p - off - 3) + 1, wo.p - off + size + 3) AS st, ph FROM wo JOIN tp ON wo.x = f[1] JOIN d ON wo.r = d.r WHERE d.w[wo.p + 1 : wo.p + fl] = f),
+nr AS (SELECT r, t, place, x, arg_min(p, (abs(p - q - shift), p - q, p)) AS p FROM (SELECT pl.r, pl.t, place, shift, post.x, wo.p, q FROM pl JOIN post ON pl.t = post.t JOIN wo ON wo.r = pl.r AND wo.x = post.x AND abs(wo.p - q - shift) <= 3) GROUP BY ALL),
+ag AS (SELECT r, t, place, count(*) AS anchors, min(p) AS lo, max(p) + 1 AS hi FROM nr GROUP BY ALL),
+ok AS (SELECT pl.r, name, greatest(0, shift) AS position, anchors, len(list_filter(list_distinct(tw), lambda x: list_contains(st, x))) / CAST(len(list_distinct(tw)) AS DOUBLE) AS share, size, least(pl.place, lo) AS b, greatest(pl.place + fl, hi) AS e FROM pl JOIN ag ON ag.r = pl.r AND ag.t = pl.t AND ag.place = pl.place JOIN need ON need.t = pl.t
+  WHERE anchors >= need AND len(list_filter(ph, lambda p: len(list_filter(range(len(st)), lambda i: st[i + 1 : i + len(p)] = p)) = 0)) = 0),
+ex AS (SELECT wo.r, wo.p + 3 AS i FROM wo JOIN d ON wo.r = d.r WHERE wo.x = 'spdx' AND d.w[wo.p + 1 : wo.p + 3] = ['spdx', 'license', 'identifier']
+  UNION ALL SELECT r, j + step FROM (SELECT r, j, list_filter(range(1, CASE WHEN k = 0 OR w[j + 1] = 'with' THEN 7 ELSE 2 END), lambda s: w[j + s] IN ('or', 'and'))[1] AS step
+    FROM (SELECT r, w, k, i + k + CASE WHEN k = 0 THEN 0 WHEN w[i + k + 1 : i + k + 2] = ['or', 'later'] THEN 2 WHEN w[i + k + 1] = 'only' THEN 1 ELSE 0 END AS j
+      FROM (SELECT ex.r, ex.i, d.w, coalesce((SELECT max(k) FROM sp WHERE d.w[ex.i + 1 : ex.i + k] = x), 0) AS k FROM ex JOIN d ON ex.r = d.r))) WHERE step IS NOT NULL),
+hit AS (SELECT r, name, position, anchors, share, size, b, e FROM ok UNION ALL SELECT r, name, i, 3 + k, 1e0, k, i, i + k FROM (SELECT DISTINCT ex.r, ex.i, arg_max(sp.name, k) AS name, max(k) AS k FROM ex JOIN d ON ex.r = d.r JOIN sp ON d.w[ex.i + 1 : ex.i + k] = x GROUP BY ex.r, ex.i)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY r, name ORDER BY share * size DESC, position, anchors DESC, b) AS nth FROM hit),
+go AS (SELECT r, name, nth, [[b, e]] AS taken, true AS kept FROM rk WHERE nth = 1
+  UNION ALL SELECT r, name, nth, CASE WHEN free THEN list_append(taken, [b, e]) ELSE taken END, free FROM (SELECT rk.r, rk.name, rk.nth, taken, b, e, len(list_filter(taken, lambda s: s[1] < e AND b < s[2])) = 0 AS free FROM go JOIN rk ON go.r = rk.r AND go.name = rk.name AND rk.nth = go.nth + 1))
+SELECT doc_id, rk.name AS license, position, CAST(anchors AS INTEGER) AS anchors, share FROM go JOIN rk ON go.r = rk.r AND go.name = rk.name AND go.nth = rk.nth JOIN d ON d.r = rk.r WHERE kept"""
+
+
 ORACLES: dict[str, str] = {
     "op3_minhash_bayes": f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {words()} AS w FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT DISTINCT r, doc_id, hash(g) AS g FROM (SELECT r, doc_id, unnest({_grams("w", "least(3, len(w))")}) AS g FROM w WHERE len(w) > 0)),
@@ -53,3 +83,4 @@ p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec
 r AS (SELECT x, x AS y FROM p UNION SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
 SELECT x AS vec_id, min(y) AS group_id, count(*) AS group_size, x = min(y) AS keep FROM r GROUP BY x""",
 }
+ORACLES["op5_license_scan"] = _licenses()

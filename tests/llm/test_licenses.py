@@ -112,8 +112,7 @@ def slow_find(texts):
         hits = []
         for name, notice, phrases in licenses.TEMPLATES:
             t, ps = brute.words(notice), [brute.words(p) for p in phrases]
-            idf = lambda x: round(math.log((len(texts) + 1) / (df.get(x, 0) + 1)), 12)
-            rare = sorted(set(t), key=lambda x: (-idf(x), int(licenses.hash_words(x)[0])))[: licenses.ANCHORS]
+            rare = sorted(set(t), key=lambda x: (df.get(x, 0), x))[: licenses.ANCHORS]
             off = next(i for i in range(len(t)) if t[i : i + len(ps[0])] == ps[0])
             for at in range(len(w)):
                 if w[at : at + len(ps[0])] != ps[0]:
@@ -145,3 +144,21 @@ def test_against_every_place_of_every_template(spark, texts):
         df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
         got = sorted((r.doc_id, r.license, r.position, r.anchors, round(r.share, 9)) for r in licenses.find_licenses(df).collect())
         assert got and got == slow_find(data)
+
+
+def test_the_sql_finds_the_same(spark, docs, tmp_path):
+    import random
+
+    import duckdb
+
+    from lumitide.llm.oracles import ORACLES
+
+    rng = random.Random(7)
+    pieces = [t[1] for t in licenses.TEMPLATES] + ["some words between", "mit license", "all rights", "SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) AND Apache-2.0 WITH LLVM-exception OR ISC", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR Foo-1.0 and BSD-3-Clause", "SPDX-License-Identifier: CC-BY-SA-4.0"]
+    made = [(k, " ".join(rng.choice(pieces) for _ in range(rng.randint(1, 9)))) for k in range(60)] + [(None, "MIT license"), (3, None), (4, "")]
+    con = duckdb.connect()
+    for n, df in enumerate((spark.createDataFrame(made, "doc_id long, text string"), docs.select("doc_id", "text"))):
+        df.write.parquet(f"{tmp_path}/{n}")
+        con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/{n}/*.parquet')")
+        want = sorted((d, x, p, a, round(s, 9)) for d, x, p, a, s in con.sql(ORACLES["op5_license_scan"]).fetchall())
+        assert want and sorted((r.doc_id, r.license, r.position, r.anchors, round(r.share, 9)) for r in licenses.find_licenses(df).collect()) == want
