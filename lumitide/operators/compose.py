@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,9 @@ from ..errors import ContractError, ParamError
 from ..functions.sound import clip1
 from .intervals import interval_join
 
+#: Result bytes of a stretch of the grid that one call composes.
+STRETCH_BYTES = 16 << 20
+
 
 def running_ends(clips: DataFrame, order: Sequence[str], duration: str, group: Sequence[str] = ()) -> DataFrame:
     """clips with ``start_us`` and ``end_us`` on a common timeline, one after the other.
@@ -76,38 +80,46 @@ def compose_values(grid: DataFrame, layers: DataFrame, t: str, background: Colum
 def compose_frames(layers: Sequence[dict], w: int, h: int, fps: float, total_us: int, background: tuple[int, int, int] = (0, 0, 0), clip_id: str = "comp") -> DataFrame:
     """Pictures of several clips over each other, on a grid.
 
-    layers: dicts with ``frames`` (sampled clips, each of one clip id) and ``start_us, x, y, opacity,
-    layer_index``, in input order.  One shuffle, by the grid point; the layers of a point are folded
-    by one kernel call.
+    layers: dicts with ``frames`` (clips, each of one clip id) and ``start_us, dur_us, x, y, opacity,
+    layer_index``, in input order.  One shuffle, by stretches of the grid that take about ``STRETCH_BYTES``
+    of the result: a picture goes once to each stretch that it serves, however many grid points these have.
     """
     from ..kernels.pictures import over
-    from .timing import to_grid
+    from .timing import served
 
-    out = None
+    if not layers:
+        raise ParamError("a composition needs layers")
+    n = max(1, round(total_us * fps / 1e6))
+    per = max(1, STRETCH_BYTES // max(1, w * h * 3))
+    names = ["layer", "seq", "x", "y", "opacity", "first", "stop", "w", "h", "channels", "data"]
+    rows = None
     for seq, layer in enumerate(layers):
         start = int(layer.get("start_us", 0))
         moved = layer["frames"].withColumns({"t_us": F.col("t_us") + start, "e_us": F.col("e_us") + start, "dur_us": F.lit(total_us).cast("bigint")})
-        on = to_grid(moved, fps).where(F.col("t_us") < start + int(layer["dur_us"]))
-        one = on.select("idx", F.lit(int(layer.get("layer_index", seq))).alias("layer_"), F.lit(seq).alias("seq_"), F.lit(int(layer.get("x", 0))).alias("x_"), F.lit(int(layer.get("y", 0))).alias("y_"), F.lit(float(layer.get("opacity", 1.0))).alias("opacity_"), "w", "h", "channels", "data")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ParamError("a composition needs layers")
-    n = max(1, round(total_us * fps / 1e6))
-    grid = out.sparkSession.range(n).select(F.col("id").alias("idx"))
-    stacks = out.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("layer_", "seq_", "x_", "y_", "opacity_", "w", "h", "channels", "data"))).alias("stack_"))
-    both = grid.join(stacks, "idx", "left")
+        first, stop = served(fps)
+        end = math.ceil((start + int(layer["dur_us"]) - 0.5) * fps / 1e6)  # grid points before the layer's end
+        fixed = {"layer": F.lit(int(layer.get("layer_index", seq))), "seq": F.lit(seq), "x": F.lit(int(layer.get("x", 0))), "y": F.lit(int(layer.get("y", 0))), "opacity": F.lit(float(layer.get("opacity", 1.0)))}
+        one = moved.withColumns({"first": F.greatest(first, F.lit(0)), "stop": F.least(stop, F.lit(min(n, end)))}).where("first < stop").withColumns(fixed)
+        one = one.select(F.explode(F.sequence(F.floor(F.col("first") / per), F.floor((F.col("stop") - 1) / per))).alias("stretch"), *names)
+        rows = one if rows is None else rows.unionByName(one)
+    every = rows.sparkSession.range(-(-n // per)).select(F.col("id").alias("stretch"))  # also where no layer is on
     canvas = np.empty((h, w, 3), np.uint8)
     canvas[...] = np.array(background, np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(whole.num_rows):
-                px = canvas.copy()
-                for x in whole.column("stack_")[k].as_py() or []:
-                    over(px, np.frombuffer(x["data"], np.uint8).reshape(x["h"], x["w"], x["channels"]), x["x_"], x["y_"], x["opacity_"])
-                yield pa.RecordBatch.from_arrays([whole.column("idx").slice(k, 1), pa.array([px.tobytes()], pa.binary())], names=["idx", "data"])
-
-    made = both.select("idx", "stack_").mapInArrow(run, "idx long, data binary")
+    def run(t: pa.Table) -> pa.Table:
+        facts = sorted(zip(*(t.column(c).to_pylist() for c in names[:-1]), range(t.num_rows)), key=lambda r: (r[0] is None, *(r[k] or 0 for k in (0, 1, 5))))
+        data, stretch = t.column("data"), t.column("stretch")[0].as_py()
+        pictures = {r[-1]: np.frombuffer(data[r[-1]].as_buffer(), np.uint8).reshape(r[8], r[7], r[9]) for r in facts if r[0] is not None}
+        idx, out = range(stretch * per, min(n, (stretch + 1) * per)), []
+        for i in idx:
+            px = canvas.copy()
+            for r in facts:
+                if r[0] is not None and r[5] <= i < r[6]:
+                    over(px, pictures[r[-1]], r[2], r[3], r[4])
+            out.append(px.tobytes())
+        return pa.table({"idx": pa.array(idx, pa.int64()), "data": pa.array(out, pa.binary())})
+
+    made = every.join(rows, "stretch", "left").groupBy("stretch").applyInArrow(run, "idx long, data binary")
     at = lambda i: F.round(i * F.lit(1e6 / fps)).cast("bigint")
     return made.select(F.lit(clip_id).alias("clip_id"), "idx", at(F.col("idx")).alias("t_us"), at(F.col("idx") + 1).alias("e_us"), F.lit(total_us).cast("bigint").alias("dur_us"), F.lit(w).alias("w"), F.lit(h).alias("h"), F.lit(3).alias("channels"), "data")
 

@@ -92,14 +92,19 @@ def symmetrize(df: DataFrame) -> DataFrame:
     return _to(out, F.col("half_.t"), F.col("half_.e"), d * 2).drop("half_")
 
 
+def served(fps: float) -> tuple[Column, Column]:
+    """The first grid point that a frame serves, and the one after its last."""
+    first, stop = (F.ceil(F.col(c) * F.lit(float(fps)) / SECOND).cast("bigint") for c in ("t_us", "e_us"))
+    n = F.greatest(F.round(F.col("dur_us") * F.lit(float(fps)) / SECOND).cast("bigint"), F.lit(1))
+    # the last grid point may lie at the clip's end; the last frame then still holds
+    return first, F.when(F.col("e_us") >= F.col("dur_us"), n).otherwise(F.least(stop, n))
+
+
 def to_grid(df: DataFrame, fps: float) -> DataFrame:
     """One row ``idx`` for each time idx / fps of the clip, with the frame in force then."""
     if not (math.isfinite(fps) and fps > 0):
         raise ParamError("fps must be above 0")
-    first, stop = (F.ceil(F.col(c) * F.lit(float(fps)) / SECOND).cast("bigint") for c in ("t_us", "e_us"))
-    n = F.greatest(F.round(F.col("dur_us") * F.lit(float(fps)) / SECOND).cast("bigint"), F.lit(1))
-    # the last grid point may lie at the clip's end; the last frame then still holds
-    stop = F.when(F.col("e_us") >= F.col("dur_us"), n).otherwise(F.least(stop, n))
+    first, stop = served(fps)
     out = df.withColumns({"a_": first, "b_": stop}).where("a_ < b_").withColumn("idx", F.explode(F.sequence(F.col("a_"), F.col("b_") - 1)))
     at = lambda i: F.round(i * SECOND / F.lit(float(fps)))
     return out.withColumns({"t_us": at(F.col("idx")).cast("bigint"), "e_us": at(F.col("idx") + 1).cast("bigint")}).drop("a_", "b_")

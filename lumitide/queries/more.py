@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +13,15 @@ from ..functions import geometry as G
 from ..functions import mediatime as T
 from ..functions import sound as S
 from ..kernels import pictures as K
+from ..mediatime import MediaTime
 from ..operators import frames as FR
-from ..operators import timing, vision
+from ..operators import measures, timing, vision
+from ..plans import jobs, linear, preview
 from ..plans.graph import Graph
+from ..plans.project import compile_project
 from ..plans.run import Context, materialize
 from ..scratch import folder
-from ..sources import documents
+from ..sources import documents, write
 from . import query
 from .sight import _bytes, _extent, _frames
 from .views import EV, PCM, PX, RGB, colours, events, joined, masks, pictures, samples, table
@@ -303,3 +308,88 @@ def blur_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strength of a blur from the mean radius of a subject's regions."""
     m = masks(spark, sf_dir).groupBy(F.col("subject").cast("bigint").alias("user_id")).agg(F.avg("radius").alias("mean"))
     return m.select("user_id", F.round(G.blur_sigma(F.col("mean")), 6).alias("sigma"))
+
+
+# documents that are compiled and run
+
+
+def _item(name: str, length: int, **more) -> dict:
+    at = lambda s: {"ticks": s, "timescale": 1}
+    return {"kind": "clip", "id": name, "media": "src", "source": {"start": at(0), "duration": at(length)}, **more}
+
+
+@query(f"""WITH {PX}, {_HALF}, g AS (SELECT unnest(range(half + 2 + 2 * half)) AS idx, half FROM hf), p AS (SELECT idx, CASE WHEN idx < half THEN idx WHEN idx >= half + 2 THEN (idx - half - 2) // 2 END AS k FROM g)
+SELECT idx, array_to_string(flatten(list_transform(range(64), lambda i: list_transform(range(3), lambda c: coalesce(px[i + 1], 0)))), ',') AS px FROM p LEFT JOIN fr ON k = vec_id""")
+def timeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timeline document: half of the pictures at double speed, a gap of a second, and the same at their own speed."""
+    clip = _all(spark, sf_dir)
+    half = clip.duration_us // 2_000_000
+    items = [_item("fast", half, retiming={"mode": "speed", "factor": 2.0}), {"kind": "gap", "duration": {"ticks": 1, "timescale": 1}}, _item("slow", half)]
+    doc = {"version": 1, "id": "p", "name": "p", "media": [{"id": "src", "uri": "seed"}], "sequences": [{"id": "main", "name": "main", "tracks": [{"id": "v", "kind": "video", "items": items}]}]}
+    graph = compile_project(doc).graph
+    made = materialize(Context(spark, {a.id: clip for a in graph.assets}), graph)
+    return FR.to_arrays(next(iter(made.values())).pictures()).select("idx", joined("px"))
+
+
+@query(f"WITH {PX}, {_HALF} SELECT vec_id, array_to_string(list_transform(px, lambda v: 255 - v), ',') AS px FROM fr, hf WHERE vec_id = half")
+def preview_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one frame of a preview in the middle; a layer that begins later is left out of its graph."""
+    clip = _all(spark, sf_dir)
+    half = clip.duration_us // 2_000_000
+    doc = _graph(("inv", "color.invert", {}, ["src"]), ("lay", "compose.layers", {"layers": [{"layer_index": 0}, {"layer_index": 1, "start": {"ticks": half + 1, "timescale": 1}}]}, ["inv", "src"]), ("enc", "encode.h264", {}, ["lay"]))
+    _, frame = preview.frame(Context(spark, {"src": clip}), Graph.from_json(doc), MediaTime(half, 1), "draft")
+    grey = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("px", i * 3))
+    return FR.to_arrays(frame).select((F.col("t_us") / 1_000_000).cast("bigint").alias("vec_id"), joined(grey))
+
+
+@query(f"WITH {PX} SELECT vec_id, array_to_string(list_transform(px, lambda v: least(255, (255 - v) * 333 // 256)), ',') AS px FROM fr")
+def plan_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear plan of named effects, by their other names."""
+    doc = {"version": 1, "source": {"type": "file", "path": "seed"}, "ops": [{"op": "custom", "name": "negate"}, {"op": "custom", "name": "multiply", "params": {"factor": 1.3}}, {"op": "even_dims"}]}
+    return _bytes(linear.execute(Context(spark), linear.Plan.from_json(doc), _all(spark, sf_dir)).pictures())
+
+
+@query(f"WITH {PX} SELECT vec_id AS idx, array_to_string(list_transform(range(64), lambda i: 255 - px[(7 - i // 8) * 8 + i % 8 + 1]), ',') AS px FROM fr")
+def job_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that is submitted, run and read back; what its first stage hands on is kept, too."""
+    at = folder(spark)
+    store = jobs.Store(spark, f"{at}/jobs")
+    doc = _graph(("inv", "color.invert", {}, ["src"]), ("dev", "gpu.passthrough", {}, ["inv"]), ("flip", "transform.vflip", {}, ["dev"]))
+    ctx = Context(spark, {"src": _all(spark, sf_dir)})
+    done = jobs.run(ctx, store, store.submit(Graph.from_json(doc)), f"{at}/out")
+    return FR.to_arrays(jobs.outputs(ctx, done)["main"]).select("idx", joined("px"))
+
+
+@query(f"WITH {PX} SELECT label AS clip_id, vec_id AS idx, array_to_string(list_transform(range(48), lambda i: px[(i // 8) * 8 + i % 8 + 1]), ',') AS px FROM fr")
+def frames_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clip for each label, cropped to an odd height, written on its grid with an even one, and read again."""
+    at = f"{folder(spark)}/frames"
+    clip = FR.apply(_frames(spark, sf_dir), [K.Crop(0, 0, 8, 7)])
+    write.frames(clip, at, 1.0)
+    return FR.to_arrays(documents.read_frames(spark, at)).select(F.col("clip_id").cast("int").alias("clip_id"), "idx", joined("px"))
+
+
+@query(f"WITH {PCM} SELECT clip_id, i, ch, round(v, 6) AS v FROM pcm")
+def samples_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{folder(spark)}/samples"
+    write.samples(samples(spark, sf_dir), at, 2)
+    return documents.read_samples(spark, at).select(F.col("clip_id").cast("bigint").alias("clip_id"), "i", "ch", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {PCM}, p AS (SELECT clip_id, least(i * 8 // 32, 7) AS b, max(abs(v)) AS peak FROM pcm GROUP BY ALL) SELECT clip_id, 8 AS buckets, round(max(peak), 6) AS highest FROM p GROUP BY clip_id")
+def waveform_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waveforms as JSON, read again."""
+    docs = write.waveform_json(measures.waveform(samples(spark, sf_dir), F.lit(32), 8))
+    peaks = F.from_json("json", "buckets int, peaks array<struct<min: double, max: double>>")
+    return docs.withColumn("j", peaks).select("clip_id", "j.buckets", F.round(F.array_max(F.transform("j.peaks", lambda x: x["max"])), 6).alias("highest"))
+
+
+_COS, _SIN = (f"{f(math.radians(30.0))!r}" for f in (math.cos, math.sin))
+_SX, _SY = f"CAST(floor({_COS} * (i % 8 + 0.5e0 - 4e0) + {_SIN} * (i // 8 + 0.5e0 - 4e0) + 4e0) AS INTEGER)", f"CAST(floor(-{_SIN} * (i % 8 + 0.5e0 - 4e0) + {_COS} * (i // 8 + 0.5e0 - 4e0) + 4e0) AS INTEGER)"
+
+
+@query(f"WITH {PX} SELECT vec_id, array_to_string(list_transform(range(64), lambda i: CASE WHEN {_SX} BETWEEN 0 AND 7 AND {_SY} BETWEEN 0 AND 7 THEN px[{_SY} * 8 + {_SX} + 1] ELSE 0 END), ',') AS px FROM fr")
+def rotate_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By 30 degrees: the canvas stays, and what comes from outside is black."""
+    made = _run(spark, _graph(("turn", "transform.rotate", {"mode": "degrees", "degrees": 30.0}, ["src"])), src=_all(spark, sf_dir))
+    return _bytes(made.pictures())
