@@ -64,8 +64,15 @@ class Clip:
         return base.replace(video=f(base.video) if base.video is not None else None, duration_us=duration_us, fps=fps or self.fps)
 
     def sampled(self, fps: float) -> DataFrame:
-        """Rows ``idx`` on a grid of fps; kernels run after sampling, on the frames of the grid."""
-        return frames.apply(timing.to_grid(self.video, fps), self.chain)
+        """Rows ``idx`` on a grid of fps; kernels run after sampling, on the frames of the grid.
+
+        Of a clip without a rate of its own (stills), kernels up to the first one that looks at the time run
+        before, once for each still.
+        """
+        static = next((k for k, x in enumerate(self.chain) if x.by_time), len(self.chain)) if self.fps is None else 0
+        if not static:
+            return frames.apply(timing.to_grid(self.video, fps), self.chain)
+        return frames.apply(timing.spread(frames.apply(self.video, self.chain[:static]), fps), self.chain[static:])
 
     def frame_at(self, t_us: int) -> DataFrame:
         """The frame in force at a time: one row at most; only it goes through the kernels."""

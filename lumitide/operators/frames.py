@@ -24,8 +24,9 @@ STACK_BYTES = 8 << 20
 
 
 def batched(spark: SparkSession, records: int = 32) -> None:
-    """Bounds the rows of an Arrow batch, for relations whose rows are pictures of megabytes."""
+    """Bounds the rows of an Arrow batch, and of a batch read from Parquet, for relations whose rows are pictures of megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(records))
 
 
 def _stacks(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:

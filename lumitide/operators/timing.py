@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParamError
+from ..scratch import folder
 from .intervals import asof_join
 
 SECOND = 1_000_000
+#: Stills of up to so many bytes are broadcast.
+PICTURE_BYTES = 64 << 20
 
 
 def _to(df: DataFrame, t: Column, e: Column, dur: Column) -> DataFrame:
@@ -110,6 +113,23 @@ def to_grid(df: DataFrame, fps: float) -> DataFrame:
     return out.withColumns({"t_us": at(F.col("idx")).cast("bigint"), "e_us": at(F.col("idx") + 1).cast("bigint")}).drop("a_", "b_")
 
 
+def spread(stills: DataFrame, fps: float) -> DataFrame:
+    """As :func:`to_grid`, for few pictures that serve many grid points each.
+
+    The pictures are written once; grid points carry none until they meet them, by broadcast if they are few
+    bytes (measured), otherwise by a shuffle, so that all cores take part.
+    """
+    spark, names = stills.sparkSession, stills.columns
+    at = folder(spark)
+    stills.write.parquet(at)
+    kept = spark.read.schema(stills.schema).parquet(at)
+    grid = to_grid(kept.drop("w", "h", "channels", "data").withColumn("from_", F.col("t_us")), fps).repartition(spark.sparkContext.defaultParallelism, "idx")
+    pictures = kept.select("clip_id", F.col("t_us").alias("from_"), "w", "h", "channels", "data")
+    if (pictures.agg(F.sum(F.length("data"))).first()[0] or 0) <= PICTURE_BYTES:
+        pictures = F.broadcast(pictures)
+    return grid.join(pictures, ["clip_id", "from_"]).select(*names, "idx")
+
+
 def accel_decel(df: DataFrame, new_dur_us: int, fps: float) -> DataFrame:
     """Ease in and out over a new duration, sampled at fps: u -> 3u^2 - 2u^3 of the clip.
 

@@ -8,6 +8,7 @@ import pytest
 from lumitide.clips import Clip
 from lumitide.errors import ContractError, MediaError, ParamError
 from lumitide.kernels import masks as M
+from lumitide.operators import frames as FR
 from lumitide.operators import timing, vision
 from lumitide.plans import graph as G
 from lumitide.plans import jobs, run
@@ -207,3 +208,34 @@ def test_regions_by_clip_or_for_all(spark):
     got = {(r.clip_id, r.t_us): len(r.regions or []) for r in vision.with_regions(frames, by).collect()}
     assert got == {("a", 0): 1, ("a", 1_000_000): 1, ("b", 0): 0, ("b", 1_000_000): 0}
     assert all(len(r.regions) == 1 for r in vision.with_regions(frames, by.drop("clip_id"), clips=False).collect())
+
+
+def test_stills_go_through_kernels_once_and_sample_alike(spark, monkeypatch):
+    from lumitide.kernels import pictures as K
+
+    still = generate.still(spark, bytes(range(96)), 8, 4, 2_000_000)
+    chain = (K.Crop(0, 0, 4, 4), K.HFlip(), K.Fade(1.0), K.Invert())
+    plain = pictures(FR.apply(timing.to_grid(still, 5.0), chain))
+    for limit in (timing.PICTURE_BYTES, 1):
+        monkeypatch.setattr(timing, "PICTURE_BYTES", limit)
+        clip = Clip(still, 2_000_000, 8, 4)
+        for k in chain:
+            clip = clip.kernel(k)
+        rows = clip.sampled(5.0)
+        assert rows.count() == 10 and (pictures(rows) == plain).all() and rows.orderBy("idx").first().idx == 0
+
+
+def test_composition_by_stretches(spark, monkeypatch):
+    from lumitide.operators import compose
+
+    moving = generate.gradient(spark, 7, 6, 4, 7.0)
+    layers = [{"frames": moving, "dur_us": 1_000_000, "start_us": 200_000}, {"frames": generate.solid(spark, 3, 2, (9, 8, 7), 500_000), "dur_us": 500_000, "start_us": 700_000, "x": 2, "y": 1, "opacity": 0.5}]
+    made = []
+    for most in (1, 4 * 6 * 3 * 5, 1 << 24):
+        monkeypatch.setattr(compose, "STRETCH_BYTES", most)
+        rows = compose.compose_frames(layers, 6, 4, 10.0, 1_500_000, (1, 2, 3)).orderBy("idx").collect()
+        assert [r.idx for r in rows] == list(range(15))
+        made.append([bytes(r.data) for r in rows])
+    assert made[0] == made[1] == made[2]
+    first = np.frombuffer(made[0][0], np.uint8).reshape(4, 6, 3)
+    assert (first == [1, 2, 3]).all() and made[0][2] != made[0][0] and made[0][8] != made[0][7]
