@@ -261,14 +261,21 @@ def freeze_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bytes(FR.freeze_region(_frames(spark, sf_dir), 3_000_000, 2, 1, 3, 3))
 
 
+_G = lambda dy, dx: f"g[i + {8 * dy + dx + 1}]"
+_GX = f"({_G(-1, 1)} - {_G(-1, -1)} + 2 * ({_G(0, 1)} - {_G(0, -1)}) + {_G(1, 1)} - {_G(1, -1)})"
+_GY = f"({_G(1, -1)} - {_G(-1, -1)} + 2 * ({_G(1, 0)} - {_G(-1, 0)}) + {_G(1, 1)} - {_G(-1, 1)})"
+_F = lambda x: f"CAST({x} AS FLOAT)"
+
+
+@query(f"""WITH {RGB}, s AS (SELECT vec_id, list_transform(range(192), lambda i: greatest(0, least(255, 11 * px[i + 1] - list_sum(list_transform(range(9), lambda k: px[(least(greatest(i // 24 + k // 3 - 1, 0), 7) * 8 + least(greatest((i // 3) % 8 + k % 3 - 1, 0), 7)) * 3 + i % 3 + 1]))))) AS s FROM rgb),
+g AS (SELECT vec_id, s, list_transform(range(64), lambda i: (77 * s[i * 3 + 1] + 150 * s[i * 3 + 2] + 29 * s[i * 3 + 3]) // 256) AS g FROM s),
+e AS (SELECT vec_id, s, list_transform(range(64), lambda i: CASE WHEN i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6 THEN {_F(f'sqrt({_GX} * {_GX} + {_GY} * {_GY})')} ELSE {_F(0)} END) AS e FROM g)
+SELECT vec_id, array_to_string(list_transform(range(192), lambda i: CAST(greatest(0, least(255, floor({_F(1.4)} * {_F('s[i + 1]')} - ({_F(0.006)} * {_F(255)}) * (e[i // 3 + 1] / greatest(list_max(e), {_F(1e-6)})) + {_F(0.5)}))) AS INTEGER)), ',') AS px FROM e""")
 def painting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rgb = colours(spark, sf_dir).select(F.col("label").cast("string").alias("clip_id"), "vec_id", F.lit(0).cast("bigint").alias("t_us"), F.lit(1).cast("bigint").alias("e_us"), F.lit(1).cast("bigint").alias("dur_us"), "px")
     return _bytes(FR.apply(FR.from_arrays(rgb, "px", 8, 8, 3), [K.Painting()]))
 
 
-query()(painting)
-
-
 def _extent(spark: SparkSession, sf_dir: str) -> int:
     """Microseconds up to the end of the last frame."""
     last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
