@@ -93,3 +93,19 @@ def test_a_row_of_each_id_whatever_the_order(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `n.chars` long")
     kept = [sorted(map(tuple, minhash.keep_one(d).collect())) for d in (df, df.orderBy(F.desc("`n.chars`")))]
     assert kept[0] == kept[1] == [(1, "a b c", "en", "x", 1), (2, None, None, None, 0)]
+
+
+def test_components_of_paths_and_random_graphs(spark):
+    import random
+
+    from lumitide.llm import groups
+
+    rng = random.Random(4)
+    order = rng.sample(range(10_000, 10_150), 150)
+    edges = list(zip(order, order[1:])) + [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(5, 5)]
+    got = {r.id: r.root for r in groups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = brute.components([(a, b) for a, b in edges if a != b])
+    assert got == want
+    half = groups.components(spark.createDataFrame(edges[::2], "a long, b long"))
+    rest = spark.createDataFrame([(a, b) for a, b in edges[1::2] if a != b], "a long, b long")
+    assert {r.id: r.root for r in groups.merged(half, rest).collect()} == want
