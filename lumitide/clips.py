@@ -13,6 +13,8 @@ from .kernels.pictures import Kernel
 from .operators import frames, timing
 
 DEFAULT_FPS = 24.0
+#: A clip of more pictures isn't taken for stills.
+STILLS = 64
 
 
 @dataclasses.dataclass(frozen=True)
@@ -66,11 +68,11 @@ class Clip:
     def sampled(self, fps: float) -> DataFrame:
         """Rows ``idx`` on a grid of fps; kernels run after sampling, on the frames of the grid.
 
-        Of a clip without a rate of its own (stills), kernels up to the first one that looks at the time run
-        before, once for each still.
+        Of a clip without a rate of its own that has ``STILLS`` pictures at most, kernels up to the first one that
+        looks at the time run before, once for each picture.
         """
         static = next((k for k, x in enumerate(self.chain) if x.by_time), len(self.chain)) if self.fps is None else 0
-        if not static:
+        if not static or self.video.select("t_us").limit(STILLS + 1).count() > STILLS:
             return frames.apply(timing.to_grid(self.video, fps), self.chain)
         return frames.apply(timing.spread(frames.apply(self.video, self.chain[:static]), fps), self.chain[static:])
 
