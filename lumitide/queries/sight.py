@@ -240,9 +240,9 @@ def ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A clip for each label, a frame of a second for each vector, in order of vec_id."""
-    p = pictures(spark, sf_dir)
-    rows = p.select(F.col("label").cast("string").alias("clip_id"), "vec_id", (F.col("vec_id") * 1_000_000).alias("t_us"), ((F.col("vec_id") + 1) * 1_000_000).alias("e_us"), F.lit(10_000_000_000).alias("dur_us"), "px")
+    """A clip for each label, a frame of a second for each vector, in order of vec_id; clips last as long as the table."""
+    p, end = pictures(spark, sf_dir), _extent(spark, sf_dir)
+    rows = p.select(F.col("label").cast("string").alias("clip_id"), "vec_id", (F.col("vec_id") * 1_000_000).alias("t_us"), ((F.col("vec_id") + 1) * 1_000_000).alias("e_us"), F.lit(end).cast("bigint").alias("dur_us"), "px")
     return FR.from_arrays(rows, "px", 8, 8)
 
 
