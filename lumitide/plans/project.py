@@ -7,7 +7,7 @@ import json
 from typing import Any
 
 from ..errors import EngineError, UnknownId
-from ..mediatime import ZERO_MS, MediaTime
+from ..mediatime import HZ_1M, ZERO_MS, MediaTime
 from .graph import Asset, Graph, Node, Output
 
 VERSION = 1
@@ -75,7 +75,10 @@ def record_duration(clip: dict) -> MediaTime:
     if mode == "identity":
         return src
     if mode == "speed":
-        return src.over(float(r["factor"]))
+        factor = float(r["factor"])
+        played = src.over(factor)
+        # a source that is counted in whole seconds may be played in parts of one
+        return played if played.ticks * factor == src.ticks else src.rebase(max(src.timescale, HZ_1M)).over(factor)
     if mode == "freeze":
         return src.plus(_time(r["hold"]))
     if mode == "loop":

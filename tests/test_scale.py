@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from lumitide import queries as core
+from lumitide.plans import project
 
 from .compare import connect, difference
 
@@ -23,3 +24,9 @@ def same(spark, name, folder):
 
 def test_frames_after_ten_thousand_seconds_are_written(spark, tmp_path):
     same(spark, "frames_round_trip", embeddings(tmp_path, [0, 1, 9_999, 10_000, 12_345]))
+
+
+def test_half_seconds_of_a_sped_up_clip_count_on_the_timeline(spark, tmp_path):
+    same(spark, "timeline_run", embeddings(tmp_path, range(6)))
+    fast = {"id": "a", "source": {"start": {"ticks": 0, "timescale": 1}, "duration": {"ticks": 3, "timescale": 1}}, "retiming": {"mode": "speed", "factor": 2.0}}
+    assert project.record_duration(fast).secs == 1.5
