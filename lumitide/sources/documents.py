@@ -37,6 +37,8 @@ def tracks(documents: DataFrame, strict: bool = True) -> DataFrame:
     whole = F.when(bare, F.from_json("text", TRACKS)).otherwise(F.from_json("text", f"tracks {TRACKS}")["tracks"])
     rows = documents.select("doc", F.explode(whole).alias("k")).select("doc", "k.id", "k.subject", F.posexplode("k.samples").alias("nth", "s"))
     s = F.col("s")
+    # of the decimal that was written: half a millisecond isn't a binary fraction of a second
+    t_ms = (F.round(s["t"].cast("decimal(38,20)"), 3) * 1000).cast("bigint")
     box = from_box(s["left"], s["top"], s["right"], s["bottom"])
     xywh = from_xywh(s["x"], s["y"], s["w"], s["h"])
     at = F.when(s["cx"].isNotNull() & s["cy"].isNotNull(), F.struct(s["cx"].alias("cx"), s["cy"].alias("cy"), F.greatest(F.coalesce(s["radius"], F.lit(1.0)), F.lit(1.0)).alias("radius"))).when(s["w"].isNotNull() & s["h"].isNotNull(), xywh).otherwise(box)
@@ -44,7 +46,7 @@ def tracks(documents: DataFrame, strict: bool = True) -> DataFrame:
     bad = F.raise_error(F.concat(F.lit("unknown occlusion "), s["occlusion"])).cast("string") if strict else F.lit("unknown")
     state = F.when(s["occlusion"].isNull(), "visible").when(known.isNotNull(), known).otherwise(bad)
     out = rows.select(
-        "doc", F.col("id").alias("track"), F.coalesce("subject", "id").alias("subject"), F.round(s["t"] * 1000).cast("bigint").alias("t_ms"), at.alias("at"),
+        "doc", F.col("id").alias("track"), F.coalesce("subject", "id").alias("subject"), t_ms.alias("t_ms"), at.alias("at"),
         F.least(F.greatest(F.coalesce(s["conf"], F.lit(1.0)), F.lit(0.0)), F.lit(1.0)).alias("conf"), state.alias("occlusion"), F.coalesce(s["lifecycle"], F.lit("active")).alias("lifecycle"),
         s["appearance"].alias("appearance"), s["observation"].alias("observation"), s["mask"].alias("mask"),
     )

@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 
 from lumitide import queries as core
 from lumitide.plans import project
+from lumitide.sources import documents
 
 from .compare import connect, difference
 
@@ -30,3 +31,9 @@ def test_half_seconds_of_a_sped_up_clip_count_on_the_timeline(spark, tmp_path):
     same(spark, "timeline_run", embeddings(tmp_path, range(6)))
     fast = {"id": "a", "source": {"start": {"ticks": 0, "timescale": 1}, "duration": {"ticks": 3, "timescale": 1}}, "retiming": {"mode": "speed", "factor": 2.0}}
     assert project.record_duration(fast).secs == 1.5
+
+
+def test_times_of_tracks_are_rounded_as_written(spark):
+    text = '[{"id": "a", "samples": [{"t": 2128031.2375, "cx": 1, "cy": 1}, {"t": 2109219.9365, "cx": 1, "cy": 1}, {"t": 0.0004, "cx": 1, "cy": 1}]}]'
+    got = documents.tracks(spark.createDataFrame([("d", text)], "doc string, text string"))
+    assert sorted(r["t_us"] for r in got.collect()) == [0, 2109219937000, 2128031238000]
