@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from bisect import insort
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,8 +16,8 @@ from ..errors import ContractError, ParamError
 from ..functions.sound import clip1
 from .intervals import interval_join
 
-#: Result bytes of a stretch of the grid that one call composes.
-STRETCH_BYTES = 16 << 20
+#: Result bytes, and grid points, of a stretch of the grid that one call composes at most.
+STRETCH_BYTES, STRETCH_POINTS = 16 << 20, 4096
 
 
 def running_ends(clips: DataFrame, order: Sequence[str], duration: str, group: Sequence[str] = ()) -> DataFrame:
@@ -82,7 +84,8 @@ def compose_frames(layers: Sequence[dict], w: int, h: int, fps: float, total_us:
 
     layers: dicts with ``frames`` (clips, each of one clip id) and ``start_us, dur_us, x, y, opacity,
     layer_index``, in input order.  One shuffle, by stretches of the grid that take about ``STRETCH_BYTES``
-    of the result: a picture goes once to each stretch that it serves, however many grid points these have.
+    of the result, or of ``STRETCH_POINTS`` if that is less: a picture goes once to each stretch that it serves,
+    however many grid points these have.  A stretch is gone through once, with the pictures that are on at hand.
     """
     from ..kernels.pictures import over
     from .timing import served
@@ -90,7 +93,7 @@ def compose_frames(layers: Sequence[dict], w: int, h: int, fps: float, total_us:
     if not layers:
         raise ParamError("a composition needs layers")
     n = max(1, round(total_us * fps / 1e6))
-    per = max(1, STRETCH_BYTES // max(1, w * h * 3))
+    per = min(STRETCH_POINTS, max(1, STRETCH_BYTES // max(1, w * h * 3)))
     names = ["layer", "seq", "x", "y", "opacity", "first", "stop", "w", "h", "channels", "data"]
     rows = None
     for seq, layer in enumerate(layers):
@@ -111,11 +114,15 @@ def compose_frames(layers: Sequence[dict], w: int, h: int, fps: float, total_us:
         data, stretch = t.column("data"), t.column("stretch")[0].as_py()
         pictures = {r[-1]: np.frombuffer(data[r[-1]].as_buffer(), np.uint8).reshape(r[8], r[7], r[9]) for r in facts if r[0] is not None}
         idx, out = range(stretch * per, min(n, (stretch + 1) * per)), []
+        due = deque(sorted((max(r[5], idx.start), k) for k, r in enumerate(facts) if r[0] is not None))
+        on: list[int] = []  # places in facts, which are in the order of layers
         for i in idx:
+            on = [k for k in on if i < facts[k][6]]
+            while due and due[0][0] <= i:
+                insort(on, due.popleft()[1])
             px = canvas.copy()
-            for r in facts:
-                if r[0] is not None and r[5] <= i < r[6]:
-                    over(px, pictures[r[-1]], r[2], r[3], r[4])
+            for r in (facts[k] for k in on):
+                over(px, pictures[r[-1]], r[2], r[3], r[4])
             out.append(px.tobytes())
         return pa.table({"idx": pa.array(idx, pa.int64()), "data": pa.array(out, pa.binary())})
 

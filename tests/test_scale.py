@@ -1,10 +1,13 @@
 """Queries over tables that are larger or odder than the driver's small ones."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from lumitide import queries as core
+from lumitide.operators import compose
 from lumitide.plans import project
 from lumitide.sources import documents
 
@@ -37,3 +40,14 @@ def test_times_of_tracks_are_rounded_as_written(spark):
     text = '[{"id": "a", "samples": [{"t": 2128031.2375, "cx": 1, "cy": 1}, {"t": 2109219.9365, "cx": 1, "cy": 1}, {"t": 0.0004, "cx": 1, "cy": 1}]}]'
     got = documents.tracks(spark.createDataFrame([("d", text)], "doc string, text string"))
     assert sorted(r["t_us"] for r in got.collect()) == [0, 2109219937000, 2128031238000]
+
+
+def test_compositions_of_many_short_frames_are_gone_through_once(spark):
+    n = 30_000
+    frames = spark.range(n).selectExpr("'c' AS clip_id", "id * 1000000 AS t_us", "(id + 1) * 1000000 AS e_us", f"{n}000000L AS dur_us", "1 AS w", "1 AS h", "1 AS channels", "unhex(lpad(hex(id % 256), 2, '0')) AS data")
+    still = frames.limit(1).selectExpr("clip_id", "0L AS t_us", f"{n}000000L AS e_us", "dur_us", "w", "h", "channels", "unhex('FF') AS data")
+    layers = [{"frames": frames, "dur_us": n * 1_000_000, "layer_index": 1, "opacity": 0.5}, {"frames": still, "dur_us": n * 1_000_000, "layer_index": 0}]
+    begun = time.time()
+    got = compose.compose_frames(layers, 1, 1, 1.0, n * 1_000_000).selectExpr("sum(idx) AS i", "sum(conv(substring(hex(data), 1, 2), 16, 10)) AS v").first()
+    want = sum(int((k % 256) * 0.5 + 127.5 + 0.5) for k in range(n))
+    assert (got["i"], got["v"]) == (n * (n - 1) // 2, want) and time.time() - begun < 40
