@@ -36,9 +36,11 @@ class Clip:
     masks: DataFrame | None = None
     chain: tuple[Kernel, ...] = ()
     hints: dict = dataclasses.field(default_factory=dict)
+    #: ``video`` made for a span of time only, from and to, where that is cheaper than a filter of all of it.
+    part: Callable[[int, int], DataFrame] | None = None
 
     def replace(self, **changes) -> Clip:
-        return dataclasses.replace(self, **changes)
+        return dataclasses.replace(self, **({"part": None} if "video" in changes else {}), **changes)
 
     def kernel(self, k: Kernel) -> Clip:
         if self.video is None:
@@ -76,10 +78,15 @@ class Clip:
             return frames.apply(timing.to_grid(self.video, fps), self.chain)
         return frames.apply(timing.spread(frames.apply(self.video, self.chain[:static]), fps), self.chain[static:])
 
+    def around(self, lo_us: int, hi_us: int) -> Clip:
+        """With the frames that are in force from lo to hi, both inclusive, or end at lo; before the kernels."""
+        video = self.part(lo_us, hi_us) if self.part else self.video
+        return self if video is None else self.replace(video=video.where((F.col("t_us") <= hi_us) & (F.col("e_us") >= lo_us)))
+
     def frame_at(self, t_us: int) -> DataFrame:
         """The frame in force at a time: one row at most; only it goes through the kernels."""
         at = F.lit(t_us)
-        row = self.video.where((F.col("t_us") <= at) & (at < F.col("e_us")))
+        row = self.around(t_us, t_us).video.where((F.col("t_us") <= at) & (at < F.col("e_us")))
         return frames.apply(row.withColumn("t_us", at.cast("bigint")), self.chain)
 
 

@@ -79,13 +79,14 @@ def compose_values(grid: DataFrame, layers: DataFrame, t: str, background: Colum
     return out.withColumn("value", F.coalesce(fold, background.cast("double")).cast("int")).withColumn("n_layers", F.coalesce(F.size("stack_"), F.lit(0))).drop("stack_")
 
 
-def compose_frames(layers: Sequence[dict], w: int, h: int, fps: float, total_us: int, background: tuple[int, int, int] = (0, 0, 0), clip_id: str = "comp") -> DataFrame:
+def compose_frames(layers: Sequence[dict], w: int, h: int, fps: float, total_us: int, background: tuple[int, int, int] = (0, 0, 0), clip_id: str = "comp", points: tuple[int, int] | None = None) -> DataFrame:
     """Pictures of several clips over each other, on a grid.
 
     layers: dicts with ``frames`` (clips, each of one clip id) and ``start_us, dur_us, x, y, opacity,
     layer_index``, in input order.  One shuffle, by stretches of the grid that take about ``STRETCH_BYTES``
     of the result, or of ``STRETCH_POINTS`` if that is less: a picture goes once to each stretch that it serves,
     however many grid points these have.  A stretch is gone through once, with the pictures that are on at hand.
+    points: the first of the grid's points to be made and the one after the last, all by default.
     """
     from ..kernels.pictures import over
     from .timing import served
@@ -93,6 +94,7 @@ def compose_frames(layers: Sequence[dict], w: int, h: int, fps: float, total_us:
     if not layers:
         raise ParamError("a composition needs layers")
     n = max(1, round(total_us * fps / 1e6))
+    lo, hi = (0, n) if points is None else (max(0, points[0]), min(n, points[1]))
     per = min(STRETCH_POINTS, max(1, STRETCH_BYTES // max(1, w * h * 3)))
     names = ["layer", "seq", "x", "y", "opacity", "first", "stop", "w", "h", "channels", "data"]
     rows = None
@@ -102,10 +104,10 @@ def compose_frames(layers: Sequence[dict], w: int, h: int, fps: float, total_us:
         first, stop = served(fps)
         end = math.ceil((start + int(layer["dur_us"]) - 0.5) * fps / 1e6)  # grid points before the layer's end
         fixed = {"layer": F.lit(int(layer.get("layer_index", seq))), "seq": F.lit(seq), "x": F.lit(int(layer.get("x", 0))), "y": F.lit(int(layer.get("y", 0))), "opacity": F.lit(float(layer.get("opacity", 1.0)))}
-        one = moved.withColumns({"first": F.greatest(first, F.lit(0)), "stop": F.least(stop, F.lit(min(n, end)))}).where("first < stop").withColumns(fixed)
+        one = moved.withColumns({"first": F.greatest(first, F.lit(lo)), "stop": F.least(stop, F.lit(min(hi, end)))}).where("first < stop").withColumns(fixed)
         one = one.select(F.explode(F.sequence(F.floor(F.col("first") / per), F.floor((F.col("stop") - 1) / per))).alias("stretch"), *names)
         rows = one if rows is None else rows.unionByName(one)
-    every = rows.sparkSession.range(-(-n // per)).select(F.col("id").alias("stretch"))  # also where no layer is on
+    every = rows.sparkSession.range(lo // per, max(-(-hi // per), lo // per)).select(F.col("id").alias("stretch"))  # also where no layer is on
     canvas = np.empty((h, w, 3), np.uint8)
     canvas[...] = np.array(background, np.uint8)
 
@@ -113,7 +115,7 @@ def compose_frames(layers: Sequence[dict], w: int, h: int, fps: float, total_us:
         facts = sorted(zip(*(t.column(c).to_pylist() for c in names[:-1]), range(t.num_rows)), key=lambda r: (r[0] is None, *(r[k] or 0 for k in (0, 1, 5))))
         data, stretch = t.column("data"), t.column("stretch")[0].as_py()
         pictures = {r[-1]: np.frombuffer(data[r[-1]].as_buffer(), np.uint8).reshape(r[8], r[7], r[9]) for r in facts if r[0] is not None}
-        idx, out = range(stretch * per, min(n, (stretch + 1) * per)), []
+        idx, out = range(max(lo, stretch * per), min(hi, (stretch + 1) * per)), []
         due = deque(sorted((max(r[5], idx.start), k) for k, r in enumerate(facts) if r[0] is not None))
         on: list[int] = []  # places in facts, which are in the order of layers
         for i in idx:

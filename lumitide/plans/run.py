@@ -82,12 +82,21 @@ def layers(ctx: Context, ups: list[Clip], p: dict) -> Clip:
         spec = p["layers"][k] if k < len(p["layers"]) and isinstance(p["layers"][k], dict) else {}
         index = R.natural(spec, "layer_index")
         opacity = R.number(spec, "opacity")
-        specs.append({"frames": c.pictures(), "dur_us": c.duration_us, "start_us": _time(spec.get("start")), "x": int(spec.get("x") or 0), "y": int(spec.get("y") or 0), "opacity": 1.0 if opacity is None else opacity, "layer_index": k if index is None else index})
+        specs.append({"clip": c, "dur_us": c.duration_us, "start_us": _time(spec.get("start")), "x": int(spec.get("x") or 0), "y": int(spec.get("y") or 0), "opacity": 1.0 if opacity is None else opacity, "layer_index": k if index is None else index})
     total = max(s["start_us"] + s["dur_us"] for s in specs)
     fps = max((c.fps for c in ups if c.fps), default=ctx.fps)
     b = p["background"]
     rgb = (0, 0, 0) if b is None else tuple(int(v) for v in ([b.get("r", 0), b.get("g", 0), b.get("b", 0)] if isinstance(b, dict) else b)[:3])
-    return Clip(compose.compose_frames(specs, w, h, fps, total, rgb), total, w, h, fps, ups[0].audio, ups[0].rate, ups[0].channels)
+
+    def part(lo: int, hi: int) -> DataFrame:
+        """The grid points from lo to hi, of what the layers show then; a point more at both ends, and frames of two."""
+        step = SECOND / fps
+        points = math.floor(lo / step) - 1, math.floor(hi / step) + 2
+        near = [s | {"frames": s["clip"].around(math.floor((points[0] - 1) * step) - s["start_us"], math.ceil((points[1] + 1) * step) - s["start_us"]).pictures()} for s in specs]
+        return compose.compose_frames(near, w, h, fps, total, rgb, points=points)
+
+    whole = compose.compose_frames([s | {"frames": s["clip"].pictures()} for s in specs], w, h, fps, total, rgb)
+    return Clip(whole, total, w, h, fps, ups[0].audio, ups[0].rate, ups[0].channels, part=part)
 
 
 def concat(ctx: Context, ups: list[Clip], p: dict) -> Clip:

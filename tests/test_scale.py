@@ -7,8 +7,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from lumitide import queries as core
+from lumitide.clips import Clip
+from lumitide.kernels.pictures import Invert
 from lumitide.operators import compose
 from lumitide.plans import project
+from lumitide.plans.run import Context, layers
 from lumitide.sources import documents
 
 from .compare import connect, difference
@@ -51,3 +54,17 @@ def test_compositions_of_many_short_frames_are_gone_through_once(spark):
     got = compose.compose_frames(layers, 1, 1, 1.0, n * 1_000_000).selectExpr("sum(idx) AS i", "sum(conv(substring(hex(data), 1, 2), 16, 10)) AS v").first()
     want = sum(int((k % 256) * 0.5 + 127.5 + 0.5) for k in range(n))
     assert (got["i"], got["v"]) == (n * (n - 1) // 2, want) and time.time() - begun < 40
+
+
+def test_a_frame_of_a_composition_is_made_alone(spark):
+    n = 12
+    frames = spark.range(n).selectExpr("'c' AS clip_id", "id * 1000000 AS t_us", "(id + 1) * 1000000 AS e_us", f"{n}000000L AS dur_us", "1 AS w", "1 AS h", "1 AS channels", "unhex(lpad(hex(id * 20), 2, '0')) AS data")
+    clip = Clip(frames, n * 1_000_000, 1, 1, 1.0)
+    ctx, specs = Context(spark), {"layers": [{}, {"start": {"ticks": 4, "timescale": 1}, "opacity": 0.25}], "w": None, "h": None, "background": None}
+    inner = layers(ctx, [clip, clip], specs)
+    outer = layers(ctx, [inner.kernel(Invert()), clip], specs)
+    for made in (inner, outer):
+        for t in (0, 3_999_999, 9_500_000, 19_000_000):
+            want = made.video.where(f"t_us <= {t} AND {t} < e_us").select("idx", "data").collect()
+            assert made.frame_at(t).select("idx", "data").collect() == want and len(want) == (t < made.duration_us)
+        assert made.part(5_000_000, 5_000_000).count() == 3
