@@ -117,7 +117,15 @@ def captioned(frames: DataFrame, room: int = 24) -> DataFrame:
     names = [c for c in frames.columns if c != "cues"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = lru_cache(256)(raster)
+        @lru_cache(256)
+        def text(cue: str, w: int, h: int) -> tuple | None:
+            """What is seen of a cue on a canvas, and where."""
+            lines = cue.split("\n")
+            tw, th = max(map(len, lines)) * 6, len(lines) * 8
+            x, y = (w - tw) // 2, h - th - room
+            view = max(0, -x), max(0, -y), min(tw, w - x), min(th, h - y)
+            return (raster(cue, view=view), x + view[0], y + view[1]) if view[0] < view[2] and view[1] < view[3] else None
+
         for whole in batches:
             for i, j in _stacks(whole):
                 b = whole.slice(i, j - i)
@@ -126,8 +134,9 @@ def captioned(frames: DataFrame, room: int = 24) -> DataFrame:
                 for k, cues in enumerate(b.column("cues").to_pylist()):
                     over(out[k], px[k] if px.shape[-1] > 1 else px[k].repeat(3, -1), 0, 0, 1.0)
                     for cue in cues or []:
-                        t = text(cue)
-                        over(out[k], t, (px.shape[2] - t.shape[1]) // 2, px.shape[1] - t.shape[0] - room, 1.0)
+                        seen = text(cue, px.shape[2], px.shape[1])
+                        if seen is not None:
+                            over(out[k], *seen, 1.0)
                 yield pa.RecordBatch.from_arrays([_binary(out) if x == "data" else pa.array(np.full(len(out), 3, np.int32)) if x == "channels" else b.column(x) for x in names], names=names)
 
     return frames.select(*[F.col(x).cast("int").alias(x) if x == "channels" else F.col(x) for x in frames.columns]).mapInArrow(run, _schema(frames.select(*names)))

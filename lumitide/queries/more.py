@@ -223,17 +223,20 @@ def graph_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # captions
 
+#: Cues of a caption file, which is read whole.
+CUES = 2000
+
 
 @query("""WITH c AS (SELECT conv_id, turn, CAST(floor(conv_id * 20 + turn * 3.25e0) AS BIGINT) AS s, conv_id * 20000 + turn * 3250 AS s_ms, regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g') AS text FROM conversations),
 g AS (SELECT unnest(range((SELECT max(conv_id) + 1 FROM conversations) * 20)) AS sec) SELECT sec, count(text) > 0 AS lit FROM g LEFT JOIN c ON sec * 1000 >= s_ms AND sec * 1000 < s_ms + 2500 AND text <> '' GROUP BY sec""")
 def subtitle_burn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations as one caption file each, burnt onto black pictures: when is there any text?"""
+    """All conversations as caption files, burnt onto black pictures: when is there any text?"""
     text = F.regexp_replace("text", "[^a-zA-Z0-9]+", "")
     stamp = lambda ms: F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
     ms = F.col("conv_id").cast("bigint") * 20_000 + F.col("turn").cast("bigint") * 3250
     cue = F.concat(F.lit("1\n"), stamp(ms), F.lit(" --> "), stamp(ms + 2500), F.lit("\n"), text, F.lit("\n"))
     at = f"{folder(spark)}/cues"
-    table(spark, sf_dir, "conversations").where(text != "").select(cue.alias("value")).write.text(at)
+    table(spark, sf_dir, "conversations").where(text != "").select(cue.alias("value")).write.option("maxRecordsPerFile", CUES).text(at)
     end = (table(spark, sf_dir, "conversations").agg(F.max("conv_id")).first()[0] + 1) * 20_000_000
     black = spark.range(end // 1_000_000).select(F.lit("all").alias("clip_id"), (F.col("id") * 1_000_000).alias("t_us"), ((F.col("id") + 1) * 1_000_000).alias("e_us"), F.lit(end).cast("bigint").alias("dur_us"), F.lit(16).alias("w"), F.lit(40).alias("h"), F.lit(1).alias("channels"), F.unhex(F.repeat(F.lit("00"), 640)).alias("data"))
     made = _run(spark, _graph(("burn", "subtitle.burn", {"cues": [{"uri": f"{at}/*.txt", "in": 0, "duration": {"ticks": end, "timescale": 1_000_000}, "start": 0}]}, ["src"])), src=Clip(black, end, 16, 40, 1.0))

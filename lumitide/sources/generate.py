@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,18 +73,34 @@ def layout(text: str, size: int = 8) -> tuple[int, int, list[tuple[str, int, int
     return max((len(x) for x in lines), default=0) * 6 * scale, len(lines) * 8 * scale, out
 
 
-def raster(text: str, colour: tuple[int, int, int] = (255, 255, 255), size: int = 8):
-    """(h, w, 4) of the text; alpha is its coverage.  Characters without a glyph are drawn as boxes."""
+@functools.cache
+def glyph(c: str, scale: int = 1):
+    """(7 * scale, 5 * scale) of 0 and 255; a box for what has no glyph."""
+    import numpy as np
+
+    rows = bytes.fromhex(GLYPHS.get(c.upper(), "1F11111111111F"))
+    return np.array([[r >> (4 - k) & 1 for k in range(5)] for r in rows], np.uint8).repeat(scale, 0).repeat(scale, 1) * 255
+
+
+def raster(text: str, colour: tuple[int, int, int] = (255, 255, 255), size: int = 8, view: tuple[int, int, int, int] | None = None):
+    """(h, w, 4) of the text; alpha is its coverage.  Characters without a glyph are drawn as boxes.
+
+    view: left, top, right and bottom of the part that is wanted; only its characters are drawn.
+    """
     import numpy as np
 
-    w, h, pens = layout(text, size)
+    w, h, pens = layout(text, size) if view is None else (0, 0, [])
     scale = max(1, size // 8)
-    out = np.zeros((max(1, h), max(1, w), 4), np.uint8)
+    x0, y0, x1, y1 = view or (0, 0, max(1, w), max(1, h))
+    if view is not None:
+        first, last = x0 // (6 * scale), -(-x1 // (6 * scale))
+        lines = text.split("\n")[y0 // (8 * scale) : -(-y1 // (8 * scale))]
+        pens = [(c, k * 6 * scale, n * 8 * scale) for n, line in enumerate(lines, y0 // (8 * scale)) for k, c in enumerate(line[first:last], first)]
+    out = np.zeros((y1 - y0, x1 - x0, 4), np.uint8)
     out[..., :3] = np.array(colour, np.uint8)
     for c, x, y in pens:
-        rows = bytes.fromhex(GLYPHS.get(c.upper(), "1F11111111111F"))
-        bits = np.array([[r >> (4 - k) & 1 for k in range(5)] for r in rows], np.uint8).repeat(scale, 0).repeat(scale, 1) * 255
-        part = out[y : y + bits.shape[0], x : x + bits.shape[1], 3]
+        bits = glyph(c, scale)[max(0, y0 - y) : y1 - y, max(0, x0 - x) : x1 - x]
+        part = out[max(0, y - y0) : max(0, y - y0) + bits.shape[0], max(0, x - x0) : max(0, x - x0) + bits.shape[1], 3]
         np.maximum(part, bits, out=part)
     return out
 
