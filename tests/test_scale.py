@@ -10,9 +10,10 @@ from lumitide import queries as core
 from lumitide.clips import Clip
 from lumitide.kernels.pictures import Invert
 from lumitide.operators import compose
-from lumitide.plans import project
+from lumitide.plans import project, run
 from lumitide.plans.run import Context, layers
-from lumitide.sources import documents
+from lumitide.queries import more
+from lumitide.sources import documents, generate
 
 from .compare import connect, difference
 
@@ -68,3 +69,28 @@ def test_a_frame_of_a_composition_is_made_alone(spark):
             want = made.video.where(f"t_us <= {t} AND {t} < e_us").select("idx", "data").collect()
             assert made.frame_at(t).select("idx", "data").collect() == want and len(want) == (t < made.duration_us)
         assert made.part(5_000_000, 5_000_000).count() == 3
+
+
+def test_a_part_of_a_text_is_drawn_alone():
+    for text in ("Hello, wörld", "one\ntwo lines", "x"):
+        for size in (8, 16):
+            whole = generate.raster(text, size=size)
+            for x0, y0, x1, y1 in ((0, 0, 1, 1), (3, 2, 6, 7), (0, 0, whole.shape[1], whole.shape[0]), (whole.shape[1] - 5, whole.shape[0] - 3, whole.shape[1], whole.shape[0])):
+                assert (generate.raster(text, size=size, view=(x0, y0, x1, y1)) == whole[y0:y1, x0:x1]).all()
+
+
+def test_caption_files_are_bounded(spark, monkeypatch):
+    files = []
+    monkeypatch.setattr(run.documents, "texts", lambda spark, path, texts=documents.texts: files.append(path) or texts(spark, path))
+    monkeypatch.setattr(more, "CUES", 10)
+    same(spark, "subtitle_burn", "/root/testdata/sf0.001")
+    assert documents.texts(spark, files[0]).selectExpr("max(size(split(text, '-->')) - 1) AS n").first()["n"] == 10
+
+
+def test_fields_of_a_caption_file_are_found_once(spark):
+    n = 20_000
+    text = "[Events]\nFormat: Start, End, Text\n" + "".join(f"Dialogue: 0:00:{k % 60:02d}.00,0:01:00.50,a{k},b\n" for k in range(n))
+    docs = spark.createDataFrame([("d", text), ("e", "Dialogue: 0,0:00:01.00,0:00:02.00,S,,0,0,0,,x,y"), ("f", "[Events]\nFormat: Start\nDialogue: 1")], "doc string, text string")
+    begun = time.time()
+    got = {(r["doc"], r["nth"]): tuple(r)[2:] for r in documents.cues(docs).collect()}
+    assert len(got) == n + 1 and got["d", 61] == (1.0, 60.5, "a61,b") and got["e", 0] == (1.0, 2.0, "x,y") and time.time() - begun < 30
