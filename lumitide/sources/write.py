@@ -36,7 +36,8 @@ def proxy(clip: DataFrame, path: str, fps: float, box: tuple[int, int] = (640, 3
 
 
 def samples(clip: DataFrame, path: str, channels: int, mode: str = "errorifexists") -> None:
-    pack(clip, channels).write.mode(mode).partitionBy("clip_id").parquet(path)
+    """Chunks of samples, in order of clips; not a folder for each, as clips may be many and short."""
+    pack(clip, channels).sortWithinPartitions("clip_id", "i0").write.mode(mode).parquet(path)
 
 
 def waveform_json(waveform: DataFrame, group: str = "clip_id") -> DataFrame:
