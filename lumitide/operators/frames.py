@@ -19,8 +19,8 @@ from ..errors import MediaError
 from ..kernels.masks import Region, decode, redact
 from ..kernels.pictures import Crop, Kernel, Times
 
-#: Pictures are handed over in batches of about so many bytes, small ones stacked.
-STACK_BYTES = 8 << 20
+#: Pictures are handed over in batches of about so many bytes, small ones stacked, and so many at most.
+STACK_BYTES, STACK_ROWS = 8 << 20, 1024
 
 
 def batched(spark: SparkSession, records: int = 32) -> None:
@@ -35,7 +35,7 @@ def _stacks(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:
     i = 0
     while i < len(shape):
         w, h, c = shape[i]
-        most = max(1, STACK_BYTES // max(1, (w or 0) * (h or 0) * (c or 0)))
+        most = min(STACK_ROWS, max(1, STACK_BYTES // max(1, (w or 0) * (h or 0) * (c or 0))))
         j = i + 1
         while j < len(shape) and shape[j] == shape[i] and j - i < most:
             j += 1
@@ -43,6 +43,11 @@ def _stacks(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Of ``STACK_ROWS`` at most, so that Python objects are made of few rows at a time."""
+    return (b.slice(i, STACK_ROWS) for i in range(0, b.num_rows, STACK_ROWS))
+
+
 def pictures(b: pa.RecordBatch) -> np.ndarray:
     """(n, h, w, channels) of rows of one size."""
     w, h, c = (b.column(k)[0].as_py() for k in ("w", "h", "channels"))
@@ -142,27 +147,35 @@ def captioned(frames: DataFrame, room: int = 24) -> DataFrame:
     return frames.select(*[F.col(x).cast("int").alias(x) if x == "channels" else F.col(x) for x in frames.columns]).mapInArrow(run, _schema(frames.select(*names)))
 
 
-def from_arrays(df: DataFrame, px: str, w: int, h: int, channels: int = 1) -> DataFrame:
-    """Frames of ``array<int>`` pixels."""
-    keep = [c for c in df.columns if c != px]
+def packed(df: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """df with columns of ``array<int>`` as bytes under other names behind the rest, all in one pass."""
+    keep = [c for c in df.columns if c not in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = b.column(px).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], _binary(flat)], names=[*keep, "data"])
+        for whole in batches:
+            for b in _parts(whole):
+                flat = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(b.num_rows, -1) for c in columns)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *map(_binary, flat)], names=[*keep, *names])
 
-    schema = df.select(*keep).schema.add("data", BinaryType())
-    size = F.lit(w).alias("w"), F.lit(h).alias("h"), F.lit(channels).alias("channels")
-    return df.select(*keep, F.col(px).cast("array<int>").alias(px)).mapInArrow(run, schema).select("*", *size)
+    schema = df.select(*keep).schema
+    for n in names:
+        schema = schema.add(n, BinaryType())
+    return df.select(*keep, *[F.col(c).cast("array<int>").alias(c) for c in columns]).mapInArrow(run, schema)
+
+
+def from_arrays(df: DataFrame, px: str, w: int, h: int, channels: int = 1) -> DataFrame:
+    """Frames of ``array<int>`` pixels."""
+    return packed(df, [px], ["data"]).select("*", F.lit(w).alias("w"), F.lit(h).alias("h"), F.lit(channels).alias("channels"))
 
 
 def to_arrays(frames: DataFrame, px: str = "px") -> DataFrame:
     names = [c for c in frames.columns if c != "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = pa.array([np.frombuffer(d, np.uint8).astype(np.int32) for d in b.column("data").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], lists], names=[*names, px])
+        for whole in batches:
+            for b in _parts(whole):
+                lists = pa.array([np.frombuffer(d, np.uint8).astype(np.int32) for d in b.column("data").to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], lists], names=[*names, px])
 
     return frames.mapInArrow(run, frames.select(*names).schema.add(px, ArrayType(IntegerType())))
 
@@ -196,9 +209,10 @@ def surfaces_to_rgb(surfaces: DataFrame) -> DataFrame:
     keep = [c for c in surfaces.columns if c not in ("format", "planes", "colour_space", "colour_range")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("format", "w", "h", "planes", "colour_space", "colour_range")]
-            data = pa.array([to_rgb(f, w, h, p, None, s, r).tobytes() for f, w, h, p, s, r in zip(*cols)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(np.full(b.num_rows, 3, np.int32)), data], names=[*keep, "channels", "data"])
+        for whole in batches:
+            for b in _parts(whole):
+                cols = [b.column(c).to_pylist() for c in ("format", "w", "h", "planes", "colour_space", "colour_range")]
+                data = pa.array([to_rgb(f, w, h, p, None, s, r).tobytes() for f, w, h, p, s, r in zip(*cols)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(np.full(b.num_rows, 3, np.int32)), data], names=[*keep, "channels", "data"])
 
     return surfaces.mapInArrow(run, surfaces.select(*keep).schema.add("channels", IntegerType()).add("data", BinaryType()))

@@ -184,11 +184,9 @@ def surface_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planes of luma and of two halved chromas, limited range."""
     p = pictures(spark, sf_dir)
     plane = lambda lo, n: F.slice("px", lo, n).alias(f"p{lo}_{n}")
-    parts = p.select("vec_id", "px", plane(1, 64), plane(17, 16), plane(33, 16))
-    packed = parts
-    for c in ("p1_64", "p17_16", "p33_16"):
-        packed = FR.from_arrays(packed, c, 8, 8).withColumnRenamed("data", f"{c}_").drop("w", "h", "channels")
-    s = packed.select("vec_id", F.lit("yuv420p").alias("format"), F.lit(8).alias("w"), F.lit(8).alias("h"), F.array("p1_64_", "p17_16_", "p33_16_").alias("planes"), F.lit("bt601").alias("colour_space"), F.lit("limited").alias("colour_range"))
+    parts = p.select("vec_id", plane(1, 64), plane(17, 16), plane(33, 16))
+    planes = ("p1_64", "p17_16", "p33_16")
+    s = FR.packed(parts, planes, [f"{c}_" for c in planes]).select("vec_id", F.lit("yuv420p").alias("format"), F.lit(8).alias("w"), F.lit(8).alias("h"), F.array("p1_64_", "p17_16_", "p33_16_").alias("planes"), F.lit("bt601").alias("colour_space"), F.lit("limited").alias("colour_range"))
     return FR.to_arrays(FR.surfaces_to_rgb(s)).select("vec_id", joined("px"))
 
 

@@ -9,11 +9,11 @@ import pyarrow.parquet as pq
 from lumitide import queries as core
 from lumitide.clips import Clip
 from lumitide.kernels.pictures import Invert
-from lumitide.operators import compose
+from lumitide.operators import compose, frames
 from lumitide.plans import project, run
 from lumitide.plans.run import Context, layers
 from lumitide.queries import more
-from lumitide.sources import documents, generate
+from lumitide.sources import documents, generate, write
 
 from .compare import connect, difference
 
@@ -94,3 +94,25 @@ def test_fields_of_a_caption_file_are_found_once(spark):
     begun = time.time()
     got = {(r["doc"], r["nth"]): tuple(r)[2:] for r in documents.cues(docs).collect()}
     assert len(got) == n + 1 and got["d", 61] == (1.0, 60.5, "a61,b") and got["e", 0] == (1.0, 2.0, "x,y") and time.time() - begun < 30
+
+
+def test_many_clips_of_samples_go_to_few_files(spark, tmp_path):
+    at = tmp_path / "samples"
+    write.samples(spark.range(500).selectExpr("lpad(id, 4, '0') AS clip_id", "0L AS i", "0 AS ch", "0.5D AS v"), str(at), 1)
+    assert len(list(at.rglob("*.parquet"))) <= 8
+    got = documents.read_samples(spark, str(at))
+    assert got.count() == 500 and got.agg({"clip_id": "min"}).first()[0] == "0000"
+
+
+def test_planes_are_packed_in_one_pass(spark, tmp_path):
+    folder = embeddings(tmp_path, range(5))
+    plan = core.queries()["surface_to_rgb"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3
+    same(spark, "surface_to_rgb", folder)
+
+
+def test_python_holds_few_pictures_at_a_time():
+    n = 3000
+    b = pa.RecordBatch.from_arrays([pa.array([2] * n), pa.array([2] * n), pa.array([1] * n)], names=["w", "h", "channels"])
+    assert max(j - i for i, j in frames._stacks(b)) <= 1024 and sum(j - i for i, j in frames._stacks(b)) == n
+    assert [p.num_rows for p in frames._parts(b)] == [1024, 1024, 952]
