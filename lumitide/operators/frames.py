@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from ..errors import MediaError
-from ..kernels.masks import Region, decode, redact
+from ..kernels.masks import Decoder, Region, redact
 from ..kernels.pictures import Crop, Kernel, Times
 
 #: Pictures are handed over in batches of about so many bytes, small ones stacked, and so many at most.
@@ -101,6 +101,7 @@ def redacted(frames: DataFrame, style: str = "gaussian", amount: float = 12.0, c
     names = [c for c in frames.columns if c != "regions"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = Decoder()
         for whole in batches:
             for i, j in _stacks(whole):
                 b = whole.slice(i, j - i)

@@ -143,9 +143,21 @@ def with_regions(frames: DataFrame, samples: DataFrame, min_conf: float = 0.05,
     else:
         one = F.struct(*parts, F.col("subject"), F.col("asset"))
         lists = found.groupBy(*group, "at_us").agg(F.array_sort(F.collect_list(one), lambda x, y: F.when(_place(x) < _place(y), -1).when(_place(x) > _place(y), 1).otherwise(0)).alias("regions"))
-    lists = small(lists.withColumnRenamed("at_us", "t_us"))
+    lists = small(lists.withColumnRenamed("at_us", "t_us"), _held(lists.schema["regions"].dataType.elementType.names))
     return frames.join(lists, [*group, "t_us"], "left").select(*frames.columns, "regions")
 
 
+def _held(names: Sequence[str]) -> Column:
+    """About the bytes in memory of a row's ``regions``."""
+
+    def one(region: Column) -> Column:
+        if "asset" not in names:
+            return F.lit(64)
+        many = lambda c: F.coalesce(F.size(region["asset"][c]), F.lit(0)) * 48
+        return F.lit(192) + F.coalesce(F.length(region["asset"]["data"]), F.lit(0)) + F.greatest(many("runs"), F.lit(0)) + F.greatest(many("points"), F.lit(0))
+
+    return F.aggregate("regions", F.lit(48).cast("bigint"), lambda n, region: n + one(region))
+
+
 def _place(region: Column) -> Column:
     return F.struct(*[region[c] for c in VALUES[:4]], region["subject"])

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import functools
+import json
 import math
 from collections.abc import Callable, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
 
 from .. import scratch
 from ..clips import Clip
@@ -151,7 +155,16 @@ def mask_samples(ctx: Context, masks: dict, clip_id: str = "") -> DataFrame:
         if cx is None or cy is None:
             raise ParamError("a mask sample has no place")
         rows.append((s.get("subject"), t.micros, float(cx), float(cy), max(1.0, float(r or 1.0)), float(s.get("conf", 1.0)), s.get("lifecycle", "active"), bool(s.get("occluded", False)), mask_asset(s.get("asset"))))
-    return ctx.spark.createDataFrame(rows, f"subject string, t_us long, cx double, cy double, radius double, conf double, lifecycle string, occluded boolean, asset {ASSET}")
+    return _local(ctx.spark, rows, StructType.fromDDL(f"subject string, t_us long, cx double, cy double, radius double, conf double, lifecycle string, occluded boolean, asset {ASSET}"))
+
+
+def _local(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """Rows of a document as a local relation, which, unlike one of Python objects, no Python workers unpack."""
+
+    def named(values: tuple, fields: StructType) -> dict:
+        return {f.name: v if v is None else named(v, f.dataType) if isinstance(f.dataType, StructType) else v if isinstance(v, str) or not isinstance(f.dataType, StringType) else json.dumps(v) for f, v in zip(fields, values)}
+
+    return spark.createDataFrame(pa.Table.from_pylist([named(r, schema) for r in rows], to_arrow_schema(schema)), schema)
 
 
 def mask_asset(ref: dict | None) -> tuple | None:
@@ -240,8 +253,6 @@ def adapt(ctx: Context, ups: list[Clip], p: dict) -> Clip:
         return c.replace(masks=mask_samples(ctx, {"samples": m} if isinstance(m, list) else m))
     doc = params.get("tracks") or params.get("document")
     if doc is not None:
-        import json
-
         text = doc if isinstance(doc, str) else json.dumps(doc)
         rows = ctx.spark.createDataFrame([("params", text)], "doc string, text string")
         found = vision.mask_samples(documents.tracks(rows))

@@ -7,11 +7,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of up to so many bytes of Parquet is broadcast.
-BROADCAST_BYTES = 16 << 20
+#: A table of up to so many bytes of Parquet is broadcast, and of so many in memory where those are counted.
+BROADCAST_BYTES, BROADCAST_MEMORY = 16 << 20, 64 << 20
 
 _made: dict[str, str] = {}
 
@@ -30,12 +30,19 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/core-{uuid.uuid4().hex}"
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, written and read back; marked for broadcast if what was written is small."""
+def small(df: DataFrame, held: Column | None = None) -> DataFrame:
+    """df, written and read back; marked for broadcast if what was written is small.
+
+    held: the bytes of a row in memory, for rows that repeat much, which Parquet writes once; their sum must be small, too.
+    """
     spark = df.sparkSession
     path = folder(spark)
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
     back = spark.read.schema(df.schema).parquet(path)
-    return F.broadcast(back) if size <= BROADCAST_BYTES else back
+    if size > BROADCAST_BYTES:
+        return back
+    if held is not None and (back.agg(F.sum(held)).first()[0] or 0) > BROADCAST_MEMORY:
+        return back.hint("merge")  # else Spark goes by the size of the files
+    return F.broadcast(back)

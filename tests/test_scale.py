@@ -7,7 +7,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from lumitide import queries as core
+from lumitide import scratch
 from lumitide.clips import Clip
+from lumitide.kernels import masks
 from lumitide.kernels.pictures import Invert
 from lumitide.operators import compose, frames
 from lumitide.plans import project, run
@@ -116,3 +118,33 @@ def test_python_holds_few_pictures_at_a_time():
     b = pa.RecordBatch.from_arrays([pa.array([2] * n), pa.array([2] * n), pa.array([1] * n)], names=["w", "h", "channels"])
     assert max(j - i for i, j in frames._stacks(b)) <= 1024 and sum(j - i for i, j in frames._stacks(b)) == n
     assert [p.num_rows for p in frames._parts(b)] == [1024, 1024, 952]
+
+
+def test_samples_of_a_document_need_no_python_workers(spark):
+    places = [{"t": k, "cx": 1, "cy": 2, **more} for k, more in enumerate(({"subject": "a", "asset": {"asset": {"kind": "rle", "width": 2, "height": 1, "runs": [[1, 0], [1, 255]]}}}, {"subject": 5}, {}))]
+    got = run.mask_samples(Context(spark), {"samples": places})
+    assert "LocalTableScan" in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.orderBy("t_us").collect()
+    assert [r["subject"] for r in rows] == ["a", "5", None] and [r["cx"] for r in rows] == [1.0] * 3
+    assert rows[0]["asset"]["runs"] == [[1, 0], [1, 255]] and rows[1]["asset"] is None
+
+
+def test_an_asset_that_rows_repeat_is_decoded_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(masks, "decode", lambda asset, decode=masks.decode: made.append(asset) or decode(asset))
+    asset = lambda k: {"kind": "polygon", "w": None, "h": None, "data": None, "runs": None, "points": [[0.0, 0.0], [k, 0.0], [0.0, k]]}
+    once = masks.Decoder()
+    assert all((once(asset(k % 3 + 4.0)).data == masks.polygon_box([(0, 0), (k % 3 + 4, 0), (0, k % 3 + 4)]).data).all() for k in range(30)) and len(made) == 3
+    assert once(None) is None and (once({"kind": "dense", "w": 2, "h": 1, "left": None, "top": None, "data": b"ab"}).data == [[97, 98]]).all()
+    monkeypatch.setattr(masks.Decoder, "KEPT", 1000)
+    few = masks.Decoder()
+    assert [few(asset(k + 4.0)).data.shape for k in range(9)] == [(k + 4, k + 4) for k in range(9)] and few.size <= 1000
+
+
+def test_region_lists_that_repeat_are_broadcast_by_their_size_in_memory(spark, tmp_path, monkeypatch):
+    folder = embeddings(tmp_path, range(50))
+    plan = lambda: core.queries()["redact_polygon"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(scratch, "BROADCAST_MEMORY", 50 * 200)
+    assert "SortMergeJoin" in plan() and "BroadcastHashJoin" not in plan()
+    same(spark, "redact_polygon", folder)
